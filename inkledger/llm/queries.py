@@ -22,3 +22,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkledger.llm.token_files import token_output
 
     return token_output(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkledger.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
