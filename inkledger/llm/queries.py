@@ -29,3 +29,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkledger.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkledger.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
