@@ -3,8 +3,9 @@
 Pre-tokenization of both vocabularies never lets a token reach from a
 non-space character into a space that follows it. A text cut at such places
 therefore has the ids of its pieces, joined; equal pieces (words, mostly) are
-encoded once by each worker. Texts where a cut might not be safe are encoded
-whole. ``tests/llm/test_encode.py`` holds both ways against each other.
+encoded once by each worker. No cut parts a run of white space. A full stop or
+comma after a word of Latin letters is a token of its own, so a new word is
+encoded without it. ``tests/llm/test_encode.py`` holds both ways against each other.
 """
 
 from __future__ import annotations
@@ -19,18 +20,24 @@ import public_tokenizers
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
-#: Pieces that a worker remembers before it starts anew; bounds its memory.
-MEMORY = 500_000
-#: When it does, pieces of at most this length stay: they come again most often.
-SHORT = 9
+#: Pieces that a worker remembers before it forgets half; bounds its memory.
+MEMORY = 1_000_000
 #: Pieces longer than this are not remembered.
-LONGEST = 64
+LONGEST = 32
+#: The same for pieces that are no single word: long ones are rare.
+SHORT = 9
 #: Characters encoded at a time.
 SLICE = 2_000_000
 
-#: White space before a space.
-_UNSAFE = re.compile(r"\s ")
-_UNSAFE_ASCII = [c + " " for c in map(chr, range(128)) if c.isspace()]
+_RUN = re.compile(r"\s\s")
+_RUNS = ("  ", " \n", "\n ", "\n\n")
+_RARE = [c for c in map(chr, range(128)) if c.isspace() and c not in " \n"]
+#: Byte-level vocabularies write a byte as the character of its number, if that can be seen, and else by numbers from 256 on.
+_SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SEEN) if b != 0x20}
+
+#: A word of letters that no normalization changes but for case, and a mark that is split off.
+_MARKED = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]")
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -42,7 +49,7 @@ def vocabulary_path(name: str) -> str:
 class Encoder:
     def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.tokenizer.encode_special_tokens = True
@@ -51,19 +58,62 @@ class Encoder:
         # Sequence: white space is dropped, any space is a cut. ByteLevel: a space leads the next token.
         self.drops_space = kind == "Sequence"
         self.lead = "" if self.drops_space else " "
+        # Words of Latin letters need no more than the model. Many make one input, for each
+        # has one token that ends it, or starts it, and so its ids are found again.
+        vocabulary = self.tokenizer.get_vocab()
+        self.model = Tokenizer(self.tokenizer.model)
+        if self.drops_space:
+            self.word, self.mark = re.compile("[a-zß-öø-ÿ]+"), " "
+            self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            edge = [t.endswith(self.tokenizer.model.end_of_word_suffix) for t in vocabulary]
+        else:  # "Ġ" is how byte-level vocabularies write the space before a word
+            self.word, self.mark = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+"), "Ġ"
+            self.model.pre_tokenizer = pre_tokenizers.Split(self.mark, "merged_with_next")
+            edge = [t.startswith(self.mark) for t in vocabulary]
+        self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.edge[list(vocabulary.values())] = edge
         self.known: dict[str, bytes] = {}
+        self.ends = dict(zip(".,", self._encode([".", ","]), strict=True))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.type.itemsize == 2 else "I"  # little-endian machines, as Spark's and Arrow's
         return [array(code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words that ``word`` matches."""
+        if not words:
+            return []
+        inputs = [self.mark + self.mark.join(" ".join(words[i : i + 500]).encode().decode("latin-1").translate(_LETTERS).split(" ")) for i in range(0, len(words), 500)]
+        ids = np.concatenate([np.array(x.ids, dtype=self.type) for x in self.model.encode_batch_fast(inputs, add_special_tokens=False)])
+        at = np.flatnonzero(self.edge[ids]) * self.type.itemsize
+        size = self.type.itemsize
+        cuts = [0, *(at + size).tolist()] if self.drops_space else [*at.tolist(), len(ids) * size]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of pieces that are not known yet."""
+        marked = [p for p in new if _MARKED.fullmatch(p)]
+        words = {p[:-1] for p in marked}.union(new).difference(marked, self.known)
+        plain = [p for p in words if self.word.fullmatch(p)]
+        other = list(words.difference(plain))
+        learnt = dict(zip(plain, self._encode_words(plain), strict=True))
+        learnt.update(zip(other, self._encode([self._source(p) for p in other]), strict=True))
+        for p in marked:
+            word = p[:-1]
+            learnt[p] = (learnt[word] if word in learnt else self.known[word]) + self.ends[p[-1]]
+        return learnt
+
     def _pieces(self, text: str) -> tuple[str, list[str]]:
-        """The start of a text, and what follows: pieces without the ``lead`` before each."""
+        """The start of a text, and what follows: pieces, written without the space before a word."""
         if self.drops_space:
+            if text.isascii() or _latin1(text):
+                text = text.lower()  # as the vocabulary's normalizer does; fewer pieces differ
             return "", text.replace("\n", " ").split(" ")
-        words = text.split(" ")
-        if _UNSAFE.search(text) if not text.isascii() else any(x in text for x in _UNSAFE_ASCII):
-            words = self._guarded(words)
+        if any(x in text for x in _RUNS) or ((not text.isascii() or any(x in text for x in _RARE)) and _RUN.search(text)):
+            words = self._guarded(text.split(" "))
+        else:  # no run of white space, so a line's end starts a piece as well
+            words = text.replace("\n", " \n").split(" ")
         return words[0], words[1:]
 
     @staticmethod
@@ -71,11 +121,15 @@ class Encoder:
         """Undoes cuts after white space, where a run of it would be parted."""
         out = [words[0]]
         for before, w in zip(words, words[1:], strict=False):
-            if before and not before[-1].isspace():
-                out.append(w)
-            else:
+            if not before or before[-1].isspace():
                 out[-1] += " " + w
-        return out
+            else:
+                out.append(w)
+        return out[:1] + [" " + w if not w or w[0].isspace() else w for w in out[1:]]
+
+    def _source(self, piece: str) -> str:
+        """What a piece stands for in a text."""
+        return piece if piece[:1].isspace() else self.lead + piece
 
     def batch(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, in ``type``."""
@@ -91,9 +145,8 @@ class Encoder:
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.known) > MEMORY:
-            self.known = {p: ids for p, ids in self.known.items() if len(p) <= SHORT}
-            if len(self.known) > MEMORY // 2:
-                self.known.clear()
+            # Every other piece goes; what is frequent is soon back.
+            self.known = dict(list(self.known.items())[::2])
         known = self.known
         heads, ends, pieces = [], [], []
         for text in texts:
@@ -104,16 +157,24 @@ class Encoder:
         ids = list(map(known.get, pieces))
         missing = [i for i, x in enumerate(ids) if x is None]
         new = list({pieces[i] for i in missing})
-        fresh = dict(zip(new, self._encode([self.lead + p for p in new]), strict=True))
+        fresh = self._learn(new)
         for i in missing:
             ids[i] = fresh[pieces[i]]
-        known.update((p, x) for p, x in fresh.items() if len(p) <= LONGEST)
+        known.update((p, x) for p, x in fresh.items() if len(p) <= (LONGEST if p.isalpha() else SHORT))
         start = 0
         for head, end in zip(self._encode(heads), ends, strict=True):
             yield head + b"".join(ids[start:end])
             start = end
 
 
+def _latin1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def encoder(vocabulary: str) -> Encoder:
     """This worker's encoder; loaded once."""
     if vocabulary not in _encoders:

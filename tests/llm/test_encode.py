@@ -28,3 +28,11 @@ def test_any_text(texts):
     for name in (WORD_BPE, BYTE_BPE):
         e = encoder(name)
         assert list(e.batch(texts)) == [whole(e, t) for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(" \nab.,éßÀ"), max_size=40), min_size=1, max_size=6))
+def test_words_lines_and_runs_of_spaces(texts):
+    for name in (WORD_BPE, BYTE_BPE):
+        e = encoder(name)
+        assert list(e.batch(texts)) == [whole(e, t) for t in texts]
