@@ -43,3 +43,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkledger.llm.decontaminate import contamination
 
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkledger.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
