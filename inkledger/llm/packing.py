@@ -104,7 +104,6 @@ def _rows(node: int, first: int, bins: pa.ListArray, fills: np.ndarray, moves: n
 def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.StructArray]:
     """Pieces of the documents, ``BLOCK`` or a few more at a time."""
     encode = encoder(vocabulary)
-    end = np.array([END_ID], dtype=encode.type).tobytes()
     rows: list[tuple] = []
 
     def block() -> pa.StructArray:
@@ -113,13 +112,18 @@ def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.S
         return pa.StructArray.from_arrays(columns, fields=list(_PIECE))
 
     for batch in batches:
-        for doc_id, encoded in zip(batch.column(0).to_pylist(), encode.batch(t.as_py() for t in batch.column(1)), strict=True):
-            ids = np.frombuffer(encoded + end, dtype=encode.type).astype("<u4")
-            cuts = [0, *range((len(ids) - 1) % CAPACITY + 1, len(ids) + 1, CAPACITY)]
-            for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                rows.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b]), 0))
-            if len(rows) >= BLOCK:
-                yield block()
+        docs, d = batch.column(0).to_pylist(), 0
+        for found, ends in encode.slices(batch.column(1)):
+            ids = np.insert(found, ends, found.dtype.type(END_ID)).astype("<u4")
+            start = 0
+            for end in (ends + np.arange(1, len(ends) + 1)).tolist():
+                cuts = [0, *range((end - start - 1) % CAPACITY + 1, end - start + 1, CAPACITY)]
+                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    rows.append((docs[d], k, a, b - a, zlib.crc32(ids[start + a : start + b]), 0))
+                start = end
+                d += 1
+                if len(rows) >= BLOCK:
+                    yield block()
     if rows:
         yield block()
 

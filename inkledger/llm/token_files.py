@@ -88,13 +88,17 @@ class TokenFile:
         self.length = self.reader.schema.field("tokens").type.list_size
         sizes = [self.reader.get_batch(i).num_rows for i in range(self.reader.num_record_batches)]
         self.firsts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        self.batch = (0, 0, None)
 
     def __len__(self) -> int:
         return int(self.firsts[-1])
 
     def _row(self, i: int) -> tuple[pa.RecordBatch, int]:
-        b = int(np.searchsorted(self.firsts, i, "right")) - 1
-        return self.reader.get_batch(b), i - int(self.firsts[b])
+        first, end, batch = self.batch
+        if not first <= i < end:
+            b = int(np.searchsorted(self.firsts, i, "right")) - 1
+            first, end, batch = self.batch = int(self.firsts[b]), int(self.firsts[b + 1]), self.reader.get_batch(b)
+        return batch, i - first
 
     def tokens(self, i: int) -> np.ndarray:
         batch, row = self._row(i)
@@ -134,23 +138,22 @@ def write_token_files(docs: DataFrame, uri: str, vocabulary: str = WORD_BPE, len
         shard = TaskContext.get().partitionId()
         base = f"{uri}/shard-{shard:06d}"
         encode = encoder(vocabulary)
-        end = np.array([END_ID], dtype=encode.type).tobytes()
         ids: list[pa.Array] = []
-        lengths: list[int] = []
+        lengths: list[np.ndarray] = []
 
         def tokens(out) -> None:
             writer = _Writer(out, encode.type, length)
             batch = first
             while batch is not None:
                 ids.append(batch.column(0))
-                for x in encode.batch(t.as_py() for t in batch.column(1)):
-                    writer.add(x + end)
-                    lengths.append((len(x) + len(end)) // encode.type.itemsize)
+                for found, ends in encode.slices(batch.column(1)):
+                    writer.add(np.insert(found, ends, found.dtype.type(END_ID)).tobytes())
+                    lengths.append(np.diff(ends, prepend=0) + 1)
                 batch = next(batches, None)
             writer.close()
 
         publish(f"{base}.tokens.arrow", tokens)
-        sizes = np.array(lengths, dtype=np.int64)
+        sizes = np.concatenate(lengths)
         index = pa.table({"doc_id": pa.chunked_array(ids), "start": np.cumsum(sizes) - sizes, "n_tokens": sizes})
 
         def places(out) -> None:
