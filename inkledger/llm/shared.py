@@ -66,14 +66,14 @@ def publish(uri: str, write) -> None:
     context = TaskContext.get()
     attempt = f"{path}.{context.taskAttemptId() if context else 0}-{uuid.uuid4().hex[:8]}.tmp"
     fs.create_dir(path.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(attempt) as out:
+    with fs.open_output_stream(attempt, compression=None) as out:
         write(out)
     fs.move(attempt, path)
 
 
 def read_bytes(uri: str) -> bytes:
     fs, path = open_fs(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         return f.read()
 
 
