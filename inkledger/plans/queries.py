@@ -1,6 +1,426 @@
-"""Registry of the library's queries: name -> (DataFrame builder, oracle SQL or None)."""
+"""Registry of the library's queries: name -> DataFrame builder, and DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkledger.functions import measures, text
+from inkledger.operators import coverage as cov
+from inkledger.operators import lines as ln
+from inkledger.operators import quality as q
+from inkledger.operators import segments as seg
+from inkledger.operators import spatial as sp
+from inkledger.sources import glyphs as gl
+from inkledger.sources.files import table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+#: The glyph relation in DuckDB.
+_LINES = """lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"""
+_GLYPHS = f"""{_LINES},
+chars AS (
+  SELECT doc_id, line_no, unnest(string_split(line, '')) AS unicode, generate_subscripts(string_split(line, ''), 1) - 1 AS pos
+  FROM lines WHERE line <> ''),
+glyphs AS (
+  SELECT *, CASE WHEN state = 'kept_original' THEN CASE
+      WHEN regexp_full_match(unicode, '[a-z]') THEN 'overflow' WHEN regexp_full_match(unicode, '[A-Z]') THEN 'name'
+      WHEN regexp_full_match(unicode, '[0-9]') THEN 'formula' WHEN unicode BETWEEN '!' AND '~' AND ord(unicode) < 127 THEN 'punctuation' ELSE 'missing-glyph' END END AS reason
+  FROM (SELECT doc_id, line_no, pos, unicode, line_no // 50 AS page_index, line_no % 50 AS row,
+      72.0::DOUBLE + 5 * pos AS x, 720.0::DOUBLE - 12 * (line_no % 50) AS y, 10.0::DOUBLE AS font_size, line_no * 4294967296 + pos AS id,
+      CASE WHEN regexp_full_match(unicode, '[0-9]') THEN 'CMMI10' WHEN regexp_full_match(unicode, '[A-Z]') THEN 'Nimbus-Bold' ELSE 'Nimbus-Roman' END AS font_name,
+      CASE WHEN regexp_full_match(unicode, '[a-z]') AND pos % 89 = 88 THEN 'pending' WHEN regexp_full_match(unicode, '[a-z]') AND pos % 97 <> 96 THEN 'rewritten'
+           WHEN unicode = ' ' THEN 'non_text' ELSE 'kept_original' END AS state
+    FROM chars)),
+seen AS (SELECT * FROM glyphs WHERE trim(unicode) <> ''),
+out AS (SELECT * REPLACE (x + CASE WHEN pos % 89 = 88 THEN 0.5 ELSE 0 END AS x, CASE WHEN pos % 178 = 177 THEN 14.0 ELSE font_size END AS font_size) FROM seen WHERE pos % 97 <> 96)"""
+
+
+def _glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gl.glyphs(table(spark, sf_dir, "documents"))
+
+
+def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    source = gl.visible(_glyphs(spark, sf_dir))
+    return source, gl.output(source)
+
+
+_COVERAGE = """count(*) AS total, count(*) FILTER (WHERE state = 'rewritten') AS rewritten, count(*) FILTER (WHERE state = 'kept_original') AS kept_original,
+  count(*) FILTER (WHERE reason IN ('name', 'formula', 'punctuation')) AS intentional, count(*) FILTER (WHERE state = 'non_text') AS non_text,
+  count(*) FILTER (WHERE state = 'pending') AS pending,
+  count(*) FILTER (WHERE state = 'pending' OR (reason IN ('overflow', 'missing-glyph') AND regexp_matches(unicode, '[A-Za-z]'))) AS real_misses"""
+
+
+@query(f"WITH {_GLYPHS} SELECT *, real_misses = 0 AS complete FROM (SELECT doc_id, {_COVERAGE} FROM glyphs GROUP BY doc_id)")
+def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cov.coverage(_glyphs(spark, sf_dir), "doc_id")
+
+
+@query(f"WITH {_GLYPHS} SELECT *, real_misses = 0 AS complete FROM (SELECT doc_id, CAST(page_index AS INTEGER) AS page_index, {_COVERAGE} FROM glyphs GROUP BY ALL)")
+def coverage_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cov.coverage(_glyphs(spark, sf_dir), "doc_id", "page_index")
+
+
+@query(f"""WITH {_GLYPHS}, bad AS (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY id) AS k FROM glyphs
+  WHERE state = 'pending' OR (reason IN ('overflow', 'missing-glyph') AND regexp_matches(unicode, '[A-Za-z]')))
+SELECT doc_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (WHERE k <= 32) AS ids, count(*) > 32 AS truncated FROM bad GROUP BY doc_id""")
+def first_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cov.first_unresolved(_glyphs(spark, sf_dir)).withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
+
+
+@query(f"WITH {_GLYPHS} SELECT font_name, count(*) AS n FROM glyphs WHERE reason = 'missing-glyph' GROUP BY font_name ORDER BY n DESC, font_name LIMIT 8")
+def top_unmapped_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cov.unmapped_fonts(_glyphs(spark, sf_dir))
+
+
+@query(f"""WITH {_LINES} SELECT doc_id, CAST(line_no // 50 AS INTEGER) AS page_index, line AS text, CAST(length(line) AS BIGINT) AS n_glyphs FROM lines WHERE line <> ''""")
+def plain_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ln.plain_lines(_glyphs(spark, sf_dir)).select("doc_id", "page_index", "text", "n_glyphs")
+
+
+@query(f"""WITH {_GLYPHS},
+a AS (SELECT doc_id, line_no, count(*) AS n, min(x) AS x0, max(x + 5) AS x1 FROM seen GROUP BY ALL),
+b AS (SELECT doc_id, line_no, count(*) AS n, count(*) FILTER (WHERE x + 5 > 613) AS past, min(x) AS x0, max(x + 5) AS x1 FROM out GROUP BY ALL),
+m AS (SELECT a.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE a.x0 < b.x1 + 4 AND b.x0 < a.x1 + 4) AS covered, sum(a.n) AS s, coalesce(sum(b.n), 0) AS o, coalesce(sum(b.past), 0) AS p
+  FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.line_no = b.line_no GROUP BY a.doc_id)
+SELECT doc_id, n_lines, covered, CAST(s AS BIGINT) AS source_glyphs, CAST(o AS BIGINT) AS output_glyphs, CAST(p AS BIGINT) AS output_past,
+  round(covered / n_lines, 9) AS line_coverage, round(1 - covered / n_lines, 9) AS drop_rate, round(least(o, s) / s, 9) AS char_retention, round(CASE WHEN o = 0 THEN 0.0 ELSE p / o END, 9) AS overflow_rate FROM m""")
+def score_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = q.pair_scores(*_pair(spark, sf_dir))
+    return rows.withColumns({c: F.round(c, 9) for c in ("line_coverage", "drop_rate", "char_retention", "overflow_rate")})
+
+
+@query(f"""WITH {_GLYPHS},
+a AS (SELECT doc_id, page_index, line_no, min(x) AS x0, max(x + 5) AS x1, min(y - 2) AS y0, max(y + 8) AS y1 FROM seen GROUP BY ALL),
+b AS (SELECT doc_id, page_index, line_no, min(x) AS x0, max(x + 5) AS x1, min(y - 2) AS y0, max(y + 8) AS y1 FROM out GROUP BY ALL)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM b WHERE b.doc_id = a.doc_id AND b.page_index = a.page_index
+  AND a.x0 < b.x1 + 4 AND b.x0 < a.x1 + 4 AND a.y0 < b.y1 + 4 AND b.y0 < a.y1 + 4)) AS covered FROM a GROUP BY doc_id""")
+def line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q.line_coverage(*_pair(spark, sf_dir))
+
+
+@query(f"""WITH {_GLYPHS}
+SELECT o.doc_id, count(*) AS compared, count(*) FILTER (WHERE abs(o.font_size - s.font_size) <= 0.2 * s.font_size + 0.5) AS same
+FROM out o JOIN seen s ON o.doc_id = s.doc_id AND o.id = s.id GROUP BY o.doc_id""")
+def style_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q.style_retention(*_pair(spark, sf_dir))
+
+
+@query(f"""WITH {_GLYPHS}
+SELECT coalesce(s.doc_id, o.doc_id) AS doc_id, count(s.id) AS n_left, count(o.id) AS n_right, min(coalesce(s.id, o.id)) FILTER (WHERE s.id IS NULL OR o.id IS NULL) AS first_mismatch,
+  max(abs(s.x - o.x)) AS max_shift, count(*) FILTER (WHERE abs(s.font_size - o.font_size) > 0.05) AS style_mismatches
+FROM seen s FULL JOIN out o ON s.doc_id = o.doc_id AND s.id = o.id GROUP BY 1""")
+def identity_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q.aligned(*_pair(spark, sf_dir))
+
+
+@query(f"""WITH {_GLYPHS}, n AS (SELECT doc_id, unicode, count(*) AS n FROM seen GROUP BY ALL), m AS (SELECT doc_id, unicode, count(*) AS m FROM out GROUP BY ALL),
+s AS (SELECT n.doc_id, sum(least(n, coalesce(m, 0))) AS hit, sum(n) AS total FROM n LEFT JOIN m ON n.doc_id = m.doc_id AND n.unicode = m.unicode GROUP BY n.doc_id)
+SELECT d.doc_id, CAST(coalesce(hit, 0) AS BIGINT) AS hit, CAST(coalesce(total, 0) AS BIGINT) AS total, round(CASE WHEN coalesce(total, 0) = 0 THEN 1.0 ELSE hit / total END, 9) AS overlap FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id""")
+def char_multiset_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lost = F.transform(F.split("text", "\n"), lambda line: F.array_join(F.filter(F.transform(F.split(line, ""), lambda c, i: F.when(i % 97 != 96, c)), lambda c: c.isNotNull()), ""))
+    return q.bag_overlap(docs, docs.withColumn("text", F.array_join(lost, " "))).withColumn("overlap", F.round("overlap", 9))
+
+
+@query(f"""WITH {_GLYPHS}, t AS (SELECT doc_id, count(*) FILTER (WHERE font_name = 'CMMI10') AS math, max(font_name = 'Nimbus-Bold') AS bold, max(regexp_matches(unicode, '[\\x{{3400}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}]')) AS cjk,
+  count(*) AS n, count(DISTINCT page_index) AS pages FROM glyphs GROUP BY doc_id)
+SELECT doc_id, concat_ws(',', CASE WHEN cjk THEN 'cjk' END, CASE WHEN math >= 8 THEN 'formulas' END, CASE WHEN bold THEN 'bold' END, CASE WHEN n // pages < 15 THEN 'sparse-text' END) AS tags FROM t""")
+def observed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q.observed_tags(_glyphs(spark, sf_dir)).withColumn("tags", F.array_join("tags", ","))
+
+
+# Lines as the rows of paragraph and header operators.
+_ROWS = f"""{_LINES}, rows_ AS (SELECT doc_id, CAST(line_no // 50 AS INTEGER) AS page_index, line_no, line AS text, 10.0 AS size, 72.0 + 5 * (length(line) - length(ltrim(line))) AS x, 720.0 - 12 * (line_no % 50) AS y, 5.0 * length(line) AS width FROM lines WHERE trim(line) <> '')"""
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.col("line")
+    return (
+        gl.lines(table(spark, sf_dir, "documents"))
+        .where(F.trim(line) != "")
+        .select("doc_id", "page_index", F.col("line_no").alias("row"), line.alias("text"), F.lit(10.0).alias("size"), (72.0 + 5 * (F.length(line) - F.length(F.ltrim(line)))).alias("x"), (720.0 - 12 * F.col("row")).alias("y"), (5.0 * F.length(line)).alias("width"))
+    )
+
+
+_PARAGRAPHS = f"""{_ROWS}, w AS (SELECT *, lag(y) OVER o AS py, lag(x) OVER o AS px, lag(text) OVER o AS pt FROM rows_ WINDOW o AS (PARTITION BY doc_id, page_index ORDER BY y DESC, x, line_no)),
+p AS (SELECT *, sum(CASE WHEN py IS NOT NULL AND (py - y) / 10 BETWEEN 0.8 AND 2.2 AND NOT (regexp_matches(pt, '[.?!][ ]*$') AND abs(x - px) > 4.5) AND NOT regexp_full_match(text, '[ ]*[0-9]+[ ]*') AND abs(x - px) <= 24 THEN 0 ELSE 1 END)
+  OVER (PARTITION BY doc_id, page_index ORDER BY y DESC, x, line_no) AS paragraph FROM w)"""
+
+
+@query(f"WITH {_PARAGRAPHS} SELECT doc_id, page_index, CAST(paragraph AS BIGINT) AS paragraph, count(*) AS n_lines, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM p GROUP BY ALL")
+def paragraph_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ln.paragraphs(_rows(spark, sf_dir))
+    return rows.groupBy("doc_id", "page_index", "paragraph").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+
+
+@query(f"""WITH {_PARAGRAPHS}, s AS (SELECT *, max(width) OVER g AS widest, row_number() OVER (PARTITION BY doc_id, page_index, paragraph ORDER BY y, line_no DESC) AS k FROM p WINDOW g AS (PARTITION BY doc_id, page_index, paragraph))
+SELECT doc_id, page_index, CAST(line_no AS INTEGER) AS row, CAST(paragraph AS BIGINT) AS paragraph, CAST(width AS DOUBLE) AS width, CAST(widest AS DOUBLE) AS widest FROM s WHERE k > 1 AND width < 0.85 * widest""")
+def short_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ln.short_lines(ln.paragraphs(_rows(spark, sf_dir))).select("doc_id", "page_index", "row", "paragraph", "width", "widest")
+
+
+@query(f"""WITH {_ROWS}, t AS (SELECT *, lower(trim(regexp_replace(text, '[ \\t\\r\\n\\f\\v]+', ' ', 'g'))) AS key, max(y) OVER (PARTITION BY doc_id, page_index) AS top FROM rows_)
+SELECT doc_id, key, count(DISTINCT page_index) AS n_pages FROM t WHERE top - y <= 30 AND length(key) >= 4 GROUP BY doc_id, key HAVING count(DISTINCT page_index) > 1""")
+def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ln.running_headers(_rows(spark, sf_dir))
+
+
+@query(f"""WITH {_LINES} SELECT line, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM lines WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT doc_id) > 1""")
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gl.lines(table(spark, sf_dir, "documents")).where(F.trim("line") != "")
+    per_doc = rows.groupBy("line", "doc_id").agg(F.count("*").alias("k"))
+    return per_doc.groupBy("line").agg(F.sum("k").alias("n"), F.count("*").alias("n_docs")).where("n_docs > 1")
+
+
+@query(f"""WITH {_ROWS}, t AS (SELECT doc_id, line_no, trim(text) AS t, CASE WHEN line_no = 0 THEN 14.5 WHEN line_no % 7 = 3 THEN 11.5 ELSE 10.0 END AS size, length(text) < 40 AS bold FROM rows_)
+SELECT level, count(*) AS n FROM (SELECT CASE
+  WHEN regexp_matches(t, '^(Figure|Fig\\.|Table|Tab\\.)[ ]?[0-9]+') OR regexp_matches(t, '[,;:-]$') THEN 'body'
+  WHEN size >= 14 AND length(t) < 160 THEN 'title'
+  WHEN regexp_matches(t, '^[0-9]{{1,2}}\\.?[ ]') AND NOT regexp_matches(t, '^[0-9]{{1,2}}(\\.[0-9]{{1,2}}){{1,3}}\\.?[ ]') AND length(t) < 80 AND NOT regexp_matches(t, '[.?!]$') AND NOT (regexp_matches(t, '^[0-9]+ .*(Street|St|Avenue|Road)([, ]|$)') AND NOT bold) THEN 'section'
+  WHEN regexp_matches(t, '^[0-9]{{1,2}}(\\.[0-9]{{1,2}}){{1,3}}\\.?[ ]') AND length(t) < 100 AND NOT regexp_matches(t, '[.?!]$') THEN 'subsection'
+  WHEN bold AND length(t) < 80 AND NOT regexp_matches(t, '[.?!]$') THEN 'subsection'
+  WHEN size >= 12.5 AND length(t) < 120 AND NOT regexp_matches(t, '[.?!]$') THEN 'title'
+  WHEN size >= 11.2 AND length(t) < 24 AND NOT regexp_matches(t, '[.?!]$') THEN 'section' ELSE 'body' END AS level FROM t) GROUP BY level""")
+def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    size = F.when(F.col("row") == 0, 14.5).when(F.col("row") % 7 == 3, 11.5).otherwise(10.0)
+    return rows.select(ln.heading_level(F.col("text"), size, F.length("text") < 40, F.lit(1)).alias("level")).groupBy("level").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_GLYPHS}, g AS (SELECT doc_id, page_index, row, x, x - lag(x) OVER (PARTITION BY doc_id, page_index, row ORDER BY x, id) AS gap FROM out),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_index, row ORDER BY gap DESC, x) AS k FROM g WHERE gap >= 10)
+SELECT doc_id, CAST(page_index AS INTEGER) AS page_index, CAST(row AS INTEGER) AS row, gap, x AS "at" FROM r WHERE k = 1""")
+def largest_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ln.largest_gap(_pair(spark, sf_dir)[1], 10.0)
+
+
+@query(f"""WITH {_LINES}, w AS (SELECT doc_id, line_no // 50 AS page_index, line_no, unnest(regexp_extract_all(line, '[^ ]+')) AS w, generate_subscripts(regexp_extract_all(line, '[^ ]+'), 1) - 1 AS k FROM lines),
+o AS (SELECT doc_id, page_index, line_no, 72.0 + 60 * k AS x0, 72.0 + 60 * k + 5 * length(w) AS x1 FROM w),
+m AS (SELECT *, sum(CASE WHEN x0 <= reach + 20 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_index, line_no ORDER BY x0, x1) AS island FROM
+  (SELECT *, max(x1) OVER (PARTITION BY doc_id, page_index, line_no ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o))
+SELECT doc_id, CAST(page_index AS INTEGER) AS page_index, CAST(line_no AS INTEGER) AS row, count(DISTINCT island) AS n_spans, CAST(max(x1) AS DOUBLE) AS "right" FROM m GROUP BY ALL""")
+def merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = gl.lines(table(spark, sf_dir, "documents")).select("doc_id", "page_index", F.col("line_no").alias("row"), F.posexplode(text.found("line", "[^ ]+")).alias("k", "w"))
+    spans = words.select("doc_id", "page_index", "row", (72.0 + 60 * F.col("k")).alias("x0"), (72.0 + 60 * F.col("k") + 5 * F.length("w")).alias("x1"))
+    return sp.merged_spans(spans, ["doc_id", "page_index", "row"]).groupBy("doc_id", "page_index", "row").agg(F.count("*").alias("n_spans"), F.max("x1").alias("right"))
+
+
+@query("""SELECT page_id, CAST(len(u) AS INTEGER) AS n_urls, CAST(len(b) AS INTEGER) AS n_braces, array_to_string(u, ' ') AS urls
+FROM (SELECT page_id, regexp_extract_all(html, '(?:https?://|www\\.)[^ \\t\\r\\n\\f<>"]*[^ \\t\\r\\n\\f<>".,;:)\\]]') AS u, regexp_extract_all(html, '\\{[^{}\\n]+\\}') AS b FROM pages)""")
+def protected_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", text.found("html", text.URL).alias("u"), text.found("html", text.BRACES).alias("b"))
+    return rows.select("page_id", F.size("u").alias("n_urls"), F.size("b").alias("n_braces"), F.array_join("u", " ").alias("urls"))
+
+
+@query("SELECT page_id, html AS restored, true AS whole FROM pages")
+def shield_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shielded, slots = text.shield("html")
+    rows = table(spark, sf_dir, "pages").select("page_id", "html", shielded.alias("shielded"), slots.alias("slots"))
+    back = text.restore("shielded", "slots")
+    return rows.select("page_id", back.alias("restored"), (back == F.col("html")).alias("whole"))
+
+
+def _token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(F.explode(text.found("html", text.SHIELD)).alias("token")).select(text.kind_of("token").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+QUERIES["token_kinds"] = _token_kinds
+
+
+@query(r"""WITH s AS (SELECT page_id, html, regexp_replace(html, '<[^>]*>', ' ', 'g') AS body FROM pages),
+t AS (SELECT page_id, unnest(regexp_extract_all(html, 'https?://[^ \t\r\n\f]*[^ \t\r\n\f.,;)]')) AS token, regexp_replace(body, '[ \t\r\n\f\v]+', '', 'g') AS flat FROM s)
+SELECT page_id, count(*) AS n_tokens, count(*) FILTER (WHERE contains(flat, token)) AS n_kept FROM t GROUP BY page_id""")
+def protected_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", text.found("html", text.SCORED_URL).alias("tokens"), text.squash(F.regexp_replace("html", "<[^>]*>", " ")).alias("flat"))
+    return rows.where(F.size("tokens") > 0).select("page_id", F.size("tokens").cast("long").alias("n_tokens"), F.size(F.filter("tokens", lambda t: F.col("flat").contains(t))).cast("long").alias("n_kept"))
+
+
+@query(r"""WITH p AS (SELECT page_id, html AS a, replace(html, '1', '2') AS b FROM pages),
+x AS (SELECT page_id, t, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(a, '[0-9]+(?:\.[0-9]+|,[0-9]{3})*')) AS t FROM p) GROUP BY ALL),
+y AS (SELECT page_id, t, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(b, '[0-9]+(?:\.[0-9]+|,[0-9]{3})*')) AS t FROM p) GROUP BY ALL)
+SELECT x.page_id, string_agg(x.t, ' ' ORDER BY x.t) AS lost, count(*) AS n_lost FROM x LEFT JOIN y ON x.page_id = y.page_id AND x.t = y.t WHERE x.n > coalesce(y.n, 0) GROUP BY x.page_id""")
+def number_multiset_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lost = text.lost_numbers("html", F.replace("html", F.lit("1"), F.lit("2")))
+    rows = table(spark, sf_dir, "pages").select("page_id", lost.alias("lost")).where(F.size("lost") > 0)
+    return rows.select("page_id", F.array_join("lost", " ").alias("lost"), F.size("lost").cast("long").alias("n_lost"))
+
+
+_CUES = " + ".join(f"CAST(contains(lower(t), '{c}') AS INTEGER)" for c in text.PROMPT_CUES)
+
+
+@query(f"""SELECT kind, score, count(*) AS n FROM (SELECT kind, {_CUES} + CAST(len(list_filter(list_transform(regexp_split_to_array(t, '[ \\t\\r\\n\\f\\v]+'), lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+$', '', 'g')),
+  lambda w: length(w) - length(replace(w, '_', '')) >= 2 AND strlen(w) > 8)) > 0 AS INTEGER) AS score
+  FROM (SELECT 'page' AS kind, html AS t FROM pages UNION ALL SELECT 'document', text FROM documents UNION ALL SELECT 'turn', text FROM conversations)) GROUP BY ALL""")
+def prompt_like_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [("page", "pages", "html"), ("document", "documents", "text"), ("turn", "conversations", "text")]
+    rows = [table(spark, sf_dir, name).select(F.lit(kind).alias("kind"), text.prompt_score(c).alias("score")) for kind, name, c in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("kind", "score").agg(F.count("*").alias("n"))
+
+
+#: Rows for rules that the tables have no text for.
+_KEPT = [("Ada Lovelace", "name"), ("MMLU-Pro", "name"), ("def run(x):", "code"), ("[12] Smith, A title, 2019", "references"), ("x = 3", "formula"), ("Smith, J. (2020) A title", "references"), ("This is plain prose about names.", None), ("3 + 4 = 7", "formula"), ("John R. Smith", "name")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {repr(k) if k else 'NULL'})" for t, k in _KEPT) + ") AS v(text, kind)")
+def keep_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(t,) for t, _ in _KEPT], "text string").select("text", text.keep_kind("text").alias("kind"))
+
+
+_CALLS = [("HTTP 429 quota exceeded", "refused"), ("HTTP 401 unauthorized", "refused"), ("HTTP 404 not found", "client"), ("HTTP 503 busy", "retry"), ("connection reset by peer", "retry"), ("read timed out", "retry"), ("bad json", "fail")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{k}')" for t, k in _CALLS) + ") AS v(message, class)")
+def gateway_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(t,) for t, _ in _CALLS], "message string").select("message", text.gateway_class("message").alias("class"))
+
+
+@query(r"""SELECT count(*) AS n_words, count(*) FILTER (WHERE regexp_full_match(w, '(https?://|www\.)[^ ]+') OR regexp_full_match(w, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}')) AS n_only
+FROM (SELECT unnest(regexp_split_to_array(regexp_replace(text, '<[^>]*>', ' ', 'g'), '[ \t\r\n\f\v]+')) AS w FROM (SELECT html AS text FROM pages UNION ALL SELECT text FROM documents)) WHERE w <> ''""")
+def url_email_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "pages").select(F.col("html").alias("text")).unionByName(table(spark, sf_dir, "documents").select("text"))
+    words = texts.select(F.explode(F.split(F.regexp_replace("text", "<[^>]*>", " "), r"[ \t\r\n\f\x0b]+")).alias("w")).where("w <> ''")
+    return words.agg(F.count("*").alias("n_words"), F.count_if(text.url_or_email_only("w")).alias("n_only"))
+
+
+@query("SELECT d.doc_id, d.text, o.owner, o.copies FROM documents d JOIN (SELECT text, min(doc_id) AS owner, count(*) AS copies FROM documents GROUP BY text) o ON d.text = o.text")
+def first_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seg.owners(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).select(F.col("id").alias("doc_id"), "text", "owner", "copies")
+
+
+@query(f"""WITH {_LINES}, s AS (SELECT doc_id, line_no AS id, line AS text, CAST(({_CUES.replace('lower(t)', 'lower(line)')}) >= 2 AS INTEGER) AS kind FROM lines
+  WHERE trim(line) <> '' AND regexp_matches(line, '[\\p{{L}}\\p{{N}}]') AND NOT regexp_full_match(trim(line), '(https?://|www\\.)[^ ]+')),
+f AS (SELECT doc_id, text, kind, min(id) AS id FROM s GROUP BY ALL),
+i AS (SELECT *, sum(CASE WHEN kind = pk THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY id) AS island FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY id) AS pk FROM f)),
+k AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, island ORDER BY id) - 1) % CASE WHEN kind = 1 THEN 2 ELSE 8 END AS slot FROM i)
+SELECT doc_id, CAST(id AS INTEGER) AS id, kind, CAST(slot AS INTEGER) AS slot, CAST(sum(CASE WHEN slot = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY id) AS BIGINT) AS batch FROM k""")
+def unique_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gl.lines(table(spark, sf_dir, "documents")).select("doc_id", F.col("line_no").alias("id"), F.col("line").alias("text"))
+    return seg.unique_batches(rows)
+
+
+@query("""SELECT conv_id, turn, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '|') AS before,
+  array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '|') AS after FROM conversations""".replace("array_to_string(", "coalesce(array_to_string(").replace("'|')", "'|'), '')"))
+def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seg.context(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return rows.select("conv_id", "turn", F.array_join("context_before", "|").alias("before"), F.array_join("context_after", "|").alias("after"))
+
+
+@query("""WITH saved AS (SELECT CASE WHEN doc_id % 2 = 0 THEN text ELSE replace(text, ' ', '  ') END AS source, '[' || text || ']' AS translated FROM documents WHERE doc_id % 3 < 2),
+e AS (SELECT source, min(translated) AS t FROM saved GROUP BY source), k AS (SELECT regexp_replace(source, '[ \\t\\r\\n\\f\\v]+', '', 'g') AS key, min(translated) AS t FROM saved GROUP BY 1)
+SELECT d.doc_id AS id, md5(coalesce(e.t, k.t)) AS translated, CASE WHEN e.t IS NOT NULL THEN 'exact' WHEN k.t IS NOT NULL THEN 'squashed' ELSE 'missing' END AS how
+FROM documents d LEFT JOIN e ON d.text = e.source LEFT JOIN k ON regexp_replace(d.text, '[ \\t\\r\\n\\f\\v]+', '', 'g') = k.key""")
+def replay_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # A report that renders two of three documents, and spaces each second one differently.
+    saved = docs.where("doc_id % 3 < 2").select(F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.replace("text", F.lit(" "), F.lit("  "))).alias("source"), F.concat(F.lit("["), "text", F.lit("]")).alias("translated"))
+    rows = seg.replay_lookup(docs.select(F.col("doc_id").alias("id"), "text"), saved)
+    return rows.select("id", F.md5("translated").alias("translated"), "how")
+
+
+@query("""WITH a AS (SELECT user_id, event_id, event_type IN ('error', 'view') AS refused, sum(CASE WHEN event_type IN ('error', 'view') THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island, ts FROM events),
+s AS (SELECT *, sum(CAST(refused AS INTEGER)) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS streak FROM a)
+SELECT user_id, event_id, refused, CAST(streak AS BIGINT) AS streak, coalesce(max(streak >= 3) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS halted FROM s""")
+def attempt_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seg.breaker(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type").isin("error", "view"), 3)
+    return rows.select("user_id", "event_id", "refused", "streak", "halted")
+
+
+@query("""SELECT user_id, event_id, gap_s FROM (SELECT user_id, event_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1000000.0 AS gap_s FROM events) WHERE gap_s >= 3600""")
+def stall_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return seg.stalls(events, "user_id", "ts", 3600.0).select("user_id", "event_id", "gap_s")
+
+
+@query("""WITH p AS (SELECT a.vec_id, list_transform(a.embedding, lambda v: CAST(v AS DOUBLE)) AS x, list_transform(b.embedding, lambda v: CAST(v AS DOUBLE)) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+u AS (SELECT vec_id, i, x[i * 8 + 1 : i * 8 + 8] AS x, y[i * 8 + 1 : i * 8 + 8] AS y FROM p, range(0, 8) AS r(i)),
+m AS (SELECT vec_id, list_sum(x) / 8 AS mx, list_sum(y) / 8 AS my, list_sum(list_transform(x, lambda v: v * v)) / 8 AS xx, list_sum(list_transform(y, lambda v: v * v)) / 8 AS yy, list_inner_product(x, y) / 8 AS xy FROM u)
+SELECT vec_id, round(avg((2 * mx * my + 0.0001) * (2 * (xy - mx * my) + 0.0009) / ((mx * mx + my * my + 0.0001) * ((xx - mx * mx) + (yy - my * my) + 0.0009))), 6) AS similarity FROM m GROUP BY vec_id""")
+def block_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    pairs = e.select("vec_id", F.col("embedding").alias("a")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
+    return q.block_similarity(pairs, "a", "b").select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""SELECT source, lang, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars, count(quality) AS n_labelled, CAST(coalesce(sum(toxic), 0) AS BIGINT) AS n_toxic, round(avg(quality), 9) AS mean_quality
+FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ROLLUP (source, lang)""")
+def tag_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return rows.rollup("source", "lang").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"), F.count("quality").alias("n_labelled"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("n_toxic"), F.round(F.avg("quality"), 9).alias("mean_quality"))
+
+
+@query("""WITH c AS (SELECT p_partkey, (p_size % 16) / 15.0 AS r, (p_partkey % 256) / 255.0 AS g, (p_size % 7) / 6.0 AS b FROM part),
+l AS (SELECT p_partkey, 0.2126 * CASE WHEN r <= 0.03928 THEN r / 12.92 ELSE pow((r + 0.055) / 1.055, 2.4) END + 0.7152 * CASE WHEN g <= 0.03928 THEN g / 12.92 ELSE pow((g + 0.055) / 1.055, 2.4) END
+  + 0.0722 * CASE WHEN b <= 0.03928 THEN b / 12.92 ELSE pow((b + 0.055) / 1.055, 2.4) END AS lum FROM c)
+SELECT p_partkey, round(1.05 / (lum + 0.05), 6) AS contrast FROM l WHERE 1.05 / (lum + 0.05) < 4.45""")
+def low_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    lum = measures.luminance((F.col("p_size") % 16) / 15.0, (F.col("p_partkey") % 256) / 255.0, (F.col("p_size") % 7) / 6.0)
+    return p.select("p_partkey", measures.contrast(F.lit(1.0), lum).alias("contrast")).where("contrast < 4.45").withColumn("contrast", F.round("contrast", 6))
+
+
+def _rules(glyph_lines: DataFrame) -> DataFrame:
+    """A thin rule below each ninth line, 30 wide; it is an orphan if its line ends before it."""
+    return glyph_lines.where("row % 9 = 4").select("doc_id", "page_index", F.col("row").alias("key"), F.lit(400.0).alias("x0"), (F.col("y") - 3.0).alias("y0"), F.lit(430.0).alias("x1"), (F.col("y") - 2.0).alias("y1"))
+
+
+@query(f"""WITH {_ROWS}, r AS (SELECT * FROM rows_ WHERE line_no % 9 = 4)
+SELECT r.doc_id, r.page_index, CAST(r.line_no AS INTEGER) AS key FROM r WHERE NOT EXISTS (SELECT 1 FROM rows_ g WHERE g.doc_id = r.doc_id AND g.page_index = r.page_index
+  AND 400.0 < g.x + g.width + 12 AND g.x < 430.0 + 12 AND r.y - 3 < g.y + 8 + 12 AND g.y - 2 < r.y - 2 + 12)""")
+def orphan_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    rules = _rules(rows)
+    boxes = rows.select("doc_id", "page_index", F.col("x").alias("x0"), (F.col("y") - 2.0).alias("y0"), (F.col("x") + F.col("width")).alias("x1"), (F.col("y") + 8.0).alias("y1"))
+    return rules.select("doc_id", "page_index", "key").join(sp.touching(rules, boxes, 6.0), ["doc_id", "page_index", "key"], "left_anti")
+
+
+@query(f"""WITH {_ROWS}, e AS (SELECT doc_id, page_index, 300.0 AS edge, min(y) AS y0, max(y) - 60 AS y1 FROM rows_ GROUP BY ALL)
+SELECT r.doc_id, r.page_index, CAST(r.line_no AS INTEGER) AS row, CAST(e.edge AS DOUBLE) AS edge FROM rows_ r JOIN e ON r.doc_id = e.doc_id AND r.page_index = e.page_index
+WHERE r.y BETWEEN e.y0 AND e.y1 AND r.x < 299 AND r.x + r.width > 301""")
+def boundary_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir).withColumn("x0", F.col("x")).withColumn("x1", F.col("x") + F.col("width"))
+    edges = rows.groupBy("doc_id", "page_index").agg(F.lit(300.0).alias("edge"), F.min("y").alias("y0"), (F.max("y") - 60).alias("y1"))
+    return sp.boundary_crossings(rows, edges)
+
+
+@query(f"""WITH {_ROWS}, s AS (SELECT doc_id, page_index, line_no, x AS x0, x + width AS x1 FROM rows_), o AS (SELECT doc_id, page_index, line_no, x0, x1 + CASE WHEN line_no % 5 = 2 THEN 30 ELSE 0 END AS x1 FROM s)
+SELECT o.doc_id, o.page_index, CAST(o.line_no AS INTEGER) AS row, (o.x0 >= s.x0 - 3 AND o.x1 <= s.x1 + 3) OR (abs((o.x0 + o.x1) / 2 - (s.x0 + s.x1) / 2) <= 8 AND o.x0 >= s.x0 - 15 AND o.x1 <= s.x1 + 22) AS inside
+FROM o JOIN s ON o.doc_id = s.doc_id AND o.page_index = s.page_index AND o.line_no = s.line_no""")
+def horizontal_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir).select("doc_id", "page_index", "row", "size", F.col("x").alias("x0"), (F.col("x") + F.col("width")).alias("x1"))
+    spans = sp.merged_spans(rows.select("doc_id", "page_index", "row", "x0", "x1"), ["doc_id", "page_index", "row"])
+    moved = rows.withColumn("x1", F.col("x1") + F.when(F.col("row") % 5 == 2, 30.0).otherwise(0.0))
+    return sp.contained(moved, spans)
+
+
+@query(f"""WITH {_ROWS} SELECT doc_id, page_index, CAST(line_no AS INTEGER) AS id, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY line_no % 2, y DESC, line_no) AS place FROM rows_""")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir).select("doc_id", "page_index", F.col("row").alias("id"), (F.lit(72.0) + 250 * (F.col("row") % 2) + F.col("row") % 3).alias("x"), "y")
+    return ln.reading_order(rows).select("doc_id", "page_index", "id", F.col("place").cast("long").alias("place"))
+
+
+# Relational queries over the driver's own tables: pricing, joins, windows, sets.
+@query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""")
+def price_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query("""SELECT n_name, round(sum(o_totalprice), 2) AS total, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    # Summed by customer before the join; the sizes of the dimensions are Catalyst's to check.
+    per = o.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"), F.count("*").alias("n"))
+    return per.join(c, per.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name").agg(F.round(F.sum("total"), 2).alias("total"), F.sum("n").alias("n"))
