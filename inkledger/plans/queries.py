@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from inkledger.functions import measures, text
 from inkledger.operators import coverage as cov
+from inkledger.operators import layout
 from inkledger.operators import lines as ln
 from inkledger.operators import quality as q
+from inkledger.operators import references as refs
 from inkledger.operators import segments as seg
 from inkledger.operators import spatial as sp
+from inkledger.operators import translate as tr
 from inkledger.sources import glyphs as gl
 from inkledger.sources.files import table
+from inkledger.sources.rounds import fresh_uri
+from inkledger.streaming import events as ev
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -424,3 +429,42 @@ def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Summed by customer before the join; the sizes of the dimensions are Catalyst's to check.
     per = o.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"), F.count("*").alias("n"))
     return per.join(c, per.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).groupBy("n_name").agg(F.round(F.sum("total"), 2).alias("total"), F.sum("n").alias("n"))
+
+
+# Queries that call a translator, walk lines in order, or run a stream.
+@query(f"""WITH {_LINES} SELECT doc_id, CAST(line_no AS INTEGER) AS id, md5(CASE WHEN pre THEN line ELSE '«' || line || '»' END) AS translated, CASE WHEN pre THEN 'prefilled' ELSE 'translated' END AS how
+FROM (SELECT *, trim(line) = '' OR NOT regexp_matches(line, '[\\p{{L}}\\p{{N}}]') OR regexp_full_match(trim(line), '((https?://|www\\.)[^ ]+|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{{2,}})( +((https?://|www\\.)[^ ]+|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{{2,}}))*') AS pre FROM lines)""")
+def translate_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = gl.lines(table(spark, sf_dir, "documents")).select("doc_id", F.col("line_no").alias("id"), F.col("line").alias("text"))
+    return tr.translate(segments, tr.Marked()).select("doc_id", "id", F.md5("translated").alias("translated"), "how")
+
+
+@query()
+def wrap_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gl.lines(table(spark, sf_dir, "documents")).where(F.trim("line") != "")
+    return rows.select("doc_id", "line_no", F.posexplode(layout.wrapped(F.col("line"), F.lit(30.0))).alias("part", "text"))
+
+
+@query()
+def fit_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gl.lines(table(spark, sf_dir, "documents")).where(F.trim("line") != "")
+    box = layout.fitted(F.col("line"), F.lit(468.0), 12.5 * F.ceil(F.length("line") / 94), F.lit(10.0))
+    return rows.select("doc_id", "line_no", box.alias("box")).select("doc_id", "line_no", F.size("box.lines").alias("n_lines"), F.round("box.size", 6).alias("size"))
+
+
+@query()
+def reference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return refs.reference_lines(gl.lines(table(spark, sf_dir, "documents")).select("doc_id", F.col("line_no").alias("row"), F.col("line").alias("text")))
+
+
+@query()
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", text.split_sentences("text").alias("sentences"))
+    return rows.select("doc_id", F.size("sentences").alias("n"), (F.array_join("sentences", "") == F.col("text")).alias("lossless"))
+
+
+@query("""SELECT * FROM (SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2)
+WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = ev.run_to_end(ev.hourly(ev.events(spark, sf_dir)), fresh_uri(spark, "hourly"))
+    return done.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 6).alias("total"))
