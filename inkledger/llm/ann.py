@@ -13,9 +13,11 @@ the true neighbours in the sample. Lists are scored exactly.
 Inner products become distances by one more component, the root of the
 greatest squared norm less the vector's own (0 for queries).
 
-Lists are cut into chunks of about ``CHUNK`` vectors by a hash, so a list that
-copies of a vector fill is many tasks; each chunk keeps its best few for each
-query, in one row.
+Neighbouring lists are put in groups of about ``GROUP`` vectors, and a list
+that alone has more, as copies of a vector make it, is cut into pieces of that
+size by a hash. A task holds one piece of a group and lets the queries of it
+pass by in batches; many queries are parted as well. Each query gets one row of
+its best few from each piece.
 
 Vectors that are null, zero, or hold null or non-finite components take no
 part, nor do those not of the most frequent dimension (the smaller, if two are
@@ -26,6 +28,7 @@ order of components. Empty tables give no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,21 +37,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkledger.llm.shared import materialize
+
 #: Vectors to a centroid, and centroids at most (they are held in memory).
-LIST = 128
+LIST = 256
 CENTROIDS = 4096
 #: Vectors that centroids and the ratio are fitted on, and queries of these that the ratio is tuned with.
 SAMPLE = 32768
 TUNED_ON = 256
-TARGET = 0.97
-COPIES = 8
-BOUNDARY = 1.1
-#: Vectors, and queries, to a chunk of a list.
-CHUNK = 8192
+TARGET = 0.94
+COPIES = 4
+BOUNDARY = 1.05
+#: Vectors to a piece of a group, and queries that may pass one task.
+GROUP = 4096
+QUERIES = 1_000_000
 #: Links of a centroid in the graph, entry points, and the least beam.
 LINKS = 16
 ENTRIES = 8
-BEAM = 64
+BEAM = 32
 
 
 def split_centroids(x: np.ndarray, count: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -184,7 +190,7 @@ class Index:
             inside = (at >= 0) & (far <= self.ratio * far[:, :1])
             if at.shape[1] < beam or at.shape[1] >= len(self.graph.centers) or not inside[:, -1].any():
                 return _pairs(at, inside)
-            beam *= 2
+            beam *= 4
 
 
 def _pairs(at: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,6 +251,72 @@ def build(rows: DataFrame, k: int) -> Index | None:
 
 
 _TOP = "query_id long, vec_ids array<long>, scores array<double>"
+_ROUTED = "group int, piece int, part int, kind int, id long, lists array<int>, v array<double>"
+
+
+def _by_row(row: np.ndarray, lists: np.ndarray, n: int) -> pa.ListArray:
+    """The lists of each of ``n`` rows; ``row`` rises."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), pa.array(lists.astype(np.int32)))
+
+
+def _routed(rows: list[tuple], kind: int, vectors: pa.Array) -> pa.RecordBatch:
+    group, piece, part, ids, lists, at = zip(*rows, strict=True) if rows else [()] * 6
+    numbers = [pa.array(x, pa.int32()) for x in (group, piece, part, [kind] * len(rows))]
+    return pa.record_batch([*numbers, pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.int32())), vectors.take(pa.array(at, pa.int64()))], names=["group", "piece", "part", "kind", "id", "lists", "v"])
+
+
+def _plan(centers: np.ndarray, sizes: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each list (-1: empty), and the pieces of each group. Lists in a group lie next to each other along the centroids' longest axis."""
+    axis = (centers - centers.mean(axis=0)) @ np.linalg.svd(centers - centers.mean(axis=0), full_matrices=False)[2][0]
+    group_of = np.full(len(centers), -1, dtype=np.int64)
+    pieces: list[int] = []
+    held = GROUP + 1
+    for x in np.argsort(axis, kind="stable").tolist():
+        n = sizes.get(x, 0)
+        if not n:
+            continue
+        if held + n > GROUP:
+            pieces.append(max(1, -(-n // GROUP)))
+            held = 0
+        group_of[x] = len(pieces) - 1
+        held += n
+    return group_of, np.array(pieces, dtype=np.int64)
+
+
+class _Block:
+    """The vectors of one piece of a group, and which lists they are in."""
+
+    def __init__(self, held: list[tuple], lists: int):
+        self.ids = np.concatenate([h[0] for h in held])
+        self.x = np.concatenate([h[1] for h in held])
+        own = [x for h in held for x in h[2]]
+        self.numbers = {x: i for i, x in enumerate(sorted({y for x in own for y in x}))}
+        self.member = np.zeros((len(self.numbers), len(own)), dtype=bool)
+        for i, x in enumerate(own):
+            for y in x:
+                self.member[self.numbers[y], i] = True
+
+    def best(self, queries: pa.RecordBatch, d: int, k: int) -> pa.RecordBatch:
+        """Each query's best few among the vectors of the lists that it reads."""
+        q, names, reads = _matrix(queries.column("v"), d), queries.column("id").to_pylist(), queries.column("lists").to_pylist()
+        rough = q @ self.x.T
+        out: tuple[list, list, list] = ([], [], [])
+        for j, name in enumerate(names):
+            at = [self.numbers[y] for y in reads[j] if y in self.numbers]
+            open_ = self.member[at].any(axis=0) & (self.ids != name)
+            column = np.where(open_, rough[j], -np.inf)
+            n = int(open_.sum())
+            if not n:
+                continue
+            if n > k:
+                bar = np.partition(column, len(column) - k)[len(column) - k]
+                others = np.flatnonzero(open_ & (column >= bar - 1e-9 * max(1.0, abs(bar))))
+            else:
+                others = np.flatnonzero(open_)
+            top, scores = _leading(self.ids[others], _exact(self.x[others], q[j]), k)
+            for a, b in zip(out, (name, top, scores), strict=True):
+                a.append(b)
+        return pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.float64()))], names=["query_id", "vec_ids", "scores"])
 
 
 def _exact(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -263,66 +335,71 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     rows = rows.where(F.size("v") == d)
     shared = spark.sparkContext.broadcast(index)  # bounded by CENTROIDS
 
-    def placed(pick: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(0, batch.num_rows, 512):
-                    part = batch.slice(i, 512)
-                    row, lists = getattr(shared.value, pick)(_matrix(part.column(1), d))
-                    yield pa.record_batch([part.column(0).take(pa.array(row)), pa.array(lists.astype(np.int32)), part.column(1).take(pa.array(row))], names=["vec_id", "list", "v"])
-
-        return run
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                row, lists = shared.value.lists_of(_matrix(part.column(1), d))
+                yield pa.record_batch([part.column(0), _by_row(row, lists, part.num_rows), part.column(1)], names=["vec_id", "lists", "v"])
 
-    schema = "vec_id long, list int, v array<double>"
+    posted = materialize(rows.mapInArrow(place, "vec_id long, lists array<int>, v array<double>"), "posted")
     asked = rows.where(queries).groupBy("vec_id").agg(F.max("v").alias("v"))
-    posted, probing = rows.mapInArrow(placed("lists_of"), schema), asked.mapInArrow(placed("lists_for"), schema)
-
-    def chunks(df: DataFrame) -> DataFrame:
-        """Pieces that each list is cut into; a row to a list."""
-        return df.groupBy("list").agg((F.lit(1) + F.floor(F.count("*") / CHUNK)).cast("int").alias("n"))
-
-    cut = {r["list"]: [r["n"], 1] for r in chunks(posted.select("list")).collect()}
-    for r in chunks(probing.select("list")).collect():
-        cut.setdefault(r["list"], [1, 1])[1] = r["n"]
-    # Most lists are one piece; the others' numbers are bounded by the centroids.
-    large = [(a, n, m) for a, (n, m) in cut.items() if n > 1 or m > 1]
-
-    def pieces(df: DataFrame, own: int) -> DataFrame:
-        """Each row in its own piece of its list, once for each piece of the other side's."""
-        if not large:
-            return df.withColumn("piece", F.lit(0)).withColumn("other", F.lit(0))
-        table = spark.createDataFrame([(a, x[own], x[1 - own]) for a, *x in large], "list int, n int, m int")
-        mixed = df.join(F.broadcast(table), "list", "left")
-        piece = F.coalesce(F.pmod(F.xxhash64("vec_id", "v"), F.col("n")).cast("int"), F.lit(0))
-        return mixed.withColumn("piece", piece).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("m"), F.lit(1)) - 1))).drop("n", "m")
-
-    left, right = pieces(posted, 0), pieces(probing, 1)
-
-    def score(key: tuple, vecs: pa.Table, qs: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "vec_ids": [], "scores": []}
-        if vecs.num_rows and qs.num_rows:
-            x, ids = _matrix(vecs.column("v").combine_chunks(), d), vecs.column("vec_id").to_numpy()
-            q, names = _matrix(qs.column("v").combine_chunks(), d), qs.column("vec_id").to_numpy()
-            for i in range(0, len(q), 256):
-                rough = x @ q[i : i + 256].T
-                for j in range(rough.shape[1]):
-                    name, column = names[i + j], rough[:, j]
-                    others = np.flatnonzero(ids != name)
-                    if not len(others):
-                        continue
-                    column = column[others]
-                    if len(others) > k:
-                        bar = np.partition(column, len(column) - k)[len(column) - k]
-                        others = others[column >= bar - 1e-9 * max(1.0, abs(bar))]
-                    exact = _exact(x[others], q[i + j])
-                    top, scores = _leading(ids[others], exact, k)
-                    out["query_id"].append(int(name))
-                    out["vec_ids"].append(top)
-                    out["scores"].append(scores)
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_ids": pa.array(out["vec_ids"], pa.list_(pa.int64())), "scores": pa.array(out["scores"], pa.list_(pa.float64()))})
-
-    # The other side's number of pieces is the key's second part on the left, the first on the right.
-    found = left.groupBy("list", "piece", "other").cogroup(right.groupBy("list", "other", "piece")).applyInArrow(score, _TOP)
+    sizes = {r["list"]: r["n"] for r in posted.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row to a centroid
+    plan = spark.sparkContext.broadcast(_plan(index.graph.centers, sizes))
+    parts = 1 + asked.count() // QUERIES
+
+    def posting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group_of, pieces = plan.value
+        for batch in batches:
+            ids, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows: list[tuple] = []
+            for k, (vec_id, own) in enumerate(zip(ids, lists, strict=True)):
+                for g in {int(group_of[x]) for x in own}:
+                    piece = (zlib.crc32(b"%d" % vec_id) + k) % int(pieces[g])
+                    rows += [(g, piece, part, vec_id, [x for x in own if group_of[x] == g], k) for part in range(parts)]
+            yield _routed(rows, 0, batch.column(2))
+
+    def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group_of, pieces = plan.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                row, lists = shared.value.lists_for(_matrix(part.column(1), d))
+                ids = part.column(0).to_pylist()
+                rows: list[tuple] = []
+                for k, own in enumerate(_by_row(row, lists, part.num_rows).to_pylist()):
+                    by: dict[int, list[int]] = {}
+                    for x in own:
+                        if group_of[x] >= 0:
+                            by.setdefault(int(group_of[x]), []).append(x)
+                    rows += [(g, piece, zlib.crc32(b"%d" % ids[k]) % parts, ids[k], x, k) for g, x in by.items() for piece in range(int(pieces[g]))]
+                yield _routed(rows, 1, part.column(1))
+
+    routed = posted.mapInArrow(posting, _ROUTED).unionByName(asked.mapInArrow(probing, _ROUTED))
+    keys = ["group", "piece", "part"]
+    placed = routed.repartition(*keys).sortWithinPartitions(*keys, "kind")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, block = None, [], None
+        for batch in batches:
+            marks = np.stack([batch.column(c).to_numpy() for c in ("group", "piece", "part", "kind")], axis=1)
+            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(marks)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                *here, kind = marks[a].tolist()
+                if here != key:
+                    key, held, block = here, [], None
+                part = batch.slice(a, b - a)
+                if kind == 0:
+                    held.append((part.column("id").to_numpy(), _matrix(part.column("v"), d), part.column("lists").to_pylist()))
+                elif held:
+                    if block is None:
+                        block = _Block(held, len(shared.value.graph.centers))
+                    for i in range(0, b - a, 256):
+                        yield block.best(part.slice(i, 256), d, k)
+
+    found = placed.mapInArrow(score, _TOP)
 
     def merge(key: tuple, parts: pa.Table) -> pa.Table:
         ids = parts.column("vec_ids").combine_chunks().flatten().to_numpy()

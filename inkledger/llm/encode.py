@@ -22,6 +22,8 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from inkledger.llm.shared import give_back
+
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 #: Pieces that a worker remembers before it forgets half; bounds its memory.
@@ -32,6 +34,8 @@ LONGEST = 32
 SHORT = 16
 #: Bytes of text encoded at a time.
 SLICE = 3 << 20
+#: The same two where nothing else takes a worker's or its executor's memory.
+ROOMY = {"memory": 800_000, "slice_bytes": 8 << 20}
 
 #: Two characters of white space in a row, as str.isspace() has it (or the tokenizers; theirs is the smaller set).
 _RUN = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]{2}"
@@ -43,7 +47,7 @@ _LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _
 #: Marks that are tokens apart after a letter.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[tuple, "Encoder"] = {}
 
 
 def vocabulary_path(name: str) -> str:
@@ -51,7 +55,7 @@ def vocabulary_path(name: str) -> str:
 
 
 class Encoder:
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, memory: int = MEMORY, slice_bytes: int = SLICE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -77,6 +81,7 @@ class Encoder:
         self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.edge[list(vocabulary.values())] = edge
         self.known: dict[str, bytes] = {}
+        self.memory, self.slice_bytes = memory, slice_bytes
 
     def _encode(self, texts: list[str], by=None) -> list[bytes]:
         code = "H" if self.type.itemsize == 2 else "I"  # little-endian machines, as Spark's and Arrow's
@@ -147,9 +152,10 @@ class Encoder:
         ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
         start = 0
         while start < len(texts):
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE, "right")))
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + self.slice_bytes, "right")))
             yield self._slice(texts.slice(start, stop - start).cast(pa.large_string()))
             start = stop
+        give_back()
 
     def batch(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text, in ``type``."""
@@ -162,7 +168,7 @@ class Encoder:
         return np.concatenate([np.empty(0, np.int64), *(np.diff(ends, prepend=0) for _, ends in self.slices(texts))])
 
     def _lookup(self, pieces: list[str]) -> list[bytes]:
-        if len(self.known) > MEMORY:
+        if len(self.known) > self.memory:
             # Every other piece goes; what is frequent is soon back.
             self.known = dict(list(self.known.items())[::2])
         ids = list(map(self.known.get, pieces))
@@ -192,7 +198,9 @@ class Encoder:
         firsts = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
         pieces = cut.flatten().dictionary_encode()
         which = pieces.indices.to_numpy().copy()
-        ids = self._lookup(pieces.dictionary.to_pylist())
+        # No piece has a space in it, so one string of all comes apart again; that is faster than one by one.
+        distinct = pa.LargeListArray.from_arrays([0, len(pieces.dictionary)], pieces.dictionary)
+        ids = self._lookup(pc.binary_join(distinct, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")) if len(pieces.dictionary) else []
         if not self.drops_space:  # a text's first piece has no space before it
             heads = pieces.take(pa.array(firsts)).to_pylist()
             which[firsts] = len(ids) + np.arange(len(heads))
@@ -223,8 +231,9 @@ def _letters(text: str) -> str:
     return text.encode().decode("latin-1").translate(_LETTERS)
 
 
-def encoder(vocabulary: str) -> Encoder:
+def encoder(vocabulary: str, memory: int = MEMORY, slice_bytes: int = SLICE) -> Encoder:
     """This worker's encoder; loaded once."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
+    key = (vocabulary, memory, slice_bytes)
+    if key not in _encoders:
+        _encoders[key] = Encoder(vocabulary, memory, slice_bytes)
+    return _encoders[key]

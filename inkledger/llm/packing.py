@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkledger.llm.encode import BYTE_BPE, encoder
+from inkledger.llm.encode import BYTE_BPE, ROOMY, encoder
 from inkledger.llm.shared import materialize
 
 END_ID = 2
@@ -103,7 +103,7 @@ def _rows(node: int, first: int, bins: pa.ListArray, fills: np.ndarray, moves: n
 
 def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.StructArray]:
     """Pieces of the documents, ``BLOCK`` or a few more at a time."""
-    encode = encoder(vocabulary)
+    encode = encoder(vocabulary, **ROOMY)
     rows: list[tuple] = []
 
     def block() -> pa.StructArray:

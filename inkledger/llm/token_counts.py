@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkledger.llm.encode import BYTE_BPE, encoder
+from inkledger.llm.encode import BYTE_BPE, ROOMY, encoder
 
 
 def lengths(docs: DataFrame, vocabulary: str = BYTE_BPE, text_col: str = "text") -> DataFrame:
     """n_tokens, n_docs: partial counts of each batch of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, **ROOMY)
         for batch in batches:
             found = pa.array(encode.lengths(batch.column(0))).value_counts()
             yield pa.record_batch({"n_tokens": found.field("values"), "n_docs": found.field("counts")})

@@ -37,7 +37,7 @@ def test_query_recall_order_and_scores(spark):
     assert hits >= 0.9 * 20 * len(want)
 
 
-def test_chunks_of_hot_lists_change_nothing(spark, monkeypatch):
+def test_pieces_of_hot_lists_change_nothing(spark, monkeypatch):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 6))
     x[200:420] = x[3]  # a hot group of copies
@@ -46,8 +46,9 @@ def test_chunks_of_hot_lists_change_nothing(spark, monkeypatch):
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     results = []
-    for chunk in (10**6, 16):
-        monkeypatch.setattr(ann, "CHUNK", chunk)
+    for size, queries in ((10**6, 10**6), (16, 7)):
+        monkeypatch.setattr(ann, "GROUP", size)
+        monkeypatch.setattr(ann, "QUERIES", queries)
         results.append(sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 20 == 0, 5).collect())))
     assert results[0] == results[1]
     ids = np.arange(600)
