@@ -1,0 +1,35 @@
+"""Lines that are names: people, bylines, institutions, author lists."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Particles of names, cues of an institution.
+PARTICLES = "von|van|de|del|der|di|la|le|da|dos|das|bin|al"
+INSTITUTIONS = "University|Institute|Laboratory|Laboratories|College|School|Department|Faculty|Academy|Centre|Center|Research|Inc|Ltd|GmbH|Corporation|Hospital"
+_TOKEN = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)*"
+_PERSON = rf"{_TOKEN}(?: (?:\p{{Lu}}\.(?:-?\p{{Lu}}\.)*|{PARTICLES}|{_TOKEN})){{1,4}}"
+_MARKS = r"(?:[0-9*†‡§,]+)?"
+
+
+def is_person(text: Column) -> Column:
+    t = F.trim(text)
+    return t.rlike(f"^{_PERSON}$") & ~t.rlike(rf"\b(?:{INSTITUTIONS})\b")
+
+
+def is_byline(text: Column) -> Column:
+    return F.trim(text).rlike(rf"^(?:[Bb]y |[Aa]uthors?: ){_PERSON}(?:(?:, | and |, and ){_PERSON})*$")
+
+
+def is_institution(text: Column) -> Column:
+    t = F.trim(text)
+    return t.rlike(rf"\b(?:{INSTITUTIONS})\b") & (F.length(t) < 160) & ~t.rlike(r"[.?!]$") & F.forall(F.split(F.regexp_replace(t, r"[^\p{L} ]", " "), " +"), lambda w: (w == "") | w.rlike(r"^\p{Lu}") | w.isin("of", "for", "and", "the", "at", "in", "de", "für", "la"))
+
+
+def is_author_list(text: Column) -> Column:
+    return F.trim(text).rlike(rf"^{_PERSON}{_MARKS}(?:(?:, | and |, and |; ){_PERSON}{_MARKS})+$")
+
+
+def name_kind(text: Column) -> Column:
+    return F.when(is_byline(text), "byline").when(is_author_list(text), "authors").when(is_institution(text), "institution").when(is_person(text), "person")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkledger.functions import measures, text
+from inkledger.functions import measures, names, text
+from inkledger.functions import repairs as rep
+from inkledger.operators import anomalies as an
 from inkledger.operators import coverage as cov
-from inkledger.operators import layout
+from inkledger.operators import fonts, layout
 from inkledger.operators import lines as ln
 from inkledger.operators import quality as q
 from inkledger.operators import references as refs
@@ -468,3 +470,107 @@ WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = ev.run_to_end(ev.hourly(ev.events(spark, sf_dir)), fresh_uri(spark, "hourly"))
     return done.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+# Layout checks.
+_BOXES = f"""{_ROWS}, b AS (SELECT doc_id, page_index, line_no AS key, x AS x0, x + width AS x1, y - 2 + CASE WHEN line_no % 11 = 5 THEN 7.0 ELSE 0.0 END AS y0, y + 8 + CASE WHEN line_no % 11 = 5 THEN 7.0 ELSE 0.0 END AS y1 FROM rows_)"""
+
+
+@query(f"""WITH {_BOXES} SELECT a.doc_id, a.page_index, CAST(a.key AS INTEGER) AS a, CAST(b.key AS INTEGER) AS b, round(CAST((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS DOUBLE), 6) AS area
+FROM b AS a JOIN b ON a.doc_id = b.doc_id AND a.page_index = b.page_index AND a.key < b.key
+WHERE least(a.x1, b.x1) - greatest(a.x0, b.x0) >= 1.5 AND least(a.y1, b.y1) - greatest(a.y0, b.y0) >= 1.2
+  AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 0.25 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))""")
+def overlap_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    up = F.when(F.col("row") % 11 == 5, 7.0).otherwise(0.0)
+    boxes = _rows(spark, sf_dir).select("doc_id", "page_index", F.col("row").alias("key"), F.col("x").alias("x0"), (F.col("y") - 2 + up).alias("y0"), (F.col("x") + F.col("width")).alias("x1"), (F.col("y") + 8 + up).alias("y1"))
+    return an.overlapping(boxes).withColumn("area", F.round("area", 6))
+
+
+@query(f"""WITH {_ROWS}, o AS (SELECT *, y + CASE WHEN line_no % 4 = 1 THEN 5.0 WHEN line_no % 4 = 2 THEN 30.0 ELSE 0.0 END AS oy FROM rows_),
+m AS (SELECT o.doc_id, o.page_index, o.line_no AS row, s.line_no AS source_row, abs(o.oy - s.y) AS delta, row_number() OVER (PARTITION BY o.doc_id, o.line_no ORDER BY abs(o.oy - s.y), s.line_no) AS k
+  FROM o JOIN rows_ s ON o.doc_id = s.doc_id AND o.page_index = s.page_index AND abs(o.oy - s.y) <= 8)
+SELECT doc_id, page_index, CAST(row AS INTEGER) AS row, CAST(source_row AS INTEGER) AS source_row, CAST(delta AS DOUBLE) AS delta FROM m WHERE k = 1""")
+def closest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    moved = rows.withColumn("y", F.col("y") + F.when(F.col("row") % 4 == 1, 5.0).when(F.col("row") % 4 == 2, 30.0).otherwise(0.0))
+    return an.closest_line(moved.select("doc_id", "page_index", "row", "y", "size"), rows)
+
+
+@query(f"""WITH {_LINES}, r AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '[0-9]+')) AS run FROM lines) SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, run, count(*) AS n FROM r GROUP BY ALL""")
+def math_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return an.math_runs(_glyphs(spark, sf_dir)).groupBy("doc_id", "line_no", "run").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_ROWS}, c AS (SELECT doc_id, page_index, list_sort(list(length(rtrim(text || ' .. ' || line_no)))) AS s, count(*) AS n FROM rows_ WHERE regexp_matches(rtrim(text || ' .. ' || line_no), '[^0-9 ][ .]+[0-9]{{1,4}}$') GROUP BY ALL)
+SELECT doc_id, page_index, n AS n_rows, CAST(s[n // 2 + 1] AS INTEGER) AS median_length FROM c WHERE n >= 4 AND s[n // 2 + 1] < 90""")
+def contents_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir)
+    return an.contents_pages(rows.withColumn("text", F.concat("text", F.lit(" .. "), F.col("row").cast("string"))))
+
+
+@query(f"""WITH {_ROWS}, e AS (SELECT doc_id, page_index, CASE WHEN line_no % 3 = 0 THEN 310.0 ELSE 72.0 END + line_no % 5 AS x FROM rows_),
+c AS (SELECT doc_id, page_index, CASE WHEN x < 200 THEN 0 ELSE 1 END AS side, min(x) AS x, count(*) AS n FROM e GROUP BY ALL HAVING count(*) >= 3)
+SELECT doc_id, page_index, CAST(min(x) AS DOUBLE) AS "left", CAST(max(x) AS DOUBLE) AS "right" FROM c GROUP BY doc_id, page_index HAVING count(*) = 2""")
+def column_gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, sf_dir).withColumn("x", F.when(F.col("row") % 3 == 0, 310.0).otherwise(72.0) + F.col("row") % 5)
+    return an.column_gutter(rows)
+
+
+@query(f"""WITH {_GLYPHS}, d AS (SELECT doc_id, line_no, pos - row_number() OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS g, id FROM seen WHERE font_name = 'CMMI10')
+SELECT doc_id, min(id) OVER (PARTITION BY doc_id, line_no, g) AS cluster, id FROM d""")
+def script_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = gl.visible(_glyphs(spark, sf_dir)).where("font_name = 'CMMI10'")
+    return an.clusters(digits.select("doc_id", "page_index", "id", "x", "y"), 5.0).select("doc_id", "cluster", "id")
+
+
+@query(f"""WITH {_LINES}, w AS (SELECT doc_id, line_no, unnest(list_slice(regexp_extract_all(line, '[^ ]+'), 1, 3)) AS t, generate_subscripts(list_slice(regexp_extract_all(line, '[^ ]+'), 1, 3), 1) - 1 AS k FROM lines)
+SELECT a.doc_id, CAST(a.line_no * 3 + a.k AS BIGINT) AS id, coalesce(string_agg(b.t, ' | ' ORDER BY b.k), '') AS row_text FROM w a LEFT JOIN w b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND a.k <> b.k
+GROUP BY a.doc_id, a.line_no, a.k HAVING count(b.k) > 0 OR EXISTS (SELECT 1 FROM w c WHERE c.doc_id = a.doc_id AND c.k = a.k AND c.line_no // 50 = a.line_no // 50 AND c.line_no <> a.line_no AND abs(c.line_no - a.line_no) <= 8)""")
+def cell_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = gl.lines(table(spark, sf_dir, "documents")).select("doc_id", "page_index", "line_no", "row", F.posexplode(F.slice(text.found("line", "[^ ]+"), 1, 3)).alias("k", "text"))
+    cells = words.select("doc_id", "page_index", (F.col("line_no") * 3 + F.col("k")).cast("long").alias("id"), (72.0 + 150 * F.col("k")).alias("x0"), (72.0 + 150 * F.col("k") + 100).alias("x1"), (720.0 - 12 * F.col("row")).alias("y"), F.lit(10.0).alias("size"), "text")
+    return an.cell_context(cells).select("doc_id", "id", "row_text")
+
+
+#: Pairs for the repairs, with what comes out.
+_REPAIRS = [("It is 41.8 wide", "It is 41.0 wide", "It is 41.8 wide"), ("a b", "the the end", "the end"), ("x", "中 文", "中文"), ("End.", "完。。", "完。"), ("The cat", "猫 (the cat)在", "猫在"), ("Pay 5 and 5", "Pay 5 and 6", "Pay 5 and 5"), ("Fine", "Gut", "Gut")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{r}', '{o}')" for s, r, o in _REPAIRS) + ") AS v(source, reply, repaired)")
+def repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(s, r) for s, r, _ in _REPAIRS], "source string, reply string")
+    return rows.select("source", "reply", rep.repair(F.col("source"), F.col("reply")).alias("repaired"))
+
+
+#: Lines that are names, and what kind.
+_NAMES = [("Ada Lovelace", "person"), ("By Ada Lovelace and Alan M. Turing", "byline"), ("Ada Lovelace1, Alan Turing2", "authors"), ("Department of Physics, Example University", "institution"), ("We study names here", None), ("Ludwig van Beethoven", "person")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {repr(k) if k else 'NULL'})" for t, k in _NAMES) + ") AS v(text, kind)")
+def name_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(t,) for t, _ in _NAMES], "text string").select("text", names.name_kind(F.col("text")).alias("kind"))
+
+
+@query("""SELECT how, count(*) AS n, md5(string_agg(unicode, '' ORDER BY code)) AS digest FROM (SELECT p_partkey % 400 AS code, CASE WHEN p_partkey % 400 % 7 = 0 THEN 'single' WHEN p_partkey % 400 BETWEEN 100 AND 299 THEN 'range' WHEN p_partkey % 400 BETWEEN 32 AND 126 THEN 'encoding' ELSE 'unmapped' END AS how,
+  CASE WHEN p_partkey % 400 % 7 = 0 THEN '*' WHEN p_partkey % 400 BETWEEN 100 AND 299 THEN chr(CAST(p_partkey % 400 + 844 AS INTEGER)) WHEN p_partkey % 400 BETWEEN 32 AND 126 THEN chr(CAST(p_partkey % 400 AS INTEGER)) ELSE chr(65533) END AS unicode FROM part) GROUP BY how""")
+def font_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = table(spark, sf_dir, "part").select(F.lit("F").alias("font"), (F.col("p_partkey") % 400).alias("code"))
+    singles = spark.range(0, 400, 7).select(F.lit("F").alias("font"), F.col("id").alias("code"), F.lit("*").alias("text"))
+    ranges = spark.createDataFrame([("F", 100, 299, 944)], "font string, low long, high long, base long")
+    encoding = spark.range(32, 127).select(F.col("id").alias("code"), F.char("id").alias("text"))
+    rows = fonts.decode(codes, singles, ranges, encoding)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("code", "unicode"))), lambda s: s["unicode"]), "")
+    return rows.groupBy("how").agg(F.count("*").alias("n"), F.md5(joined).alias("digest"))
+
+
+@query(r"""SELECT c, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE trim(c) <> '' AND NOT regexp_matches(c, '^[A-Za-z0-9.,\n]$') GROUP BY c""")
+def uncovered_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    covered = spark.createDataFrame([(c,) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.,\n"], "c string")
+    return fonts.uncovered(table(spark, sf_dir, "documents").select("text"), covered)
+
+
+@query("""WITH t AS (SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS n FROM conversations)
+SELECT conv_id, n AS upper_median FROM (SELECT conv_id, n, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS k, count(*) OVER (PARTITION BY conv_id) AS c FROM t) WHERE k = c // 2 + 1""")
+def upper_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.length("text").cast("long")).alias("sizes"))
+    return rows.select("conv_id", measures.upper_median(F.col("sizes")).alias("upper_median"))
