@@ -8,7 +8,8 @@ centroids are searched by a graph in memory: each has links to its nearest
 ones, and a beam of queries walks it together. A query takes all lists whose
 centroid is at most a certain times as far as the nearest one; that ratio is
 tuned on the sample, the least at which its lists hold the share ``TARGET`` of
-the true neighbours in the sample. Lists are scored exactly.
+the true neighbours in the sample; where those lists hold too few vectors, the
+next ones are read as well. Lists are scored exactly.
 
 Inner products become distances by one more component, the root of the
 greatest squared norm less the vector's own (0 for queries).
@@ -181,15 +182,19 @@ class Index:
         at, far = at[:, :COPIES], far[:, :COPIES]
         return _pairs(at, (at >= 0) & (far <= BOUNDARY * far[:, :1]))
 
-    def lists_for(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) for the lists that each query reads: all within the ratio, found with a beam that is widened until it holds them."""
+    def lists_for(self, q: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) for the lists that each query reads: all within the ratio, and the nearest till they hold ``least`` rows.
+
+        The beam is widened until it has gone past the last of them.
+        """
         padded = np.concatenate([q, np.zeros((len(q), 1))], axis=1)
         beam = BEAM
         while True:
             at, far = self.graph.search(padded, beam)
-            inside = (at >= 0) & (far <= self.ratio * far[:, :1])
-            if at.shape[1] < beam or at.shape[1] >= len(self.graph.centers) or not inside[:, -1].any():
-                return _pairs(at, inside)
+            held = np.where(at >= 0, sizes[at], 0)
+            wanted = (at >= 0) & ((far <= self.ratio * far[:, :1]) | (np.cumsum(held, axis=1) - held < least))
+            if at.shape[1] < beam or at.shape[1] >= len(self.graph.centers) or not wanted[:, -1].any():
+                return _pairs(at, wanted)
             beam *= 4
 
 
@@ -345,11 +350,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     posted = materialize(rows.mapInArrow(place, "vec_id long, lists array<int>, v array<double>"), "posted")
     asked = rows.where(queries).groupBy("vec_id").agg(F.max("v").alias("v"))
     sizes = {r["list"]: r["n"] for r in posted.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row to a centroid
-    plan = spark.sparkContext.broadcast(_plan(index.graph.centers, sizes))
+    plan = spark.sparkContext.broadcast((*_plan(index.graph.centers, sizes), np.array([sizes.get(x, 0) for x in range(len(index.graph.centers))])))
     parts = 1 + asked.count() // QUERIES
 
     def posting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group_of, pieces = plan.value
+        group_of, pieces, _ = plan.value
         for batch in batches:
             ids, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows: list[tuple] = []
@@ -360,19 +365,19 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
             yield _routed(rows, 0, batch.column(2))
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group_of, pieces = plan.value
+        group_of, pieces, counts = plan.value
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                row, lists = shared.value.lists_for(_matrix(part.column(1), d))
+                row, lists = shared.value.lists_for(_matrix(part.column(1), d), counts, COPIES * (k + 1))
                 ids = part.column(0).to_pylist()
                 rows: list[tuple] = []
-                for k, own in enumerate(_by_row(row, lists, part.num_rows).to_pylist()):
+                for j, own in enumerate(_by_row(row, lists, part.num_rows).to_pylist()):
                     by: dict[int, list[int]] = {}
                     for x in own:
                         if group_of[x] >= 0:
                             by.setdefault(int(group_of[x]), []).append(x)
-                    rows += [(g, piece, zlib.crc32(b"%d" % ids[k]) % parts, ids[k], x, k) for g, x in by.items() for piece in range(int(pieces[g]))]
+                    rows += [(g, piece, zlib.crc32(b"%d" % ids[j]) % parts, ids[j], x, j) for g, x in by.items() for piece in range(int(pieces[g]))]
                 yield _routed(rows, 1, part.column(1))
 
     routed = posted.mapInArrow(posting, _ROUTED).unionByName(asked.mapInArrow(probing, _ROUTED))

@@ -62,8 +62,8 @@ def discard(spark: SparkSession, *frames: DataFrame | str) -> None:
 def publish(uri: str, write) -> None:
     """Call ``write(stream)`` on a file of this task attempt's own, then move it to ``uri``.
 
-    A task that runs twice (retry, speculation) writes equal bytes; the last move wins and
-    no reader sees half a file.
+    A task that runs twice (retry, speculation) writes equal bytes, so the first file stays,
+    and no reader sees half of one.
     """
     fs, path = open_fs(uri)
     context = TaskContext.get()
@@ -71,7 +71,10 @@ def publish(uri: str, write) -> None:
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     with fs.open_output_stream(attempt, compression=None) as out:
         write(out)
-    fs.move(attempt, path)
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        fs.delete_file(attempt)
+    else:
+        fs.move(attempt, path)
 
 
 def give_back() -> None:

@@ -74,3 +74,12 @@ def test_edge_rows(spark):
     assert got == [(0, 1, 1, 1.0), (0, 2, 3, 1.0), (0, 3, 2, 0.5), (0, 4, 140, -1.0), (140, 1, 2, -0.5), (140, 2, 0, -1.0), (140, 3, 1, -1.0), (140, 4, 3, -1.0)]
     assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert ann.nearest(df.where("vec_id = 20"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_every_query_gets_all_that_there_are(spark):
+    rng = np.random.default_rng(3)
+    for n in (15, 21, 1500):  # the last has lists of few vectors
+        x = rng.normal(size=(n, 8)) + (np.arange(n) % 6)[:, None] * 50
+        df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+        got = ann.nearest(df, F.col("vec_id") % 20 == 0, 20).groupBy("query_id").count().collect()
+        assert len(got) == -(-n // 20) and all(r["count"] == min(20, n - 1) for r in got)
