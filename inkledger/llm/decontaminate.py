@@ -31,7 +31,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkledger.llm.shared import materialize, open_fs
+from inkledger.llm.shared import give_back, materialize, open_fs
 
 #: Words of a window.
 WINDOW = 10
@@ -244,5 +244,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
         for batch in batches:
             clean = [x.hit is None or not x.hit.any() for _, x in find(batch.column(place).cast(pa.binary()))]
             yield batch.filter(pa.array(clean, pa.bool_()))
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)

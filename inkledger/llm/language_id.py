@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkledger.llm.shared import give_back
+
 NONE = "und"
 #: Documents that the classifiers are fitted on.
 SAMPLE = 4000
@@ -202,5 +204,6 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             langs, _, unsure = _predict(model, batch.column(place))
             yield batch.filter(pa.array([lang != NONE and not u for lang, u in zip(langs, unsure, strict=True)], pa.bool_()))
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -101,9 +101,9 @@ def _rows(node: int, first: int, bins: pa.ListArray, fills: np.ndarray, moves: n
     return pa.record_batch([pa.array(np.full(n, node, np.int32)), pa.array(np.arange(first, first + n)), pa.array(fills.astype(np.int32)), pa.array(moves), bins], schema=_BINS)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.StructArray]:
+def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, room: dict) -> Iterator[pa.StructArray]:
     """Pieces of the documents, ``BLOCK`` or a few more at a time."""
-    encode = encoder(vocabulary, **ROOMY)
+    encode = encoder(vocabulary, **room)
     rows: list[tuple] = []
 
     def block() -> pa.StructArray:
@@ -128,14 +128,17 @@ def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.S
         yield block()
 
 
-def pack(docs: DataFrame, vocabulary: str = BYTE_BPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, vocabulary: str = BYTE_BPE, id_col: str = "doc_id", text_col: str = "text", room: dict = ROOMY) -> DataFrame:
+    """Pieces with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    ``room``: what the encoder may take of a worker's memory; the result does not depend on it.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, n = TaskContext.get().partitionId(), 0
         held, sizes = pa.array([], pa.list_(_PIECE)), np.empty(0, np.int64)
-        for block in _pieces(batches, vocabulary):
+        for block in _pieces(batches, vocabulary, room):
             singles = pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1), pa.int32()), block)
             bins, fills = _merge(pa.concat_arrays([held, singles]), np.concatenate([sizes, block.field("length").to_numpy()]))
             moves = _open(fills)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkledger.llm.components import components
-from inkledger.llm.shared import discard, materialize
+from inkledger.llm.shared import discard, give_back, materialize
 
 SEED = 42
 SHINGLE = 3
@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
         for batch in batches:
             found = [fingerprint(x.as_py() or b"", shingle) for x in batch.column(1)]
             yield pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(np.array(found, dtype=np.uint64).view(np.int64))})
+            give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, fp long")
