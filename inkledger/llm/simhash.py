@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkledger.llm.components import components
 from inkledger.llm.shared import discard, give_back, materialize
@@ -148,7 +149,10 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the least id that links reach)."""
+    """doc_id, fingerprint (16 hex digits), component_id (the least id that links reach), root.
+
+    ``root`` names a component also where ids repeat: the least fingerprint in it.
+    """
     spark = docs.sparkSession
     marked = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
@@ -157,7 +161,42 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     # Written first, so that both joins on hot keys can be split.
     named = materialize(named, "components")
-    placed = materialize(placed.select("fp", "root").join(named, "root").select("fp", "component_id"), "placed")
-    out = marked.join(placed, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    placed = materialize(placed.select("fp", "root").join(named, "root").select("fp", "component_id", "root"), "placed")
+    digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    out = marked.join(placed, "fp").select("doc_id", digits("fp").alias("fingerprint"), "component_id", digits("root").alias("root"))
     discard(spark, classes, named, roots)
     return out
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies: that with the least id.
+
+    A row without an id can't be named as the one that stays, and stays itself. Ids that
+    repeat are told apart by their fingerprints, so different texts under one id both count;
+    only those rows are fingerprinted once more.
+    """
+    names = docs.columns
+    rows = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    own, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    key = F.col(own).cast("long")
+    groups = materialize(near_duplicates(docs, shingle, id_col, text_col), "groups")
+    first = F.min(F.struct("doc_id", "fingerprint")).alias("m")
+    stays = groups.where("doc_id is not null").groupBy("root").agg(first).select("m.doc_id", "m.fingerprint")
+    stays = materialize(stays, "stays")
+    repeated = materialize(groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    found = rows.join(stays, key == stays.doc_id, "left_semi")
+    nameless = rows.where(F.col(own).isNull())
+    if repeated.isEmpty():
+        return found.unionByName(nameless).toDF(*names)
+    single = found.join(repeated, key == repeated.doc_id, "left_anti")
+    again = found.join(repeated, key == repeated.doc_id, "left_semi")
+    place = int(text[1:])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [f"{fingerprint(x.as_py() or b'', shingle):016x}" for x in batch.column(place).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.string())], names=[*batch.schema.names, "mark"])
+
+    again = again.mapInArrow(mark, T.StructType([*again.schema.fields, T.StructField("mark", T.StringType())]))
+    again = again.join(stays, (key == stays.doc_id) & (F.col("mark") == stays.fingerprint), "left_semi").dropDuplicates([own, "mark"]).drop("mark")
+    return single.unionByName(again).unionByName(nameless).toDF(*names)

@@ -24,6 +24,7 @@ left the score is 0 for all; repeated rows stay; extra columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -197,8 +198,6 @@ class Model:
 
 def _single(examples: list[tuple[int, int, dict]]) -> list[tuple[int, int, dict]]:
     """Near copies once, by the least hashes of their words: copies are no evidence of their own."""
-    import zlib
-
     seen, out = set(), []
     for x in sorted(examples, key=lambda e: e[0]):
         key = tuple(sorted(map(zlib.crc32, x[2]))[:4]) if x[2] else None
