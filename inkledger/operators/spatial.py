@@ -2,7 +2,8 @@
 
 A box or point belongs to the cells of a grid that it touches. Joins are by
 page and cell, so a page's boxes never meet all against all; the exact test
-and the removal of pairs found twice follow.
+and the removal of pairs found twice follow. The joins ask for a merge: sizes are
+guessed far too low behind a generator, and Spark would broadcast a side.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def touching(left: DataFrame, right: DataFrame, pad: float = 0.0, cell: float =
     # One box to a cell and place will do for a test of existence.
     b = right.select(*PAGE, "x0", "y0", "x1", "y1").distinct().withColumn("cy", _cells(F.col("y0") - pad, F.col("y1") + pad, cell)).withColumn("cx", _cells(F.col("x0") - pad, F.col("x1") + pad, 8 * cell)).alias("b")
     same = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page_index") == F.col("b.page_index")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.cx") == F.col("b.cx"))
-    return a.join(b, same & boxes_touch("a", "b", pad), "left_semi").select(*PAGE, "key").distinct()
+    return a.join(b.hint("merge"), same & boxes_touch("a", "b", pad), "left_semi").select(*PAGE, "key").distinct()
 
 
 def nearest(points: DataFrame, others: DataFrame, within: float = 0.8) -> DataFrame:
@@ -36,7 +37,7 @@ def nearest(points: DataFrame, others: DataFrame, within: float = 0.8) -> DataFr
     b = others.select(*PAGE, F.col("id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     b = b.select("*", F.inline(F.array(*around)))
     b = b.withColumn("gx", F.floor(F.col("ox") / within) + F.col("dx")).withColumn("gy", F.floor(F.col("oy") / within) + F.col("dy")).drop("dx", "dy")
-    met = a.join(b, [*PAGE, "gx", "gy"]).withColumn("distance", F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))).where(F.col("distance") <= within)
+    met = a.join(b.hint("merge"), [*PAGE, "gx", "gy"]).withColumn("distance", F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))).where(F.col("distance") <= within)
     best = met.groupBy("doc_id", "id").agg(F.min(F.struct("distance", "other_id")).alias("m"))
     return best.select("doc_id", "id", F.col("m.other_id").alias("other_id"), F.col("m.distance").alias("distance"))
 
