@@ -32,11 +32,10 @@ def touching(left: DataFrame, right: DataFrame, pad: float = 0.0, cell: float =
 
 def nearest(points: DataFrame, others: DataFrame, within: float = 0.8) -> DataFrame:
     """Each point (doc_id, page_index, id, x, y) with the nearest other at most ``within`` away: other_id, distance; ties to the smaller id."""
-    a = points.withColumn("gx", F.floor(F.col("x") / within)).withColumn("gy", F.floor(F.col("y") / within))
-    around = [F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    cell = 2 * within  # so a circle touches two cells of an axis at most
+    a = points.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
     b = others.select(*PAGE, F.col("id").alias("other_id"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    b = b.select("*", F.inline(F.array(*around)))
-    b = b.withColumn("gx", F.floor(F.col("ox") / within) + F.col("dx")).withColumn("gy", F.floor(F.col("oy") / within) + F.col("dy")).drop("dx", "dy")
+    b = b.withColumn("gx", _cells(F.col("ox") - within, F.col("ox") + within, cell)).withColumn("gy", _cells(F.col("oy") - within, F.col("oy") + within, cell))
     met = a.join(b.hint("merge"), [*PAGE, "gx", "gy"]).withColumn("distance", F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))).where(F.col("distance") <= within)
     best = met.groupBy("doc_id", "id").agg(F.min(F.struct("distance", "other_id")).alias("m"))
     return best.select("doc_id", "id", F.col("m.other_id").alias("other_id"), F.col("m.distance").alias("distance"))
