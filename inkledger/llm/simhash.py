@@ -23,7 +23,7 @@ extra columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -148,15 +148,11 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     return paired.unionAll(_grouped(dense))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the least id that links reach), root.
-
-    ``root`` names a component also where ids repeat: the least fingerprint in it.
-    """
-    spark = docs.sparkSession
-    marked = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+def linked_groups(marked: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id, root of ``marked`` (doc_id, fp); ``find`` gives the links (a, b) of distinct fingerprints (fp)."""
+    spark = marked.sparkSession
     classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes.select("fp")))
+    roots = components(find(classes.select("fp")))
     placed = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     # Written first, so that both joins on hot keys can be split.
@@ -168,9 +164,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_
     return out
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the least id that links reach), root.
+
+    ``root`` names a component also where ids repeat: the least fingerprint in it.
+    """
+    marked = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    return linked_groups(marked, links)
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", near=near_duplicates, mark_of=fingerprint) -> DataFrame:
     """``docs`` with one row of each group of near copies: that with the least id.
 
+    ``near`` gives the groups, and ``mark_of`` the fingerprint that they name a text by.
+
     A row without an id can't be named as the one that stays, and stays itself. Ids that
     repeat are told apart by their fingerprints, so different texts under one id both count;
     only those rows are fingerprinted once more.
@@ -179,7 +186,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
     rows = docs.toDF(*[f"c{k}" for k in range(len(names))])
     own, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     key = F.col(own).cast("long")
-    groups = materialize(near_duplicates(docs, shingle, id_col, text_col), "groups")
+    groups = materialize(near(docs, shingle, id_col, text_col), "groups")
     first = F.min(F.struct("doc_id", "fingerprint")).alias("m")
     stays = groups.where("doc_id is not null").groupBy("root").agg(first).select("m.doc_id", "m.fingerprint")
     stays = materialize(stays, "stays")
@@ -194,7 +201,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [f"{fingerprint(x.as_py() or b'', shingle):016x}" for x in batch.column(place).cast(pa.binary())]
+            marks = [f"{mark_of(x.as_py() or b'', shingle):016x}" for x in batch.column(place).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.string())], names=[*batch.schema.names, "mark"])
 
     again = again.mapInArrow(mark, T.StructType([*again.schema.fields, T.StructField("mark", T.StringType())]))
