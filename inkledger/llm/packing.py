@@ -1,12 +1,12 @@
-"""Best-fit packing of tokenized documents by hierarchical residual packing.
+"""Best-fit packing of tokenized documents, over the whole table by counts of lengths.
 
-Each partition packs its own pieces best-fit, largest first. Bins that are
-nearly full are done. The others move up a tree of nodes as items of their
-own: each node merges the underfull bins of ``FAN`` children, best-fit again,
-until one node is left. A partition is packed in blocks, an earlier block's
-underfull bins being items of the next, so memory is bounded by ``BLOCK``
-pieces; a node gets at most ``FAN * CARRY`` bins, since of more underfull bins
-the fullest stay as they are. No piece is ever dropped.
+Pieces of one length can stand for each other, so best-fit, largest first,
+needs only how many pieces of each length there are: ``plan`` packs these
+counts, all bins of equal room at a time, and says which bin and offset the
+n-th piece of a length gets. The pieces are written with their number among
+those of their length in their partition, counted, and placed in a second pass.
+No bin is closed while it has room, and nothing grows with the table but
+the counts: a number for each partition and length. No piece is ever dropped.
 
 A document's ids end with id 2; one of more than ``CAPACITY`` ids is cut into
 pieces of that length, but for the first, which holds the rest.
@@ -32,84 +32,97 @@ from inkledger.llm.shared import materialize
 
 END_ID = 2
 CAPACITY = 1024
-#: A bin with at most this much room is nearly full.
-SLACK = 64
-#: Pieces packed at a time in a partition.
+#: Pieces numbered at a time in a partition.
 BLOCK = 100_000
-#: Children of a node, and the underfull bins that each may hand on.
-FAN = 8
-CARRY = 4096
 
-_PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
-_BINS = pa.schema([("node", pa.int32()), ("bin", pa.int64()), ("fill", pa.int32()), ("open", pa.bool_()), ("pieces", pa.list_(_PIECE))])
-_BINS_DDL = "node int, bin long, fill int, open boolean, pieces array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
+_PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+_NUMBERED = "doc_id long, piece int, start long, length long, ids_crc32 long, node int, rank long"
+_PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
-    """Best-fit, largest first: each item's bin, and the number of bins.
+class Plan:
+    """Runs of pieces of one length that are placed alike: ``per`` to a bin, from bin ``first`` and ``offset`` on."""
+
+    def __init__(self, runs: list[tuple[int, int, int, int, int]], n: int):
+        runs = sorted(runs)
+        self.size, self.rank, self.per, self.first, self.offset = (np.array(x, dtype=np.int64) for x in (zip(*runs, strict=True) if runs else [()] * 5))
+        self.n = n
+        # Ranks are below 2^44 or so; a length is below 2^11.
+        self.key = (self.size << 48) + self.rank
+
+    def places(self, sizes: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bin and offset of the ``ranks``-th pieces of ``sizes``."""
+        at = np.searchsorted(self.key, (sizes << 48) + ranks, "right") - 1
+        row, k = np.divmod(ranks - self.rank[at], self.per[at])
+        return self.first[at] + row, self.offset[at] + k * sizes
+
+
+def plan(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
+    """Best-fit, largest first, of ``counts[s]`` pieces of each length s.
 
-    Bins are kept by the room they have; a bit mask finds the least room that is enough.
+    Bins are runs (first, count) kept by the room they have; a bit mask finds the least
+    room that is enough. That of the bins with it the same is filled as far as it goes
+    before the next is what one piece after the other would do.
     """
-    bins = np.empty(len(sizes), dtype=np.int64)
-    with_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+    with_room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+    runs: list[tuple[int, int, int, int, int]] = []
     rooms = n = 0
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        size = int(sizes[i])
-        fitting = rooms >> size
-        if fitting:
-            room = size + (fitting & -fitting).bit_length() - 1
-            b = with_room[room].pop()
-            if not with_room[room]:
-                rooms &= ~(1 << room)
-        else:
-            room, b, n = capacity, n, n + 1
-        bins[i] = b
-        with_room[room - size].append(b)
-        rooms |= 1 << (room - size)
-    return bins, n
-
-
-def _merge(items: pa.ListArray, fills: np.ndarray) -> tuple[pa.ListArray, np.ndarray]:
-    """Items (lists of pieces, and their sizes) packed into bins (the same)."""
-    bins, n = best_fit(fills)
-    order = np.lexsort((-fills, bins))
-    taken = items.take(pa.array(order))
-    sizes = np.bincount(bins[order], weights=taken.value_lengths().to_numpy(zero_copy_only=False), minlength=n).astype(np.int64)
-    ends = np.cumsum(sizes)
-    pieces = taken.flatten()
-    lengths = pieces.field("length").to_numpy()
-    before = np.cumsum(lengths) - lengths
-    firsts = ends - sizes
-    offsets = before - np.repeat(before[firsts], sizes) if n else before
-    fields = [pa.array(offsets) if f.name == "offset" else pieces.field(f.name) for f in _PIECE]
-    laid = pa.StructArray.from_arrays(fields, fields=list(_PIECE))
-    merged = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), laid)
-    return merged, np.bincount(bins, weights=fills, minlength=n).astype(np.int64)
-
-
-def _open(fills: np.ndarray) -> np.ndarray:
-    """Which bins move up: those with room, but of more than ``CARRY`` the emptiest."""
-    moves = fills < CAPACITY - SLACK
-    if moves.sum() > CARRY:
-        at = np.flatnonzero(moves)
-        moves[at[np.argsort(fills[at], kind="stable")[CARRY:]]] = False
-    return moves
-
-
-def _rows(node: int, first: int, bins: pa.ListArray, fills: np.ndarray, moves: np.ndarray) -> pa.RecordBatch:
-    n = len(fills)
-    return pa.record_batch([pa.array(np.full(n, node, np.int32)), pa.array(np.arange(first, first + n)), pa.array(fills.astype(np.int32)), pa.array(moves), bins], schema=_BINS)
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, room: dict) -> Iterator[pa.StructArray]:
+    for size in range(len(counts) - 1, 0, -1):
+        left, rank = int(counts[size]), 0
+        while left:
+            fitting = rooms >> size
+            if fitting:
+                room = size + (fitting & -fitting).bit_length() - 1
+                first, count = with_room[room].pop()
+                if not with_room[room]:
+                    rooms &= ~(1 << room)
+            else:
+                room, first, count = capacity, n, -(-left // (capacity // size))
+                n += count
+            per = room // size
+            whole = min(count, left // per)
+            part = left - whole * per if whole < count else 0
+            for bins, each in ((whole, per), (1 if part else 0, part), (count - whole - (1 if part else 0), 0)):
+                if not bins:
+                    continue
+                if each:
+                    runs.append((size, rank, each, first, capacity - room))
+                    rank += bins * each
+                    left -= bins * each
+                with_room[room - each * size].append((first, bins))
+                rooms |= 1 << (room - each * size)
+                first += bins
+    return Plan(runs, n)
+
+
+def _ranks(sizes: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Each piece's number among those of its length; ``seen`` holds the pieces counted before, and is counted on."""
+    order = np.argsort(sizes, kind="stable")
+    counts = np.bincount(sizes, minlength=len(seen))
+    ranks = np.empty(len(sizes), dtype=np.int64)
+    ranks[order] = np.arange(len(sizes)) - np.repeat(np.cumsum(counts) - counts - seen, counts)
+    seen += counts
+    return ranks
+
+
+def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
+    """Best-fit, largest first: each item's bin, and the number of bins."""
+    sizes = np.asarray(sizes, dtype=np.int64)
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    ranks = _ranks(sizes, counts)
+    made = plan(counts, capacity)
+    return made.places(sizes, ranks)[0], made.n
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, room: dict) -> Iterator[pa.RecordBatch]:
     """Pieces of the documents, ``BLOCK`` or a few more at a time."""
     encode = encoder(vocabulary, **room)
     rows: list[tuple] = []
 
-    def block() -> pa.StructArray:
+    def block() -> pa.RecordBatch:
         columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECE, strict=True)]
         rows.clear()
-        return pa.StructArray.from_arrays(columns, fields=list(_PIECE))
+        return pa.RecordBatch.from_arrays(columns, schema=_PIECE)
 
     for batch in batches:
         docs, d = batch.column(0).to_pylist(), 0
@@ -119,7 +132,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, room: dict) -> I
             for end in (ends + np.arange(1, len(ends) + 1)).tolist():
                 cuts = [0, *range((end - start - 1) % CAPACITY + 1, end - start + 1, CAPACITY)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    rows.append((docs[d], k, a, b - a, zlib.crc32(ids[start + a : start + b]), 0))
+                    rows.append((docs[d], k, a, b - a, zlib.crc32(ids[start + a : start + b])))
                 start = end
                 d += 1
                 if len(rows) >= BLOCK:
@@ -135,41 +148,31 @@ def pack(docs: DataFrame, vocabulary: str = BYTE_BPE, id_col: str = "doc_id", te
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, n = TaskContext.get().partitionId(), 0
-        held, sizes = pa.array([], pa.list_(_PIECE)), np.empty(0, np.int64)
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, seen = TaskContext.get().partitionId(), np.zeros(CAPACITY + 1, dtype=np.int64)
         for block in _pieces(batches, vocabulary, room):
-            singles = pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1), pa.int32()), block)
-            bins, fills = _merge(pa.concat_arrays([held, singles]), np.concatenate([sizes, block.field("length").to_numpy()]))
-            moves = _open(fills)
-            done = bins.filter(pa.array(~moves))
-            yield _rows(node, n, done, fills[~moves], np.zeros(len(done), bool))
-            n += len(done)
-            held, sizes = bins.filter(pa.array(moves)), fills[moves]
-        if len(held):
-            yield _rows(node, n, held, sizes, np.ones(len(held), bool))
-
-    def join(last: bool):
-        def merge(key: tuple, group: pa.Table) -> pa.Table:
-            group = group.combine_chunks()
-            bins, fills = _merge(group.column("pieces").combine_chunks(), group.column("fill").to_numpy().astype(np.int64))
-            moves = np.zeros(len(fills), bool) if last else _open(fills)
-            return pa.Table.from_batches([_rows(key[0].as_py(), 0, bins, fills, moves)])
-
-        return merge
-
-    rounds = [materialize(rows.mapInArrow(local, _BINS_DDL), "packed-0")]
-    nodes = 1 + (rounds[0].agg(F.max("node")).first()[0] or 0)
-    while len(rounds) == 1 or nodes > 1:
-        nodes = -(-nodes // FAN)
-        moving = rounds[-1].where("open").withColumn("node", (F.col("node") / FAN).cast("int"))
-        merged = moving.groupBy("node").applyInArrow(join(nodes == 1), _BINS_DDL)
-        rounds.append(materialize(merged, f"packed-{len(rounds)}"))
-    parts = []
-    for k, bins in enumerate(rounds):
-        sequence = F.lit(k << 56) + F.shiftleft(F.col("node").cast("long"), 32) + F.col("bin")
-        parts.append(bins.where(~F.col("open")).select(sequence.alias("sequence_id"), F.inline("pieces")))
-    packed = parts[0]
-    for part in parts[1:]:
-        packed = packed.unionByName(part)
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+            ranks = _ranks(block.column("length").to_numpy(), seen)
+            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(np.full(len(ranks), node, np.int32)), pa.array(ranks)], names=[*_PIECE.names, "node", "rank"])
+
+    numbered = materialize(rows.mapInArrow(number, _NUMBERED), "pieces")
+    counted = numbered.groupBy("node", "length").agg(F.count("*").alias("n")).toArrow()  # at most CAPACITY rows a partition
+    node, length, n = (counted.column(c).to_numpy().astype(np.int64) for c in ("node", "length", "n"))
+    totals = np.zeros(CAPACITY + 1, dtype=np.int64)
+    np.add.at(totals, length, n)
+    # How many pieces of a length the partitions before have.
+    order = np.lexsort((node, length))
+    before = np.empty(len(n), dtype=np.int64)
+    before[order] = np.cumsum(n[order]) - n[order] - (np.cumsum(totals) - totals)[length[order]]
+    keys = node << 11 | length
+    order = np.argsort(keys)
+    shared = docs.sparkSession.sparkContext.broadcast((plan(totals), keys[order], before[order]))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, keys, before = shared.value
+        for batch in batches:
+            sizes, node = batch.column("length").to_numpy(), batch.column("node").to_numpy().astype(np.int64)
+            ranks = batch.column("rank").to_numpy() + before[np.searchsorted(keys, node << 11 | sizes)]
+            bins, offsets = made.places(sizes, ranks)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bins), pa.array(offsets)], names=[*_PIECE.names, "sequence_id", "offset"])
+
+    return numbered.mapInArrow(place, _PLACED)

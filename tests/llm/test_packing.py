@@ -68,3 +68,30 @@ def test_best_fit_never_overfills(sizes):
     bins, n = packing.best_fit(np.array(sizes, dtype=np.int64))
     fills = np.bincount(bins, weights=sizes, minlength=n) if sizes else np.empty(0)
     assert len(fills) == n and (fills <= 1024).all() and (fills > 0).all()
+
+
+def test_no_bin_with_room_is_closed(spark):
+    rng = np.random.default_rng(2)
+    sizes = [*rng.integers(600, 800, 6000).tolist(), *rng.integers(100, 300, 12000).tolist()]
+    rows = [(i, " w" * (n - 1)) for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, text string")
+    got = packing.pack(docs).collect()
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert sorted(r.length for r in got) == sorted(sizes)
+    assert all(b >= a + n for x in sequences.values() for (a, n), (b, _) in zip(sorted(x), sorted(x)[1:], strict=False)) and max(o + n for x in sequences.values() for o, n in x) <= 1024
+    assert len(sequences) <= 1.03 * sum(sizes) / 1024
+
+
+@given(st.lists(st.integers(1, 100), max_size=200))
+def test_counts_pack_as_single_pieces_do(sizes):
+    rooms = []
+    for size in sorted(sizes, reverse=True):
+        fits = [(r, i) for i, r in enumerate(rooms) if r >= size]
+        if fits:
+            rooms[min(fits)[1]] -= size
+        else:
+            rooms.append(100 - size)
+    bins, n = packing.best_fit(np.array(sizes, dtype=np.int64), 100)
+    assert sorted(100 - np.bincount(bins, weights=sizes, minlength=n)) == sorted(rooms) if sizes else n == 0
