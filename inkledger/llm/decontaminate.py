@@ -89,7 +89,7 @@ def suffix_array(ids: np.ndarray, shortest: int, window: int) -> tuple[np.ndarra
     known = ids > 0
     stays = known.copy()
     for k in range(1, shortest):
-        stays[: len(ids) - k] &= known[k:]
+        stays[: max(0, len(ids) - k)] &= known[k:]
         stays[max(0, len(ids) - k) :] = False
     at = np.flatnonzero(stays)
     padded = np.concatenate([ids, np.zeros(window, ids.dtype)])

@@ -63,3 +63,14 @@ def test_longest_match_and_empty_tables(spark):
     assert tuple(got[1]) == (5, 1, "9", 1) and got[2] is None
     assert dc.contamination(d.limit(0), b).count() == 0
     assert [r.contaminated for r in dc.contamination(d, b.limit(0)).collect()] == [False, False]
+
+
+def test_small_shards_of_null_and_short_texts(spark):
+    items = [(1, "one two three four five six seven eight nine ten eleven twelve"), (2, "a b c d e f g h i j")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    cases = [[(0, " ".join("abcdefghijk"[:n]))] for n in range(12)] + [[(i, rng) for i in range(n)] for n in range(2, 10) for rng in (None, "", "a")]
+    for rows in cases:
+        d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        got = [tuple(r)[:6] for r in dc.contamination(d, b).collect()]
+        assert sorted(got) == sorted(brute(rows, items))
+    assert [r.doc_id for r in dc.decontaminate(spark.createDataFrame([(4, "too short")], "doc_id long, text string"), b).collect()] == [4]
