@@ -6,8 +6,10 @@ therefore has the ids of its pieces, joined. Arrow cuts a slice of the texts
 and numbers its different pieces (words, mostly); each is encoded once by a
 worker, and the slice's ids are gathered by number. No cut parts a run of
 white space. Marks after a word of Latin letters are tokens apart, so a new
-word is encoded without them. ``tests/llm/test_encode.py`` holds this against
-whole texts.
+word is encoded without them. A text that holds a literal of the vocabulary's
+added tokens (``<|endoftext|>``) gets the library's ids of the whole text, where
+that literal is one id. ``tests/llm/test_encode.py`` holds this against whole
+texts.
 """
 
 from __future__ import annotations
@@ -62,7 +64,8 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
-        self.tokenizer.encode_special_tokens = True
+        self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.opening = os.path.commonprefix(self.literals)  # of marks, the same in either case
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         kind = self.tokenizer.pre_tokenizer.__class__.__name__
         # Sequence: white space is dropped, any space is a cut. ByteLevel: a space leads the next token.
@@ -181,20 +184,27 @@ class Encoder:
         self.known.update((p, x) for p, x in fresh.items() if len(p) <= (LONGEST if p.isalpha() else SHORT))
         return ids
 
+    def _without(self, texts: pa.Array, marked: pa.Array, into: dict[int, str]) -> pa.Array:
+        """``texts`` with those that are ``marked`` moved to ``into``."""
+        found = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+        if not len(found):
+            return texts
+        into.update(zip(found.tolist(), texts.take(pa.array(found)).to_pylist(), strict=True))
+        return pc.if_else(marked, pa.scalar("", texts.type), texts)
+
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        apart = {}
+        apart: dict[int, str] = {}
+        whole: dict[int, str] = {}
+        if pc.any(pc.match_substring(texts, self.opening)).as_py():
+            for literal in self.literals:  # in any case, for texts are lower-cased below
+                texts = self._without(texts, pc.match_substring(texts, literal, ignore_case=True), whole)
         if self.drops_space:
             if self.lower:  # as the vocabulary's normalizer does; fewer pieces differ
                 beyond = pc.match_substring_regex(texts, _BEYOND_LATIN1)
                 texts = pc.if_else(beyond, texts, pc.utf8_lower(texts))
             cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         else:
-            for k in np.flatnonzero(pc.match_substring_regex(texts, _RUN).to_numpy(zero_copy_only=False)).tolist():
-                apart[k] = texts[k].as_py()
-            if apart:
-                keep = np.ones(len(texts), bool)
-                keep[list(apart)] = False
-                texts = pc.if_else(pa.array(keep), texts, pa.scalar("", texts.type))
+            texts = self._without(texts, pc.match_substring_regex(texts, _RUN), apart)
             # No run of white space is left, so a line's end starts a piece as well.
             cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         firsts = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
@@ -219,8 +229,10 @@ class Encoder:
         places += np.arange(len(places), dtype=kind)
         out = data[places]
         ends = np.append(before, len(out))[np.append(firsts[1:], len(which))].astype(np.int64)
-        if apart:
+        if apart or whole:
             parts = np.split(out, ends[:-1])
+            for k, text in whole.items():
+                parts[k] = np.frombuffer(self._encode([text])[0], dtype=self.type)
             for k, text in apart.items():
                 head, *rest = self._guarded(text.split(" "))
                 parts[k] = np.frombuffer(self._encode([head])[0] + b"".join(self._lookup(rest)), dtype=self.type)

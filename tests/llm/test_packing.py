@@ -15,7 +15,6 @@ SF = "/root/testdata/sf0.001"
 
 def expected(rows):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out = []
     for doc_id, text in rows:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
@@ -57,7 +56,7 @@ def test_many_partitions_and_blocks(spark, monkeypatch):
 
 
 def test_edge_rows(spark):
-    rows = [(1, None), (2, ""), (None, "no id"), (3, "w " * 9000), (3, "w " * 9000), (4, "x")]
+    rows = [(1, None), (2, ""), (None, "no id"), (3, "w " * 9000), (3, "w " * 9000), (4, "x"), (5, "<|endoftext|> a" * 700)]
     docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, length int")
     check(packing.pack(docs).collect(), rows)
     assert packing.pack(docs.limit(0)).count() == 0

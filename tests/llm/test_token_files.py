@@ -13,7 +13,6 @@ SF = "/root/testdata/sf0.001"
 
 def brute(rows):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
@@ -29,7 +28,7 @@ def test_query_equals_brute_force(spark):
 
 
 def test_nulls_empty_long_and_extra_columns(spark):
-    rows = [(3, None, "x"), (1, "", "y"), (2, "a b " * 20000, "z"), (None, "null id", "w"), (5, "tie", "v")]
+    rows = [(3, None, "x"), (1, "", "y"), (2, "a b " * 20000, "z"), (None, "null id", "w"), (5, "tie", "v"), (6, "<|endoftext|> a <|startoftext|>b", "u")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string")
     key = lambda r: (r[0] is not None, r[0])
     got = sorted(map(tuple, tf.token_output(docs, length=16).collect()), key=key)
