@@ -1,9 +1,11 @@
 """Line dedup by site-relative frequency, with DataFrame functions only.
 
 Pages are grouped by host. A line's ratio is the number of the host's pages
-that contain it, over the host's pages; a line of a ratio above ``RATIO``, on
-``LEAST`` pages or more, is boilerplate there and is dropped from the host's
-pages. Exact copies of a page on one host are one page in both numbers, or a
+that contain it, over the host's pages; a line of a ratio above ``RATIO`` that
+is on ``LEAST`` pages or more is boilerplate there and is dropped from the
+host's pages. ``LEAST`` is 2: a line that one page alone has repeats nothing,
+and by its ratio alone each line of a host of under 1 / ``RATIO`` pages would
+go. Exact copies of a page on one host are one page in both numbers, or a
 much copied page would be boilerplate as a whole. A line is compared without
 spaces, tabs and carriage returns at its ends; blank lines are neither counted
 nor dropped.
@@ -16,8 +18,9 @@ list is under Spark's own threshold, and else one whose hot hosts are split.
 
 Edge cases: a null text stays null and is a page without lines; null hosts are
 one host; repeated rows are copies of a page; texts without a boilerplate line
-come back unchanged; other columns are carried along, whatever their names; an
-empty table gives an empty one.
+come back unchanged; other columns are carried along, whatever their names
+(``n_lines`` and ``n_dropped`` get underscores behind them if the pages have
+such columns); an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from inkledger.llm.shared import discard, materialize
 
 RATIO = 0.1
-LEAST = 5
+LEAST = 2
 
 _ENDS = " \t\r"
 
@@ -60,8 +63,17 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = R
     return found
 
 
+def counters(columns: list[str]) -> list[str]:
+    """The names of the two columns that ``drop_boilerplate`` adds to these."""
+    taken = {c.lower() for c in columns}
+    names = ["n_lines", "n_dropped"]
+    while taken & set(names):
+        names = [n + "_" for n in names]
+    return names
+
+
 def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """``pages`` with the boilerplate lines gone from ``text_col``, and the columns ``n_lines`` and ``n_dropped`` after the others."""
+    """``pages`` with the boilerplate lines gone from ``text_col``, and the columns ``n_lines`` and ``n_dropped`` (see ``counters``) after the others."""
     spark = pages.sparkSession
     names = pages.columns
     found = boilerplate(pages, host_col, text_col, ratio, least)
@@ -77,4 +89,4 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     split = split.withColumn("kept", F.when(F.col("lines").isNull(), F.col("split")).otherwise(kept))
     changed = F.size("kept") < F.size("split")
     out = [F.when(changed, F.array_join("kept", "\n")).otherwise(text).alias(f"c{k}") if n == text_col else F.col(f"c{k}") for k, n in enumerate(names)]
-    return split.select(*out, F.coalesce(F.size("split"), F.lit(0)).alias("n"), F.coalesce(F.size("split") - F.size("kept"), F.lit(0)).alias("d")).toDF(*names, "n_lines", "n_dropped")
+    return split.select(*out, F.coalesce(F.size("split"), F.lit(0)).alias("n"), F.coalesce(F.size("split") - F.size("kept"), F.lit(0)).alias("d")).toDF(*names, *counters(names))

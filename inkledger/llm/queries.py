@@ -61,10 +61,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from inkledger.llm.line_dedup import drop_boilerplate
+    from inkledger.llm.line_dedup import counters, drop_boilerplate
 
-    cleaned = drop_boilerplate(table(spark, sf_dir, "documents"), "source", "text")
-    return cleaned.select("doc_id", "source", "text", "n_lines", "n_dropped")
+    docs = table(spark, sf_dir, "documents")
+    n_lines, n_dropped = counters(docs.columns)
+    cleaned = drop_boilerplate(docs, "source", "text")
+    return cleaned.select("doc_id", "source", "text", cleaned[n_lines].alias("n_lines"), cleaned[n_dropped].alias("n_dropped"))
 
 
 ORACLES["op6_line_dedup"] = r"""
@@ -78,7 +80,7 @@ bad AS (
   FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
   WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''
   GROUP BY l.source, trim(line, ' ' || chr(9) || chr(13)), t.n
-  HAVING count(DISTINCT page) >= 5 AND count(DISTINCT page) > 0.1 * t.n),
+  HAVING count(DISTINCT page) >= 2 AND count(DISTINCT page) > 0.1 * t.n),
 marked AS (
   SELECT l.doc_id, l.k, l.line, b.line IS NOT NULL AS gone
   FROM lines l LEFT JOIN bad b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line, ' ' || chr(9) || chr(13)) = b.line),

@@ -57,3 +57,19 @@ def test_url_host(spark):
     urls = [("http://A.b.c/x", "a.b.c"), ("https://u:p@h.org:80?x", "h.org"), ("no url", None), (None, None), ("ftp://x", "x")]
     df = spark.createDataFrame(urls, "u string, h string")
     assert all(r[0] == r[1] for r in df.select(ld.url_host(df.u), "h").collect())
+
+
+def test_small_hosts_lose_what_repeats_and_nothing_else(spark):
+    rows = [(h, f"menu\nown {h} {k}") for h, n in (("four", 4), ("two", 2), ("one", 1)) for k in range(n)]
+    got = ld.drop_boilerplate(spark.createDataFrame(rows, "host string, text string"), "host").collect()
+    assert sorted((r.host, r.text, r.n_dropped) for r in got) == sorted((h, t if h == "one" else t[5:], int(h != "one")) for h, t in rows)
+
+
+def test_names_that_clash(spark, tmp_path):
+    rows = [(i, f"menu\nx{i}", "s", 5, 0.5, "k") for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines int, N_Dropped_ double, c0 string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    cleaned = ld.drop_boilerplate(docs)
+    assert cleaned.columns == [*docs.columns, "n_lines__", "n_dropped__"] and cleaned.where("n_dropped__ = 1").count() == 6
+    got = QUERIES["op6_line_dedup"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "source", "text", "n_lines", "n_dropped"] and {tuple(r)[2:] for r in got.collect()} == {(f"x{i}", 2, 1) for i in range(6)}
