@@ -6,9 +6,13 @@ sent out, ``SCORED`` finds the tokens that a fidelity score looks for.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkledger.functions import words as wd
+
 # The patterns of protected tokens. Possessive quantifiers stand for scanners that never step back.
 PLACEHOLDER = r"⟦[0-9]+⟧"
 URL = r'(?:https?://|www\.)[^ \t\r\n\f<>"]*[^ \t\r\n\f<>".,;:)\]]'
@@ -19,7 +23,9 @@ NUMERIC_CITATION = r"[\[［] ?[0-9]{1,4}(?: ?[,;\-–—] ?[0-9]{1,4})* ?[\]］]
 _NAME = r"[A-Z][A-Za-z'’\-]+"
 _YEAR = r"(?:19|20)[0-9]{2}[a-z]?"
 NARRATIVE_CITATION = rf"(?<![A-Za-z0-9_])(?!(?:Figure|Fig|Table|Tab|Section|Equation|Eq|Chapter|Appendix|Algorithm|Theorem|Lemma|Page|Volume|Vol|The|This|That|For|With|From|Using|See)(?![A-Za-z])){_NAME}(?: et al\.?| (?:and|&) {_NAME})? \({_YEAR}(?:, pp?\. ?[0-9–-]+)?\)"
-_CHUNK = rf"(?:(?:e\.g\.,?|cf\.|see|ibid\.) )?{_NAME}(?:,? (?:and|&|et|al|al\.|von|van|de|del|der|di|la|le|da|dos|das|with|from|und|[A-Z]\.|{_NAME}),?)*,? {_YEAR}"
+#: Words in lower case that a citation in brackets may hold.
+CITATION_WORDS = ("and", "with", "from", "und", "von", "van", "de", "del", "der", "di", "la", "le", "da", "dos", "das", "et", "al")
+_CHUNK = rf"(?:(?:e\.g\.,?|cf\.|see|ibid\.) )?{_NAME}(?:,? (?:{'|'.join(CITATION_WORDS)}|al\.|&|[A-Z]\.|{_NAME}),?)*,? {_YEAR}"
 WRAPPED_CITATION = rf"(?:\({_CHUNK}(?:; ?{_CHUNK})*\)|\[{_CHUNK}(?:; ?{_CHUNK})*\])"
 #: The kinds in the order in which they are tried at a place.
 KINDS = {"placeholder": PLACEHOLDER, "url": URL, "email": EMAIL, "braces": BRACES, "citation": f"{NUMERIC_CITATION}|{WRAPPED_CITATION}|{NARRATIVE_CITATION}", "number": NUMBER}
@@ -27,9 +33,9 @@ SHIELD = "|".join(f"(?:{p})" for p in KINDS.values())
 SHIELD_KEEPING_NUMBERS = "|".join(f"(?:{p})" for k, p in KINDS.items() if k != "number")
 
 SCORED_URL = r"https?://[^ \t\r\n\f]*[^ \t\r\n\f.,;)]"
-SCORED_EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]++(?<=\.[A-Za-z]{2,63})"
+SCORED_EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9._%+-]++(?<=\.[A-Za-z]{2,63})"
 SCORED_NUMBER = r"(?<![A-Za-z0-9])[0-9]++(?:\.[0-9]++)?+(?![A-Za-z0-9])"
-SCORED = f"{PLACEHOLDER}|{SCORED_URL}|{SCORED_EMAIL}|{BRACES}|{SCORED_NUMBER}"
+SCORED_TOKENS = f"{PLACEHOLDER}|{SCORED_URL}|{SCORED_EMAIL}|{BRACES}|{KINDS['citation']}|{SCORED_NUMBER}"
 
 #: Substrings that make a text prompt-like, each counted once.
 PROMPT_CUES = ("you are ", "you must", "your task", "respond with", "reply with", "answer yes", "answer no", "return json", "output format", "do not ", "instructions:", "## ", "{{", '"evidence"', "</", "step 1")
@@ -57,15 +63,50 @@ def kind_of(token: Column | str) -> Column:
     return out
 
 
-def shield(text: Column | str, keep_numbers: bool = False) -> tuple[Column, Column]:
-    """The text with ``⟦k⟧`` for the k-th protected token, and the slots: those tokens."""
+def _term(term: str) -> str:
+    """A glossary term; where it ends in a letter or digit, no other may touch it."""
+    word = re.compile("[A-Za-z0-9_]")
+    return ("(?<![A-Za-z0-9_])" if word.match(term[0]) else "") + r"\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E" + ("(?![A-Za-z0-9_])" if word.match(term[-1]) else "")
+
+
+def shield(text: Column | str, keep_numbers: bool = False, glossary: dict[str, str] | None = None) -> tuple[Column, Column]:
+    """The text with ``⟦k⟧`` for the k-th protected token, and the slots: those tokens, or what the glossary has for a term."""
     pattern = SHIELD_KEEPING_NUMBERS if keep_numbers else SHIELD
+    terms = sorted(filter(None, glossary or {}), key=lambda t: (-len(t.encode()), t))
+    if terms:
+        pattern = "|".join([pattern, *map(_term, terms)])
     slots = found(text, pattern)
+    if terms:
+        known = F.create_map(*[F.lit(x) for t in terms for x in (t, glossary[t])])
+        slots = F.transform(slots, lambda t: F.coalesce(F.try_element_at(known, t), t))
     parts = F.split(_text(text), pattern, -1)
     marks = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit("⟦"), (i - 1).cast("string"), F.lit("⟧"), p)))
     return F.array_join(marks, ""), slots
 
 
+def verbatim_spans(text: Column | str) -> Column:
+    """Where the protected tokens of a text are, [start, end) in characters: they stay on one line."""
+    t = _text(text)
+    gaps, tokens = F.split(t, SHIELD, -1), found(t, SHIELD)
+    # The gap before each token, and the tokens before it.
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
+
+    def step(s: Column, x: Column) -> Column:
+        a = s["at"] + F.length(x["gap"])
+        b = a + F.length(x["token"])
+        return F.struct(b.alias("at"), F.concat(s["spans"], F.array(F.struct(a.alias("start"), b.alias("end")))).alias("spans"))
+
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(tokens)), tokens, lambda g, x: F.struct(g.alias("gap"), x.alias("token")))
+    return F.aggregate(pairs, start, step, lambda s: s["spans"])
+
+
+def citation_end(text: Column | str, start: Column) -> Column:
+    """The end of the citation that starts at a character; null if none does."""
+    rest = F.substring(_text(text), start + 1, F.length(_text(text)))
+    found_ = F.regexp_extract(rest, f"^(?:{KINDS['citation']})", 0)
+    return F.when(found_ != "", start + F.length(found_))
+
+
 def restore(text: Column | str, slots: Column | str) -> Column:
     """The text with slots put back; null if a placeholder is unknown or a slot unused."""
     t, s = _text(text), _text(slots)
@@ -119,12 +160,16 @@ def lost_numbers(source: Column | str, reply: Column | str) -> Column:
 
 
 def split_sentences(text: Column | str) -> Column:
-    """Sentences with the white space after them: joined, they are the text."""
-    words = "|".join(ABBREVIATIONS)
-    # After a stop, closing quotes and spaces, before an ASCII capital; not after one letter or an abbreviation.
+    """Sentences with the white space after them: joined, they are the text.
+
+    A sentence ends after a stop, closing quotes and spaces, before an ASCII capital; not after one letter or
+    an abbreviation. Ends are marked going forward, and those after an abbreviation are unmarked again.
+    """
+    mark, words = "\x01\x1f\x01", "|".join(ABBREVIATIONS)
     after = r"[\"'”’)\]]{0,3}[ \t\r\n]{0,64}"
-    end = rf"(?<=[.?!]{after})(?<!(?<![A-Za-z])(?i:[A-Za-z]|{words})\.{after})(?=[A-Z])"
-    return F.filter(F.split(_text(text), end, -1), lambda s: s != "")
+    marked = F.regexp_replace(_text(text), rf"([.?!]{after})(?=[A-Z])", f"$1{mark}")
+    marked = F.regexp_replace(marked, rf"(?<![A-Za-z])((?i:[A-Za-z]|{words})\.{after}){mark}", "$1")
+    return F.filter(F.split(marked, mark, -1), lambda s: s != "")
 
 
 def prompt_score(text: Column | str) -> Column:
@@ -135,54 +180,10 @@ def prompt_score(text: Column | str) -> Column:
     return score + F.when(F.exists(words, lambda w: (F.length(w) - F.length(F.replace(w, F.lit("_"), F.lit(""))) >= 2) & (F.octet_length(w) > 8)), 1).otherwise(0)
 
 
-def url_or_email_only(text: Column | str) -> Column:
-    words = F.filter(F.split(_text(text), r"[ \t\r\n\f\x0b]+"), lambda w: w != "")
-    one = lambda w: w.rlike(r"^(?:https?://|www\.)[^ ]+$") | w.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$")
-    return (F.size(words) > 0) & F.forall(words, one)
-
-
 def prefilled(text: Column | str) -> Column:
-    """Segments that need no translator: blank, without a letter or digit, or URLs and addresses only."""
+    """Segments that need no translator: blank, without a letter or digit, addresses only, or a label of a formula."""
     t = _text(text)
-    return (F.trim(t) == "") | ~t.rlike(r"[\p{L}\p{N}]") | url_or_email_only(t)
-
-
-def keep_kind(text: Column | str) -> Column:
-    """Why a source text is meant to stay as it is; null if it isn't. The first rule that fits holds."""
-    t = F.trim(_text(text))
-    words = F.size(F.split(t, r"[ \t]+"))
-    product = (words == 1) & t.rlike(r"^[A-Za-z0-9]+(?:-[A-Za-z0-9]+)+$") & (t.rlike(r"[A-Z]{2,}") | t.rlike(r"[a-z][A-Z]"))
-    name = (words >= 2) & (words <= 4) & t.rlike(r"^[A-Z][a-z]+(?:[ \t]+(?:[A-Z]\.|[A-Z][a-z]+(?:-[A-Z][a-z]+)?))+$")
-    code = t.rlike(r"^(?:def |class |import |return |#include|public |for \(|if \()") | t.rlike(r"[;{}]$")
-    apa = t.rlike(r"^(?:[A-Z][A-Za-z'’-]+, (?:[A-Z]\. ?)+(?:, |,? & )?)+\((?:19|20)[0-9]{2}[a-z]?\)")
-    reference = t.rlike(r"^\[[0-9]{1,3}\] [A-Z]") & t.rlike(r"(?:19|20)[0-9]{2}")
-    formula = t.rlike(r"^[^A-Za-z]*[=<>≤≥±∑∫][^A-Za-z]*$") | t.rlike(r"^[A-Za-z] ?= ?[^ ]+$")
-    return F.when(name, "name").when(product, "name").when(code, "code").when(reference, "references").when(formula, "formula").when(apa, "references")
-
-
-def gateway_class(message: Column | str) -> Column:
-    """What to do after a failed call: refused, client, retry, or fail."""
-    m = F.lower(_text(message))
-    return (
-        F.when(m.rlike("40[13]|429|quota|insufficient|unauthorized|forbidden"), "refused")
-        .when(m.rlike("4[0-9]{2}"), "client")
-        .when(m.rlike("5[0-9]{2}|408|timed? ?out|connection (?:reset|closed|refused)|broken pipe"), "retry")
-        .otherwise("fail")
-    )
-
-
-def flaw_flags(source: Column | str, reply: Column | str) -> dict[str, Column]:
-    """Flaws of a reply, each a condition; their sum is its flaw count."""
-    s, r = _text(source), _text(reply)
-    return {
-        "duplicated_word": r.rlike(r"(?<![A-Za-z])([A-Za-z]{2,}) \1(?![A-Za-z])") & ~s.rlike(r"(?<![A-Za-z])([A-Za-z]{2,}) \1(?![A-Za-z])"),
-        "stray_cjk_space": r.rlike(f"{HAN} {HAN}"),
-        "extra_sentence_end": r.rlike(r"[。.!?！？]{2,}$") & ~s.rlike(r"[.!?]{2,}$"),
-        "changed_number": F.size(lost_numbers(s, r)) > 0,
-        "echo": (squash(F.lower(s)) == squash(F.lower(r))) & (latin_letters(s) >= 40),
-        "ellipsis_stub": F.trim(r).isin("...", "…"),
-        "empty": (F.trim(r) == "") & (F.trim(s) != ""),
-    }
+    return (F.trim(t) == "") | ~t.rlike(r"[\p{L}\p{N}]") | wd.addresses_only(t) | wd.is_annotation(t)
 
 
 def choose_saved(a: Column, b: Column, source: Column) -> Column:

@@ -7,6 +7,8 @@ Sequential by nature, so these run as Arrow functions by the batch.
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 import unicodedata
 
@@ -42,6 +44,18 @@ def width(text: str) -> float:
 
 def pieces(text: str) -> list[str]:
     """The text in parts that no line may cut; joined, they are the text."""
+    if not text:
+        return []
+    if max(text) < "\u1100":
+        # No wide character, so lines break at spaces only, and no token has one.
+        words = re.findall(" *[^ ]+ *|^ +$", text)
+        out = words[:1]
+        for w in words[1:]:
+            if w[0] in NO_START:
+                out[-1] += w
+            else:
+                out.append(w)
+        return out
     held = set()
     for m in _STICKY.finditer(text):
         held.update(range(m.start() + 1, m.end()))
@@ -52,43 +66,74 @@ def pieces(text: str) -> list[str]:
         if may and i not in held and b not in NO_START and a not in NO_END:
             out.append(text[start:i])
             start = i
-    if text:
-        out.append(text[start:])
+    out.append(text[start:])
     return out
 
 
-def wrap(text: str, ems: float) -> list[str]:
-    """Lines of at most ``ems``, filled one after the other; marks may hang over, and a piece that is too wide is cut."""
-    lines, line = [], ""
-
-    def fits(t: str) -> bool:
-        t = t.rstrip(" ")
-        return width(t) <= ems or (len(t) > 1 and t[-1] in HANGING and width(t[:-1]) <= ems)
-
-    for piece in pieces(" ".join(text.split())):
-        if fits(line + piece):
-            line += piece
-            continue
-        if line:
-            lines.append(line.rstrip(" "))
-            line = ""
-        while not fits(piece):
-            cut = 1
-            while cut < len(piece) and width(piece[: cut + 1]) <= ems:
+class Measured:
+    """A text's pieces with their widths, in half ems, summed up: any number of widths can be tried on it."""
+
+    def __init__(self, text: str):
+        self.pieces = pieces(" ".join(text.split()))
+        self.starts = [0]
+        self.ends = []  # up to which half em a line reaches that ends here: without spaces, and with a mark hung over
+        for p in self.pieces:
+            narrow = max(p) < "\u1100"
+            own = len(p) if narrow else sum(2 if wide(c) else 1 for c in p)
+            bare = p.rstrip(" ")
+            reach = own - (len(p) - len(bare))
+            if len(bare) > 1 and bare[-1] in HANGING:
+                reach -= 2 if wide(bare[-1]) else 1
+            self.ends.append(self.starts[-1] + reach)
+            self.starts.append(self.starts[-1] + own)
+
+    def lines(self, ems: float) -> list[str]:
+        """Lines of at most ``ems``, filled one after the other; marks may hang over, and a piece that is too wide is cut."""
+        most, out, at, n = math.floor(2 * ems), [], 0, len(self.pieces)
+        while at < n:
+            stop = bisect.bisect_right(self.ends, self.starts[at] + most, at)
+            if stop == at:
+                # A piece too wide: its head fills a line, and its rest starts the next.
+                cut, rest = self._cut(self.pieces[at], most)
+                out += cut
+                room = most - sum(2 if wide(c) else 1 for c in rest)
+                stop = bisect.bisect_right(self.ends, self.starts[at + 1] + room, at + 1)
+                out.append((rest + "".join(self.pieces[at + 1 : stop])).rstrip(" "))
+            else:
+                out.append("".join(self.pieces[at:stop]).rstrip(" "))
+            at = stop
+        return [x for x in out if x]
+
+    @staticmethod
+    def _cut(piece: str, most: int) -> tuple[list[str], str]:
+        heads = []
+        while True:
+            bare = piece.rstrip(" ")
+            reach = sum(2 if wide(c) else 1 for c in bare)
+            if len(bare) > 1 and bare[-1] in HANGING:
+                reach -= 2 if wide(bare[-1]) else 1
+            if reach <= most or len(bare) <= 1:
+                return heads, piece
+            cut = size = 0
+            for c in piece:
+                size += 2 if wide(c) else 1
+                if cut and size > most:
+                    break
                 cut += 1
-            lines.append(piece[:cut])
+            heads.append(piece[:cut])
             piece = piece[cut:]
-        line = piece
-    if line.strip():
-        lines.append(line.rstrip(" "))
-    return lines
+
+
+def wrap(text: str, ems: float) -> list[str]:
+    """The text in lines of at most ``ems``."""
+    return Measured(text).lines(ems)
 
 
 def fit(text: str, box_width: float, box_height: float, size: float) -> tuple[list[str], float, float] | None:
     """Lines, size and leading that fit the box, the size shrunk by steps; None if none does."""
-    now = size
+    now, measured = size, Measured(text)
     while now >= FLOOR * size - 1e-9:
-        lines = wrap(text, box_width / now)
+        lines = measured.lines(box_width / now)
         if not lines:
             return [], now, 0.0
         leading = box_height / len(lines)

@@ -9,10 +9,19 @@ from pyspark.sql import functions as F
 from inkledger.functions.text import prefilled, prompt_score, squash
 
 
+#: Characters by which a saved first piece is looked up.
+HEAD = 8
+
+
 def owners(segments: DataFrame) -> DataFrame:
-    """Segments (id, text) with ``owner``: the least id with that text. One row to a text is summed up, not windowed, so a hot text is no hot task."""
-    first = segments.groupBy("text").agg(F.min("id").alias("owner"), F.count("*").alias("copies"))
-    return segments.join(first, "text")
+    """Segments (id, text) with ``owner``: the least id with that text.
+
+    One row to a text is summed up, not windowed, so a hot text is no hot task; texts meet by a 32-byte digest,
+    so no text is shuffled but with its own row.
+    """
+    rows = segments.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    first = rows.groupBy("digest").agg(F.min("id").alias("owner"), F.count("*").alias("copies"))
+    return rows.join(first, "digest").drop("digest")
 
 
 def unique_batches(segments: DataFrame, size: int = 8, prompt_size: int = 2) -> DataFrame:
@@ -53,13 +62,60 @@ def parse_reply(reply: Column) -> Column:
     return F.transform(F.filter(items, lambda x: x["id"].isNotNull()), lambda x: F.struct(x["id"].alias("id"), F.coalesce(x["text"], x["translation"]).alias("text")))
 
 
+def digit_index(text: Column) -> Column:
+    """A number of up to three digits alone: it is its own rendering."""
+    return F.trim(text).rlike("^[0-9]{1,3}$")
+
+
+def _without_index(text: Column) -> Column:
+    """What follows a chapter number of up to three digits and a space; null if there is none."""
+    rest = F.regexp_extract(F.ltrim(text), r"(?s)^[0-9]{1,3}\s+(\S.*)$", 1)
+    return F.when(rest != "", F.trim(rest))
+
+
+def saved_texts(saved: DataFrame) -> DataFrame:
+    """source, translated, echo: one rendering of each source; one that differs from the source goes before an echo, but for short labels. Two others that differ are an error when it is run."""
+    found = saved.groupBy("source").agg(F.sort_array(F.collect_set("translated")).alias("all"))
+    own = F.filter("all", lambda t: t != F.col("source"))
+    echoed = F.size(own) < F.size("all")
+    short = (F.length(F.trim("source")) <= 48) & ~F.col("source").contains(". ") & (F.size(F.split(F.trim("source"), r"\s+")) <= 6)
+    clash = F.raise_error(F.concat(F.lit("two saved renderings of: "), F.substring("source", 1, 80))).cast("string")
+    return found.select("source", F.when(echoed & (short | (F.size(own) == 0)), F.col("source")).when(F.size(own) == 1, own[0]).otherwise(clash).alias("translated"))
+
+
 def replay_lookup(segments: DataFrame, saved: DataFrame) -> DataFrame:
-    """Segments (id, text) with the saved rendering: by the exact text, else by the text without white space; how: exact, squashed, missing."""
-    exact = saved.groupBy(F.col("source").alias("text")).agg(F.min("translated").alias("by_text"))
-    loose = saved.groupBy(squash("source").alias("key")).agg(F.min("translated").alias("by_key"))
-    met = segments.join(exact, "text", "left").withColumn("key", squash("text")).join(loose, "key", "left")
-    how = F.when(F.col("by_text").isNotNull(), "exact").when(F.col("by_key").isNotNull(), "squashed").otherwise("missing")
-    return met.select("id", "text", F.coalesce("by_text", "by_key").alias("translated"), how.alias("how"))
+    """Segments (id, text) with the saved rendering, and ``how`` it was found, the first that is:
+
+    exact: by the text; squashed: by the text without white space; digits: a number alone; peeled: a section title
+    that was saved with its chapter's number before it, less that of the rendering; joined: two saved pieces that
+    make up the text, the longest first one; missing. Texts meet by digests.
+    """
+    key = lambda c: F.unhex(F.sha2(c, 256))
+    exact = saved.select(key(F.col("source")).alias("k"), F.col("translated").alias("by_text")).groupBy("k").agg(F.min("by_text").alias("by_text"))
+    loose = saved.groupBy(key(squash("source")).alias("k")).agg(F.min("translated").alias("by_key"))
+    peeled = saved.select(_without_index(F.col("source")).alias("rest"), _without_index(F.col("translated")).alias("body")).where(F.col("rest").rlike(r"^[0-9]{1,3}\.") & F.col("body").isNotNull())
+    peeled = peeled.groupBy(key(F.col("rest")).alias("k")).agg(F.min("body").alias("by_rest"))
+    rows = segments.withColumn("k", key(F.col("text"))).join(exact, "k", "left").withColumn("k", key(squash("text"))).join(loose, "k", "left").withColumn("k", key(F.trim("text"))).join(peeled, "k", "left").drop("k")
+    how = F.when(F.col("by_text").isNotNull(), "exact").when(F.col("by_key").isNotNull(), "squashed").when(digit_index(F.col("text")), "digits").when(F.col("by_rest").isNotNull(), "peeled")
+    rows = rows.select("id", "text", F.when(digit_index(F.col("text")) & F.col("by_text").isNull() & F.col("by_key").isNull(), F.trim("text")).otherwise(F.coalesce("by_text", "by_key", "by_rest")).alias("found"), how.alias("how"))
+    joined = _joined_pieces(rows.where("how is null").select("id", "text"), saved)
+    met = rows.join(joined, "id", "left")
+    return met.select("id", "text", F.coalesce("found", "by_pieces").alias("translated"), F.coalesce("how", F.when(F.col("by_pieces").isNotNull(), "joined"), F.lit("missing")).alias("how"))
+
+
+def _joined_pieces(texts: DataFrame, saved: DataFrame) -> DataFrame:
+    """id, by_pieces: the renderings of two saved pieces that make up a text (white space between them aside).
+
+    First pieces meet a text by their first ``HEAD`` characters; what is left meets the other saved pieces by its digest.
+    """
+    head = lambda c: F.substring(c, 1, HEAD)
+    left = saved.where(F.length("source") >= HEAD).select(head("source").alias("h"), F.col("source").alias("l"), F.col("translated").alias("lt"))
+    met = texts.withColumn("h", head("text")).join(left, "h").where((F.length("l") < F.length("text")) & F.col("text").startswith(F.col("l")))
+    met = met.withColumn("rest", F.substring("text", F.length("l") + 1, F.length("text"))).withColumn("k", F.unhex(F.sha2(F.trim("rest"), 256)))
+    right = saved.groupBy(F.unhex(F.sha2(F.trim("source"), 256)).alias("k")).agg(F.min("translated").alias("rt"))
+    gap = F.when(F.col("rest").rlike(r"^\s") | F.col("l").rlike(r"\s$"), " ").otherwise("")
+    both = met.join(right, "k").select("id", F.struct(F.length("l").alias("n"), F.concat(F.rtrim("lt"), gap, F.ltrim("rt")).alias("t")).alias("m"))
+    return both.groupBy("id").agg(F.max("m").alias("m")).select("id", F.col("m.t").alias("by_pieces"))
 
 
 def breaker(attempts: DataFrame, group: str, order: list[str], refused: Column, after: int = 6) -> DataFrame:

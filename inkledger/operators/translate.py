@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkledger.functions import text
+from inkledger.functions import flaws, text
 from inkledger.operators.segments import parse_reply, replay_lookup
 from inkledger.sources.rounds import written
 
 #: Segments to a batch, by pass.
 SIZES = (8, 2, 1)
+#: Texts that are numbered together.
+BUCKET = 512
 #: Refusals in a row after which a partition makes no more calls.
 HALT = 6
 
@@ -85,7 +87,9 @@ def _calls(translator: Translator, halt: int):
 def _pass(pending: DataFrame, translator: Translator, size: int, halt: int) -> DataFrame:
     """key, shielded, reply, error of each pending text."""
     # Batches by a hash of the text: no order over all rows, and a batch never depends on how rows are dealt.
-    spread = pending.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(256)).cast("int"))
+    # Buckets grow with the texts, so a window holds about BUCKET of them and calls spread over all tasks.
+    buckets = 1 + pending.count() // BUCKET
+    spread = pending.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     numbered = spread.withColumn("n", F.row_number().over(W.partitionBy("bucket").orderBy("key")) - 1)
     numbered = numbered.withColumn("batch", F.concat_ws("-", "bucket", F.floor(F.col("n") / size).cast("string"))).withColumn("id", (F.col("n") % size).cast("long"))
     item = F.struct("id", F.col("shielded").alias("text"))
@@ -118,8 +122,9 @@ def translate(segments: DataFrame, translator: Translator, saved: DataFrame | No
         got = _pass(pending.select("key", "shielded"), translator, size, halt).select("key", "reply", "error")
         rows = rows.join(got, "key", "left")
         back = text.restored("reply", "slots")
-        flaws = sum((F.coalesce(c.cast("int"), F.lit(0)) for n, c in text.flaw_flags("source", back).items() if n in ("changed_number", "ellipsis_stub", "empty")), F.lit(0))
-        good = F.col("done").isNull() & back.isNotNull() & (flaws == 0)
+        blank = (F.trim(back) == "") & (F.trim("source") != "")
+        flawed = F.coalesce(flaws.changed_number(F.col("source"), back) | flaws.is_stub(back) | blank, F.lit(True))
+        good = F.col("done").isNull() & back.isNotNull() & ~flawed
         reason = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("reply").isNull(), "no answer").when(back.isNull(), "placeholders changed").otherwise("flawed")
         rows = rows.select(
             "key", "source", "copies", "shielded", "slots",

@@ -1,12 +1,12 @@
-"""Registry of the library's queries: name -> DataFrame builder, and DuckDB SQL for the same rows."""
+"""Queries of the library's operators over the driver's tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkledger.functions import measures, names, text
-from inkledger.functions import repairs as rep
+from inkledger.functions import measures, text
+from inkledger.functions import words as wd
 from inkledger.operators import anomalies as an
 from inkledger.operators import coverage as cov
 from inkledger.operators import fonts, layout
@@ -16,25 +16,12 @@ from inkledger.operators import references as refs
 from inkledger.operators import segments as seg
 from inkledger.operators import spatial as sp
 from inkledger.operators import translate as tr
+from inkledger.plans.registry import ORACLES, QUERIES, query
 from inkledger.sources import glyphs as gl
 from inkledger.sources.files import table
 from inkledger.sources.rounds import fresh_uri
 from inkledger.streaming import events as ev
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 #: The glyph relation in DuckDB.
 _LINES = """lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"""
@@ -98,16 +85,35 @@ def plain_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ln.plain_lines(_glyphs(spark, sf_dir)).select("doc_id", "page_index", "text", "n_glyphs")
 
 
+#: The score's tokens without look-around: words that hold a letter are matched as well, so no number is found inside one.
+_SCORED = r"""⟦[0-9]+⟧|https?://[^ \t\r\n\f]*[^ \t\r\n\f.,;)]|[A-Za-z0-9._%+-]+@[A-Za-z0-9._%+-]+|\{[^{}\n]+\}|[\[［] ?[0-9]{1,4}(?: ?[,;\-–—] ?[0-9]{1,4})* ?[\]］]|[0-9]+\.[0-9]+[A-Za-z][A-Za-z0-9]*|[0-9]*[A-Za-z][A-Za-z0-9]*|[0-9]+(?:\.[0-9]+)?"""
+
+
 @query(f"""WITH {_GLYPHS},
-a AS (SELECT doc_id, line_no, count(*) AS n, min(x) AS x0, max(x + 5) AS x1 FROM seen GROUP BY ALL),
-b AS (SELECT doc_id, line_no, count(*) AS n, count(*) FILTER (WHERE x + 5 > 613) AS past, min(x) AS x0, max(x + 5) AS x1 FROM out GROUP BY ALL),
-m AS (SELECT a.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE a.x0 < b.x1 + 4 AND b.x0 < a.x1 + 4) AS covered, sum(a.n) AS s, coalesce(sum(b.n), 0) AS o, coalesce(sum(b.past), 0) AS p
-  FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.line_no = b.line_no GROUP BY a.doc_id)
-SELECT doc_id, n_lines, covered, CAST(s AS BIGINT) AS source_glyphs, CAST(o AS BIGINT) AS output_glyphs, CAST(p AS BIGINT) AS output_past,
-  round(covered / n_lines, 9) AS line_coverage, round(1 - covered / n_lines, 9) AS drop_rate, round(least(o, s) / s, 9) AS char_retention, round(CASE WHEN o = 0 THEN 0.0 ELSE p / o END, 9) AS overflow_rate FROM m""")
+copy AS (SELECT * REPLACE (x + CASE WHEN pos % 89 = 88 THEN 0.5 ELSE 0 END AS x, CASE WHEN pos % 178 = 177 THEN 14.0 ELSE font_size END AS font_size) FROM glyphs WHERE pos % 97 <> 96),
+a AS (SELECT doc_id, page_index, line_no, count(*) AS n, count(*) FILTER (WHERE reason = 'missing-glyph') AS u, min(x) AS x0, max(x + 5) AS x1, min(y) - 2 AS y0, max(y) + 8 AS y1, string_agg(unicode, '' ORDER BY x, id) AS text FROM glyphs GROUP BY ALL),
+ot AS (SELECT doc_id, count(*) AS n, count(DISTINCT page_index) AS pages, count(*) FILTER (WHERE reason = 'missing-glyph') AS u, count(*) FILTER (WHERE x + 5 > 613) AS past, regexp_replace(string_agg(unicode, '' ORDER BY line_no, x, id), '[ \\t\\r\\n\\f\\v]+', '', 'g') AS flat FROM copy GROUP BY doc_id),
+cov AS (SELECT DISTINCT a.doc_id, a.line_no FROM a JOIN copy o ON o.doc_id = a.doc_id AND o.page_index = a.page_index AND a.x0 - 2 < o.x + 5 AND a.x1 + 2 > o.x AND a.y0 - 2 < o.y + 8 AND a.y1 + 2 > o.y - 2),
+tok AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_SCORED}')) AS t FROM a),
+kept AS (SELECT tok.doc_id, count(*) AS tokens, count(*) FILTER (WHERE contains(coalesce(flat, ''), regexp_replace(t, '[ \\t\\r\\n\\f\\v]+', '', 'g'))) AS tokens_kept FROM tok LEFT JOIN ot ON tok.doc_id = ot.doc_id
+  WHERE NOT regexp_full_match(t, '[0-9]*[A-Za-z][A-Za-z0-9]*|[0-9]+\\.[0-9]+[A-Za-z][A-Za-z0-9]*') AND (NOT regexp_full_match(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9._%+-]+') OR regexp_full_match(t, '.*\\.[A-Za-z]{{2,63}}')) GROUP BY tok.doc_id),
+dig AS (SELECT doc_id, page_index, line_no, pos, x, y, unicode, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY pos) - dense_rank() OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS z, k - row_number() OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS g FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY x, id) AS k FROM glyphs) WHERE font_name = 'CMMI10'),
+runs AS (SELECT doc_id, page_index, line_no, g, string_agg(unicode, '' ORDER BY pos) AS t, min(x) AS x0, max(x + 5) AS x1, min(y) - 2 AS y0, max(y) + 8 AS y1 FROM dig GROUP BY ALL),
+near AS (SELECT DISTINCT r.doc_id, r.line_no, r.g FROM runs r JOIN copy o ON o.doc_id = r.doc_id AND o.page_index = r.page_index AND r.x0 - 2 < o.x + 5 AND r.x1 + 2 > o.x AND r.y0 - 2 < o.y + 8 AND r.y1 + 2 > o.y - 2),
+forms AS (SELECT r.doc_id, count(*) AS formulas, count(*) FILTER (WHERE n.g IS NOT NULL OR contains(coalesce(flat, ''), t)) AS formulas_kept FROM runs r LEFT JOIN near n ON n.doc_id = r.doc_id AND n.line_no = r.line_no AND n.g = r.g LEFT JOIN ot ON ot.doc_id = r.doc_id GROUP BY r.doc_id),
+bags AS (SELECT s.doc_id, sum(s.n) AS chars, sum(least(s.n, coalesce(o.n, 0))) AS hit FROM (SELECT doc_id, unicode, count(*) AS n FROM glyphs WHERE trim(unicode) <> '' GROUP BY ALL) s LEFT JOIN (SELECT doc_id, unicode, count(*) AS n FROM copy GROUP BY ALL) o ON s.doc_id = o.doc_id AND s.unicode = o.unicode GROUP BY s.doc_id),
+sty AS (SELECT o.doc_id, count(*) AS c, count(*) FILTER (WHERE abs(o.font_size - s.font_size) <= 0.2 * s.font_size + 0.5) AS k FROM copy o JOIN glyphs s ON o.doc_id = s.doc_id AND o.id = s.id GROUP BY o.doc_id),
+d AS (SELECT a.doc_id, count(*) AS n_lines, count(c.line_no) AS covered, count(DISTINCT page_index) AS pages, sum(n) AS n, sum(u) AS u FROM a LEFT JOIN cov c ON c.doc_id = a.doc_id AND c.line_no = a.line_no GROUP BY a.doc_id),
+r AS (SELECT d.doc_id, d.pages AS source_pages, coalesce(ot.pages, 0) AS output_pages, CAST(d.n AS BIGINT) AS source_glyphs, coalesce(ot.n, 0) AS output_glyphs, CAST(d.u AS BIGINT) AS source_unmapped, coalesce(ot.u, 0) AS output_unmapped, n_lines, covered,
+  coalesce(tokens, 0) AS protected_tokens, coalesce(tokens_kept, 0) AS protected_kept, coalesce(formulas, 0) AS formulas, coalesce(formulas_kept, 0) AS formulas_kept, 0::BIGINT AS formula_unreadable, coalesce(past, 0) AS output_past, coalesce(c, 0) AS style_compared, coalesce(k, 0) AS style_kept, CAST(chars AS BIGINT) AS source_chars, hit
+  FROM d LEFT JOIN ot ON ot.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN forms ON forms.doc_id = d.doc_id LEFT JOIN bags ON bags.doc_id = d.doc_id LEFT JOIN sty ON sty.doc_id = d.doc_id)
+SELECT * EXCLUDE (hit), round(hit / source_chars, 9) AS identity_char_retention, round(source_unmapped / source_glyphs, 9) AS source_unmapped_ratio, round(covered / n_lines, 9) AS line_coverage, round(1 - covered / n_lines, 9) AS drop_rate,
+  round(CASE WHEN protected_tokens = 0 THEN 1.0 ELSE protected_kept / protected_tokens END, 9) AS protected_recall, round(CASE WHEN formulas = 0 THEN 1.0 ELSE formulas_kept / formulas END, 9) AS formula_integrity,
+  round(CASE WHEN output_glyphs = 0 THEN 0.0 ELSE output_past / output_glyphs END, 9) AS overflow_rate, round(CASE WHEN style_compared = 0 THEN 1.0 ELSE style_kept / style_compared END, 9) AS style_retention FROM r""")
 def score_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = q.pair_scores(*_pair(spark, sf_dir))
-    return rows.withColumns({c: F.round(c, 9) for c in ("line_coverage", "drop_rate", "char_retention", "overflow_rate")})
+    source = _glyphs(spark, sf_dir)
+    rows = q.pair_scores(source, gl.output(source))
+    return rows.withColumns({c: F.round(c, 9) for c in ("identity_char_retention", "source_unmapped_ratio", "line_coverage", "drop_rate", "protected_recall", "formula_integrity", "overflow_rate", "style_retention")})
 
 
 @query(f"""WITH {_GLYPHS},
@@ -143,11 +149,28 @@ def char_multiset_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.bag_overlap(docs, docs.withColumn("text", F.array_join(lost, " "))).withColumn("overlap", F.round("overlap", 9))
 
 
-@query(f"""WITH {_GLYPHS}, t AS (SELECT doc_id, count(*) FILTER (WHERE font_name = 'CMMI10') AS math, max(font_name = 'Nimbus-Bold') AS bold, max(regexp_matches(unicode, '[\\x{{3400}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}]')) AS cjk,
-  count(*) AS n, count(DISTINCT page_index) AS pages FROM glyphs GROUP BY doc_id)
-SELECT doc_id, concat_ws(',', CASE WHEN cjk THEN 'cjk' END, CASE WHEN math >= 8 THEN 'formulas' END, CASE WHEN bold THEN 'bold' END, CASE WHEN n // pages < 15 THEN 'sparse-text' END) AS tags FROM t""")
+@query(f"""WITH {_GLYPHS},
+g AS (SELECT doc_id, page_index, line_no, font_name, unicode, CASE WHEN doc_id % 4 = 1 AND pos >= 30 THEN x + 200 ELSE x END AS x, CASE WHEN row >= 48 AND doc_id % 3 = 0 THEN y - 80 ELSE y END AS y, CASE WHEN row >= 48 AND doc_id % 3 = 0 THEN 7.0 ELSE 10.0 END AS size, doc_id % 7 = 2 AND pos = 3 AS gray, doc_id % 11 = 5 AS type3 FROM glyphs),
+e AS (SELECT doc_id, page_index, y, x, x - lag(x) OVER w AS gap, lag(x) OVER w AS px, row_number() OVER w AS k, count(*) OVER (PARTITION BY doc_id, page_index, y) AS n FROM g WINDOW w AS (PARTITION BY doc_id, page_index, y ORDER BY x)),
+b AS (SELECT *, (x + px) / 2 AS split FROM e WHERE n >= 16 AND gap IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, page_index, y ORDER BY gap DESC, x) = 1),
+p AS (SELECT doc_id, page_index, list_sort(list(split)) AS s FROM b WHERE gap >= 14 AND split BETWEEN 0.3 * 612 AND 0.7 * 612 AND k - 1 >= 8 AND n - k + 1 >= 8 GROUP BY ALL HAVING count(*) >= 8),
+two AS (SELECT DISTINCT doc_id FROM p WHERE list_sort(list_transform(s, lambda v: abs(v - s[len(s) // 2 + 1])))[len(s) // 2 + 1] < 8),
+med AS (SELECT doc_id, list_sort(list(size))[count(*) // 2 + 1] AS m FROM g GROUP BY doc_id HAVING count(*) >= 20),
+foot AS (SELECT DISTINCT doc_id FROM (SELECT g.doc_id, page_index FROM g JOIN med ON g.doc_id = med.doc_id WHERE size <= 0.78 * m AND y < 0.16 * 792 GROUP BY ALL HAVING count(*) >= 8)),
+t AS (SELECT doc_id, count(*) FILTER (WHERE font_name = 'CMMI10' OR regexp_matches(unicode, '[\\x{{2200}}-\\x{{22FF}}\\x{{0370}}-\\x{{03FF}}\\x{{1D400}}-\\x{{1D7FF}}]')) AS math, bool_or(font_name = 'Nimbus-Bold') AS bold, bool_or(regexp_matches(unicode, '[\\x{{3400}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}]')) AS cjk,
+  bool_or(gray) AS gray, bool_or(type3) AS type3, count(*) AS n, count(DISTINCT page_index) AS pages FROM g GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN n IS NULL THEN 'no-glyphs' ELSE concat_ws(',', CASE WHEN two.doc_id IS NULL THEN 'single-column' ELSE 'two-column' END, CASE WHEN cjk THEN 'cjk' END, CASE WHEN type3 THEN 'type3' END, CASE WHEN math >= 8 THEN 'formulas' END, CASE WHEN foot.doc_id IS NOT NULL THEN 'footnotes' END, CASE WHEN gray THEN 'color' END,
+  CASE WHEN bold THEN 'bold' END, CASE WHEN n // pages < 15 THEN 'sparse-text' END, CASE WHEN d.doc_id % 5 = 0 OR contains(text, 'Table') OR contains(text, 'TABLE') THEN 'tables' END, CASE WHEN d.doc_id % 6 = 1 OR contains(text, 'Figure') OR contains(text, 'Fig.') THEN 'figures' END) END AS tags
+FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN two ON two.doc_id = d.doc_id LEFT JOIN foot ON foot.doc_id = d.doc_id""")
 def observed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.observed_tags(_glyphs(spark, sf_dir)).withColumn("tags", F.array_join("tags", ","))
+    d = F.col("doc_id")
+    foot = (F.col("row") >= 48) & (d % 3 == 0)
+    shown = _glyphs(spark, sf_dir).withColumns({
+        "x": F.when((d % 4 == 1) & (F.col("pos") >= 30), F.col("x") + 200).otherwise(F.col("x")), "y": F.when(foot, F.col("y") - 80).otherwise(F.col("y")), "font_size": F.when(foot, 7.0).otherwise(10.0),
+        "gray": F.when((d % 7 == 2) & (F.col("pos") == 3), 0.5).otherwise(0.0), "type3": d % 11 == 5,
+    })
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.when(d % 5 == 0, " TABLE 1").otherwise(""), F.when(d % 6 == 1, " Fig. 2").otherwise("")).alias("text"))
+    return q.observed_tags(shown, texts).withColumn("tags", F.array_join("tags", ","))
 
 
 # Lines as the rows of paragraph and header operators.
@@ -233,14 +256,6 @@ def protected_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.size("u").alias("n_urls"), F.size("b").alias("n_braces"), F.array_join("u", " ").alias("urls"))
 
 
-@query("SELECT page_id, html AS restored, true AS whole FROM pages")
-def shield_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shielded, slots = text.shield("html")
-    rows = table(spark, sf_dir, "pages").select("page_id", "html", shielded.alias("shielded"), slots.alias("slots"))
-    back = text.restore("shielded", "slots")
-    return rows.select("page_id", back.alias("restored"), (back == F.col("html")).alias("whole"))
-
-
 def _token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.explode(text.found("html", text.SHIELD)).alias("token")).select(text.kind_of("token").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
@@ -248,14 +263,6 @@ def _token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["token_kinds"] = _token_kinds
 
 
-@query(r"""WITH s AS (SELECT page_id, html, regexp_replace(html, '<[^>]*>', ' ', 'g') AS body FROM pages),
-t AS (SELECT page_id, unnest(regexp_extract_all(html, 'https?://[^ \t\r\n\f]*[^ \t\r\n\f.,;)]')) AS token, regexp_replace(body, '[ \t\r\n\f\v]+', '', 'g') AS flat FROM s)
-SELECT page_id, count(*) AS n_tokens, count(*) FILTER (WHERE contains(flat, token)) AS n_kept FROM t GROUP BY page_id""")
-def protected_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select("page_id", text.found("html", text.SCORED_URL).alias("tokens"), text.squash(F.regexp_replace("html", "<[^>]*>", " ")).alias("flat"))
-    return rows.where(F.size("tokens") > 0).select("page_id", F.size("tokens").cast("long").alias("n_tokens"), F.size(F.filter("tokens", lambda t: F.col("flat").contains(t))).cast("long").alias("n_kept"))
-
-
 @query(r"""WITH p AS (SELECT page_id, html AS a, replace(html, '1', '2') AS b FROM pages),
 x AS (SELECT page_id, t, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(a, '[0-9]+(?:\.[0-9]+|,[0-9]{3})*')) AS t FROM p) GROUP BY ALL),
 y AS (SELECT page_id, t, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(b, '[0-9]+(?:\.[0-9]+|,[0-9]{3})*')) AS t FROM p) GROUP BY ALL)
@@ -278,29 +285,12 @@ def prompt_like_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("kind", "score").agg(F.count("*").alias("n"))
 
 
-#: Rows for rules that the tables have no text for.
-_KEPT = [("Ada Lovelace", "name"), ("MMLU-Pro", "name"), ("def run(x):", "code"), ("[12] Smith, A title, 2019", "references"), ("x = 3", "formula"), ("Smith, J. (2020) A title", "references"), ("This is plain prose about names.", None), ("3 + 4 = 7", "formula"), ("John R. Smith", "name")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {repr(k) if k else 'NULL'})" for t, k in _KEPT) + ") AS v(text, kind)")
-def keep_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(t,) for t, _ in _KEPT], "text string").select("text", text.keep_kind("text").alias("kind"))
-
-
-_CALLS = [("HTTP 429 quota exceeded", "refused"), ("HTTP 401 unauthorized", "refused"), ("HTTP 404 not found", "client"), ("HTTP 503 busy", "retry"), ("connection reset by peer", "retry"), ("read timed out", "retry"), ("bad json", "fail")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{k}')" for t, k in _CALLS) + ") AS v(message, class)")
-def gateway_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(t,) for t, _ in _CALLS], "message string").select("message", text.gateway_class("message").alias("class"))
-
-
 @query(r"""SELECT count(*) AS n_words, count(*) FILTER (WHERE regexp_full_match(w, '(https?://|www\.)[^ ]+') OR regexp_full_match(w, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}')) AS n_only
 FROM (SELECT unnest(regexp_split_to_array(regexp_replace(text, '<[^>]*>', ' ', 'g'), '[ \t\r\n\f\v]+')) AS w FROM (SELECT html AS text FROM pages UNION ALL SELECT text FROM documents)) WHERE w <> ''""")
 def url_email_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "pages").select(F.col("html").alias("text")).unionByName(table(spark, sf_dir, "documents").select("text"))
     words = texts.select(F.explode(F.split(F.regexp_replace("text", "<[^>]*>", " "), r"[ \t\r\n\f\x0b]+")).alias("w")).where("w <> ''")
-    return words.agg(F.count("*").alias("n_words"), F.count_if(text.url_or_email_only("w")).alias("n_only"))
+    return words.agg(F.count("*").alias("n_words"), F.count_if(wd.addresses_only(F.col("w"))).alias("n_only"))
 
 
 @query("SELECT d.doc_id, d.text, o.owner, o.copies FROM documents d JOIN (SELECT text, min(doc_id) AS owner, count(*) AS copies FROM documents GROUP BY text) o ON d.text = o.text")
@@ -326,18 +316,36 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.array_join("context_before", "|").alias("before"), F.array_join("context_after", "|").alias("after"))
 
 
-@query("""WITH saved AS (SELECT CASE WHEN doc_id % 2 = 0 THEN text ELSE replace(text, ' ', '  ') END AS source, '[' || text || ']' AS translated FROM documents WHERE doc_id % 3 < 2),
-e AS (SELECT source, min(translated) AS t FROM saved GROUP BY source), k AS (SELECT regexp_replace(source, '[ \\t\\r\\n\\f\\v]+', '', 'g') AS key, min(translated) AS t FROM saved GROUP BY 1)
-SELECT d.doc_id AS id, md5(coalesce(e.t, k.t)) AS translated, CASE WHEN e.t IS NOT NULL THEN 'exact' WHEN k.t IS NOT NULL THEN 'squashed' ELSE 'missing' END AS how
-FROM documents d LEFT JOIN e ON d.text = e.source LEFT JOIN k ON regexp_replace(d.text, '[ \\t\\r\\n\\f\\v]+', '', 'g') = k.key""")
+#: A report that renders most documents, each in another way; ids from 5 in a million on are of texts that only it explains.
+_SAVED = """SELECT CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN replace(text, ' ', '  ') WHEN 2 THEN concat('12 3.', doc_id, ' ', text) WHEN 3 THEN substr(text, 1, 20) ELSE concat(text, ' (2)') END AS source,
+  CASE doc_id % 6 WHEN 2 THEN concat('12 [3.', doc_id, ' ', text, ']') WHEN 3 THEN concat('<', substr(text, 1, 20), '>') ELSE concat('[', text, ']') END AS translated FROM documents WHERE doc_id % 6 < 5
+  UNION ALL SELECT substr(text, 21), concat('<', substr(text, 21), '>') FROM documents WHERE doc_id % 12 = 3"""
+_ASKED = "SELECT doc_id AS id, CASE doc_id % 6 WHEN 2 THEN concat('3.', doc_id, ' ', text) WHEN 5 THEN CAST(doc_id % 2000 AS VARCHAR(9)) ELSE text END AS text FROM documents"
+
+
+@query(f"""WITH saved AS ({_SAVED}), asked AS ({_ASKED}),
+e AS (SELECT source, min(translated) AS t FROM saved GROUP BY source), k AS (SELECT regexp_replace(source, '[ \\t\\r\\n\\f\\v]+', '', 'g') AS key, min(translated) AS t FROM saved GROUP BY 1),
+p AS (SELECT trim(substr(source, 4)) AS rest, min(trim(substr(translated, 4))) AS t FROM saved WHERE source LIKE '12 3.%' GROUP BY 1),
+j AS (SELECT a.id, max(struct_pack(n := length(l.source), t := rtrim(l.translated) || CASE WHEN regexp_matches(substr(a.text, length(l.source) + 1), '^\\s') OR regexp_matches(l.source, '\\s$') THEN ' ' ELSE '' END || ltrim(r.t))) AS m
+  FROM asked a JOIN saved l ON length(l.source) >= 8 AND length(l.source) < length(a.text) AND starts_with(a.text, l.source) JOIN (SELECT trim(source) AS s, min(translated) AS t FROM saved GROUP BY 1) r ON r.s = trim(substr(a.text, length(l.source) + 1)) GROUP BY a.id)
+SELECT a.id, md5(CASE WHEN e.t IS NOT NULL THEN e.t WHEN k.t IS NOT NULL THEN k.t WHEN regexp_full_match(trim(a.text), '[0-9]{{1,3}}') THEN trim(a.text) WHEN p.t IS NOT NULL THEN p.t ELSE j.m.t END) AS translated,
+  CASE WHEN e.t IS NOT NULL THEN 'exact' WHEN k.t IS NOT NULL THEN 'squashed' WHEN regexp_full_match(trim(a.text), '[0-9]{{1,3}}') THEN 'digits' WHEN p.t IS NOT NULL THEN 'peeled' WHEN j.m IS NOT NULL THEN 'joined' ELSE 'missing' END AS how
+FROM asked a LEFT JOIN e ON a.text = e.source LEFT JOIN k ON regexp_replace(a.text, '[ \\t\\r\\n\\f\\v]+', '', 'g') = k.key LEFT JOIN p ON trim(a.text) = p.rest LEFT JOIN j ON j.id = a.id""")
 def replay_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    # A report that renders two of three documents, and spaces each second one differently.
-    saved = docs.where("doc_id % 3 < 2").select(F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.replace("text", F.lit(" "), F.lit("  "))).alias("source"), F.concat(F.lit("["), "text", F.lit("]")).alias("translated"))
-    rows = seg.replay_lookup(docs.select(F.col("doc_id").alias("id"), "text"), saved)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    rows = seg.replay_lookup(spark.sql(_ASKED), spark.sql(_SAVED))
     return rows.select("id", F.md5("translated").alias("translated"), "how")
 
 
+@query(f"""WITH s AS ({_SAVED.replace("UNION ALL", "UNION ALL SELECT text, text FROM documents WHERE doc_id % 6 = 0 UNION ALL")})
+SELECT md5(source) AS source, md5(CASE WHEN count(*) FILTER (WHERE translated = source) > 0 AND ((length(trim(source)) <= 48 AND NOT contains(source, '. ') AND len(regexp_split_to_array(trim(source), '\\s+')) <= 6) OR count(*) FILTER (WHERE translated <> source) = 0) THEN source ELSE min(translated) FILTER (WHERE translated <> source) END) AS translated FROM s GROUP BY s.source""")
+def saved_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs.createOrReplaceTempView("documents")
+    echoes = docs.where("doc_id % 6 = 0").select(F.col("text").alias("source"), F.col("text").alias("translated"))
+    return seg.saved_texts(spark.sql(_SAVED).unionByName(echoes)).select(F.md5("source").alias("source"), F.md5("translated").alias("translated"))
+
+
 @query("""WITH a AS (SELECT user_id, event_id, event_type IN ('error', 'view') AS refused, sum(CASE WHEN event_type IN ('error', 'view') THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island, ts FROM events),
 s AS (SELECT *, sum(CAST(refused AS INTEGER)) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS streak FROM a)
 SELECT user_id, event_id, refused, CAST(streak AS BIGINT) AS streak, coalesce(max(streak >= 3) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS halted FROM s""")
@@ -379,38 +387,54 @@ def low_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", measures.contrast(F.lit(1.0), lum).alias("contrast")).where("contrast < 4.45").withColumn("contrast", F.round("contrast", 6))
 
 
-def _rules(glyph_lines: DataFrame) -> DataFrame:
-    """A thin rule below each ninth line, 30 wide; it is an orphan if its line ends before it."""
-    return glyph_lines.where("row % 9 = 4").select("doc_id", "page_index", F.col("row").alias("key"), F.lit(400.0).alias("x0"), (F.col("y") - 3.0).alias("y0"), F.lit(430.0).alias("x1"), (F.col("y") - 2.0).alias("y1"))
+def _rules(rows: DataFrame) -> DataFrame:
+    """A region below each ninth line: of several widths and heights, and not all of them paths."""
+    k = F.floor(F.col("row") / 9) % 4
+    width = F.element_at(F.array(F.lit(30.0), F.lit(1.0), F.lit(50.0), F.lit(20.0)), (k + 1).cast("int"))
+    high, kind = F.when(F.col("row") % 2 == 0, 1.0).otherwise(2.0), F.when(F.floor(F.col("row") / 9) % 5 == 4, "image").otherwise("path")
+    x = F.lit(380.0) + F.col("row") % 7 * 10
+    return rows.where("row % 9 = 4").select("doc_id", "page_index", F.col("row").alias("key"), kind.alias("kind"), x.alias("x0"), (F.col("y") - 3.0).alias("y0"), (x + width).alias("x1"), (F.col("y") - 3.0 + high).alias("y1"))
 
 
-@query(f"""WITH {_ROWS}, r AS (SELECT * FROM rows_ WHERE line_no % 9 = 4)
-SELECT r.doc_id, r.page_index, CAST(r.line_no AS INTEGER) AS key FROM r WHERE NOT EXISTS (SELECT 1 FROM rows_ g WHERE g.doc_id = r.doc_id AND g.page_index = r.page_index
-  AND 400.0 < g.x + g.width + 12 AND g.x < 430.0 + 12 AND r.y - 3 < g.y + 8 + 12 AND g.y - 2 < r.y - 2 + 12)""")
+@query(f"""WITH {_ROWS}, r AS (SELECT doc_id, page_index, line_no, 380.0 + line_no % 7 * 10 AS x0, [30.0, 1.0, 50.0, 20.0][line_no // 9 % 4 + 1] AS w, y - 3 + CASE WHEN line_no % 2 = 0 THEN 0.5 ELSE 1.0 END AS mid, CASE WHEN line_no % 2 = 0 THEN 1.0 ELSE 2.0 END AS h FROM rows_ WHERE line_no % 9 = 4 AND line_no // 9 % 5 <> 4)
+SELECT r.doc_id, r.page_index, CAST(r.line_no AS INTEGER) AS key, CAST(x0 AS DOUBLE) AS x, CAST(mid AS DOUBLE) AS y, CAST(w AS DOUBLE) AS width FROM r WHERE w BETWEEN 2 AND 40 AND h <= 1.6 AND NOT EXISTS (SELECT 1 FROM rows_ g WHERE g.doc_id = r.doc_id AND g.page_index = r.page_index
+  AND mid BETWEEN g.y - 2 - 6 AND g.y + 8 + 6 AND x0 + w >= g.x - 16 AND x0 <= g.x + g.width + 16)""")
 def orphan_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
-    rules = _rules(rows)
     boxes = rows.select("doc_id", "page_index", F.col("x").alias("x0"), (F.col("y") - 2.0).alias("y0"), (F.col("x") + F.col("width")).alias("x1"), (F.col("y") + 8.0).alias("y1"))
-    return rules.select("doc_id", "page_index", "key").join(sp.touching(rules, boxes, 6.0), ["doc_id", "page_index", "key"], "left_anti")
+    return sp.orphan_rules(_rules(rows), boxes)
 
 
-@query(f"""WITH {_ROWS}, e AS (SELECT doc_id, page_index, 300.0 AS edge, min(y) AS y0, max(y) - 60 AS y1 FROM rows_ GROUP BY ALL)
-SELECT r.doc_id, r.page_index, CAST(r.line_no AS INTEGER) AS row, CAST(e.edge AS DOUBLE) AS edge FROM rows_ r JOIN e ON r.doc_id = e.doc_id AND r.page_index = e.page_index
-WHERE r.y BETWEEN e.y0 AND e.y1 AND r.x < 299 AND r.x + r.width > 301""")
+@query(f"""WITH {_ROWS}, o AS (SELECT doc_id, page_index, line_no, x AS x0, x + width + CASE WHEN line_no % 5 = 2 THEN 40 ELSE 0 END AS x1, y + CASE WHEN line_no % 6 = 1 THEN 5 WHEN line_no % 6 = 4 THEN 30 ELSE 0 END AS y, CASE WHEN line_no % 10 = 3 THEN 14.0 ELSE 10.0 END AS size FROM rows_),
+p AS (SELECT doc_id, page_index, min(y) AS lo, max(y) - 60 AS hi FROM rows_ GROUP BY ALL),
+e AS (SELECT DISTINCT doc_id, page_index, unnest([300.0, 420.0]) AS edge, lo, hi FROM p WHERE hi - lo >= 20),
+m AS (SELECT o.*, s.x AS sx0, s.x + s.width AS sx1 FROM o JOIN rows_ s ON o.doc_id = s.doc_id AND o.page_index = s.page_index AND abs(o.y - s.y) <= 0.8 * greatest(o.size, 10) QUALIFY row_number() OVER (PARTITION BY o.doc_id, o.line_no ORDER BY abs(o.y - s.y), s.line_no) = 1)
+SELECT m.doc_id, m.page_index, CAST(m.line_no AS INTEGER) AS row, CAST(edge AS DOUBLE) AS edge FROM m JOIN e ON m.doc_id = e.doc_id AND m.page_index = e.page_index
+WHERE m.y + size >= lo AND m.y - size <= hi AND x0 < edge - 1 AND x1 > edge + 1 AND NOT (sx0 < edge - 1 AND sx1 > edge + 1)""")
 def boundary_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir).withColumn("x0", F.col("x")).withColumn("x1", F.col("x") + F.col("width"))
-    edges = rows.groupBy("doc_id", "page_index").agg(F.lit(300.0).alias("edge"), F.min("y").alias("y0"), (F.max("y") - 60).alias("y1"))
-    return sp.boundary_crossings(rows, edges)
-
-
-@query(f"""WITH {_ROWS}, s AS (SELECT doc_id, page_index, line_no, x AS x0, x + width AS x1 FROM rows_), o AS (SELECT doc_id, page_index, line_no, x0, x1 + CASE WHEN line_no % 5 = 2 THEN 30 ELSE 0 END AS x1 FROM s)
-SELECT o.doc_id, o.page_index, CAST(o.line_no AS INTEGER) AS row, (o.x0 >= s.x0 - 3 AND o.x1 <= s.x1 + 3) OR (abs((o.x0 + o.x1) / 2 - (s.x0 + s.x1) / 2) <= 8 AND o.x0 >= s.x0 - 15 AND o.x1 <= s.x1 + 22) AS inside
-FROM o JOIN s ON o.doc_id = s.doc_id AND o.page_index = s.page_index AND o.line_no = s.line_no""")
+    rows = _rows(spark, sf_dir).withColumns({"x0": F.col("x"), "x1": F.col("x") + F.col("width")})
+    moved = rows.withColumns({"x1": F.col("x1") + F.when(F.col("row") % 5 == 2, 40).otherwise(0), "y": F.col("y") + F.when(F.col("row") % 6 == 1, 5).when(F.col("row") % 6 == 4, 30).otherwise(0), "size": F.when(F.col("row") % 10 == 3, 14.0).otherwise(10.0)})
+    page = rows.groupBy("doc_id", "page_index").agg(F.min("y").alias("lo"), (F.max("y") - 60).alias("hi"))
+    # A panel, one that is too thin, and the page itself.
+    box = lambda x0, x1, y0, y1: F.struct(F.lit(x0).alias("x0"), F.lit(x1).alias("x1"), y0.alias("y0"), y1.alias("y1"))
+    regions = page.where("hi >= lo").select("doc_id", "page_index", F.inline(F.array(box(300.0, 420.0, F.col("lo"), F.col("hi")), box(350.0, 355.0, F.col("lo"), F.col("hi")), box(5.0, 610.0, F.lit(5.0), F.lit(790.0)))))
+    return sp.boundary_crossings(moved, rows, sp.panel_edges(regions, 612.0, 792.0))
+
+
+@query(f"""WITH {_ROWS}, s AS (SELECT doc_id, page_index, y, x AS l, CASE WHEN line_no % 3 = 0 THEN x + 0.4 * width ELSE x + width END AS r FROM rows_ UNION ALL SELECT doc_id, page_index, y, x + 0.4 * width + 25, x + width + 25 FROM rows_ WHERE line_no % 3 = 0),
+o AS (SELECT doc_id, page_index, line_no, y, x + CASE WHEN line_no % 11 = 10 THEN width + 30 WHEN line_no % 7 = 3 THEN 6 ELSE 0 END AS x0, x + width + CASE WHEN line_no % 11 = 10 THEN 35 WHEN line_no % 5 = 2 THEN 30 WHEN line_no % 7 = 3 THEN 6 ELSE 0 END AS x1, line_no % 11 = 10 AS mark FROM rows_),
+j AS (SELECT o.doc_id, o.page_index, o.line_no, l, r, max(r) OVER (PARTITION BY o.doc_id, o.line_no ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o JOIN s ON o.doc_id = s.doc_id AND o.page_index = s.page_index AND abs(o.y - s.y) <= 24),
+i AS (SELECT *, sum(CASE WHEN l <= reach + 20 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, line_no ORDER BY l, r) AS island FROM j),
+m AS (SELECT doc_id, line_no, min(l) AS l, max(r) AS r FROM i GROUP BY doc_id, line_no, island)
+SELECT o.doc_id, o.page_index, CAST(o.line_no AS INTEGER) AS row, coalesce(bool_or((x0 >= l - 3 AND x1 <= r + 3) OR (abs((x0 + x1) / 2 - (l + r) / 2) <= 8 AND x0 < r + 10 AND x1 > l - 10 AND x0 >= l - 15 AND x1 <= r + 22) OR (mark AND x0 >= r - 15 AND x1 <= r + 24)), false) AS inside
+FROM o LEFT JOIN m ON o.doc_id = m.doc_id AND o.line_no = m.line_no GROUP BY ALL""")
 def horizontal_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir).select("doc_id", "page_index", "row", "size", F.col("x").alias("x0"), (F.col("x") + F.col("width")).alias("x1"))
-    spans = sp.merged_spans(rows.select("doc_id", "page_index", "row", "x0", "x1"), ["doc_id", "page_index", "row"])
-    moved = rows.withColumn("x1", F.col("x1") + F.when(F.col("row") % 5 == 2, 30.0).otherwise(0.0))
-    return sp.contained(moved, spans)
+    rows = _rows(spark, sf_dir).withColumns({"x0": F.col("x"), "x1": F.col("x") + F.col("width")})
+    cut = F.when(F.col("row") % 3 == 0, F.array(F.struct(F.col("x0").alias("x0"), (F.col("x0") + 0.4 * F.col("width")).alias("x1")), F.struct((F.col("x0") + 0.4 * F.col("width") + 25).alias("x0"), (F.col("x1") + 25).alias("x1")))).otherwise(F.array(F.struct("x0", "x1")))
+    source = rows.select("doc_id", "page_index", "y", F.inline(cut))
+    k = F.col("row")
+    moved = rows.withColumns({"x0": F.col("x0") + F.when(k % 11 == 10, F.col("width") + 30).when(k % 7 == 3, 6).otherwise(0), "x1": F.col("x1") + F.when(k % 11 == 10, 35).when(k % 5 == 2, 30).when(k % 7 == 3, 6).otherwise(0), "mark": k % 11 == 10})
+    return sp.contained(moved, source)
 
 
 @query(f"""WITH {_ROWS} SELECT doc_id, page_index, CAST(line_no AS INTEGER) AS id, row_number() OVER (PARTITION BY doc_id, page_index ORDER BY line_no % 2, y DESC, line_no) AS place FROM rows_""")
@@ -441,13 +465,34 @@ def translate_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.translate(segments, tr.Marked()).select("doc_id", "id", F.md5("translated").alias("translated"), "how")
 
 
-@query()
+_NO_START = "".join(sorted(layout.NO_START)).replace("]", "\\]").replace("'", "''")
+_HANGS = "".join(sorted(layout.HANGING))
+
+
+def _wrapping(most: str) -> str:
+    """Lines of a text without wide characters, one a step: as far as ``most`` half ems go to a space that may end a line, a mark hung over, or cut."""
+    ends = f"(?: [^{_NO_START}]|$)"
+    one = f"regexp_extract(rest, '^(.{{1,' || {most} || '}})(?: [^{_NO_START}]|$)', 1)"
+    hung = f"regexp_extract(rest, '^(.{{0,' || {most} || '}}[{_HANGS}]){ends}', 1)"
+    return f"CASE WHEN {one} = '' AND {hung} = '' THEN substr(rest, 1, {most}) WHEN length({hung}) > length({one}) THEN {hung} ELSE {one} END"
+
+
+_FLAT = "trim(regexp_replace(line, '[ \\t\\r\\n\\f\\v]+', ' ', 'g'))"
+
+
+@query(f"""WITH RECURSIVE {_LINES}, w AS (SELECT doc_id, line_no, -1 AS part, '' AS text, {_FLAT} AS rest FROM lines WHERE trim(line) <> ''
+  UNION ALL SELECT doc_id, line_no, part + 1, t, ltrim(substr(rest, length(t) + 1)) FROM (SELECT *, {_wrapping('60')} AS t FROM w WHERE rest <> ''))
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, part, rtrim(text) AS text FROM w WHERE part >= 0""")
 def wrap_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = gl.lines(table(spark, sf_dir, "documents")).where(F.trim("line") != "")
     return rows.select("doc_id", "line_no", F.posexplode(layout.wrapped(F.col("line"), F.lit(30.0))).alias("part", "text"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LINES}, s AS (SELECT k, 10 * pow(0.94, k) AS size, CAST(floor(936 / (10 * pow(0.94, k))) AS INTEGER) AS most FROM range(0, 8) AS r(k)),
+w AS (SELECT doc_id, line_no, k, size, most, 0 AS n, 12.5 * ceil(length(line) / 94.0) AS high, {_FLAT} AS rest FROM lines, s WHERE trim(line) <> ''
+  UNION ALL SELECT doc_id, line_no, k, size, most, n + 1, high, ltrim(substr(rest, length(t) + 1)) FROM (SELECT *, {_wrapping('most')} AS t FROM w WHERE rest <> '')),
+d AS (SELECT *, n <= 96 AND (high / n >= 1.25 * size OR (n = 1 AND high >= size)) AS fits FROM w WHERE rest = '')
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, arg_min(n, k) FILTER (WHERE fits) AS n_lines, round(arg_min(size, k) FILTER (WHERE fits), 6) AS size FROM d GROUP BY ALL""")
 def fit_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = gl.lines(table(spark, sf_dir, "documents")).where(F.trim("line") != "")
     box = layout.fitted(F.col("line"), F.lit(468.0), 12.5 * F.ceil(F.length("line") / 94), F.lit(10.0))
@@ -459,10 +504,15 @@ def reference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.reference_lines(gl.lines(table(spark, sf_dir, "documents")).select("doc_id", F.col("line_no").alias("row"), F.col("line").alias("text")))
 
 
-@query()
+_AFTER = "[\"''”’)\\]]{{0,3}}[ \\t\\r\\n]{{0,64}}".replace("{{", "{").replace("}}", "}")
+_UNMARK = f"'(^|[^A-Za-z])((?i:[A-Za-z]|{'|'.join(text.ABBREVIATIONS)})\\.{_AFTER})␞', '\\1\\2', 'g'"
+
+
+@query(f"""WITH m AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '([.?!]{_AFTER})([A-Z])', '\\1␞\\2', 'g'), {_UNMARK}), {_UNMARK}) AS t FROM documents)
+SELECT doc_id, CAST(len(list_filter(string_split(t, '␞'), lambda s: s <> '')) AS INTEGER) AS n, md5(array_to_string(list_filter(string_split(t, '␞'), lambda s: s <> ''), '|')) AS digest, true AS lossless FROM m""")
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", text.split_sentences("text").alias("sentences"))
-    return rows.select("doc_id", F.size("sentences").alias("n"), (F.array_join("sentences", "") == F.col("text")).alias("lossless"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", text.split_sentences("text").alias("parts"))
+    return rows.select("doc_id", F.size("parts").alias("n"), F.md5(F.array_join("parts", "|")).alias("digest"), (F.array_join("parts", "") == F.col("text")).alias("lossless"))
 
 
 @query("""SELECT * FROM (SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2)
@@ -501,11 +551,39 @@ def math_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.math_runs(_glyphs(spark, sf_dir)).groupBy("doc_id", "line_no", "run").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_ROWS}, c AS (SELECT doc_id, page_index, list_sort(list(length(rtrim(text || ' .. ' || line_no)))) AS s, count(*) AS n FROM rows_ WHERE regexp_matches(rtrim(text || ' .. ' || line_no), '[^0-9 ][ .]+[0-9]{{1,4}}$') GROUP BY ALL)
-SELECT doc_id, page_index, n AS n_rows, CAST(s[n // 2 + 1] AS INTEGER) AS median_length FROM c WHERE n >= 4 AND s[n // 2 + 1] < 90""")
+#: Rows of contents pages: every other line ends in a number or a roman one, and some are broken.
+_TOC = """toc AS (SELECT doc_id, page_index, line_no, y, size, CASE line_no % 13 WHEN 1 THEN 300.0 ELSE x END AS x, CASE line_no % 13 WHEN 1 THEN '12' WHEN 2 THEN 'xiv' WHEN 3 THEN '录 A' WHEN 4 THEN '1.2 ■ 附录 B 7' WHEN 5 THEN '标题 附录 B 7' WHEN 6 THEN 'x 9' WHEN 7 THEN 'a 12' WHEN 8 THEN '• 中' WHEN 9 THEN substr(trim(text), 1, 40) || ' .. ' || line_no WHEN 10 THEN text || ' xii' ELSE text END AS text FROM rows_)"""
+
+
+@query(f"""WITH {_ROWS}, {_TOC}, c AS (SELECT doc_id, page_index, list_sort(list(length(text))) AS s, count(*) AS n, count(*) FILTER (WHERE regexp_matches(trim(text), '[0-9]$') OR regexp_matches(trim(text), '(^|[ \\t])[ivxlcdmIVXLCDM]{{1,6}}$')) AS k FROM toc WHERE trim(text) <> '' GROUP BY ALL)
+SELECT doc_id, page_index, k AS n_rows, CAST(s[n // 2 + 1] AS INTEGER) AS median_length FROM c WHERE k >= 4 AND s[n // 2 + 1] < 90""")
 def contents_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir)
-    return an.contents_pages(rows.withColumn("text", F.concat("text", F.lit(" .. "), F.col("row").cast("string"))))
+    return an.contents_pages(_toc_rows(spark, sf_dir))
+
+
+def _toc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("row") % 13
+    made = {1: "12", 2: "xiv", 3: "录 A", 4: "1.2 ■ 附录 B 7", 5: "标题 附录 B 7", 6: "x 9", 7: "a 12", 8: "• 中"}
+    text_ = F.when(k == 9, F.concat(F.substring(F.trim("text"), 1, 40), F.lit(" .. "), F.col("row").cast("string"))).when(k == 10, F.concat("text", F.lit(" xii")))
+    for n, t in made.items():
+        text_ = text_.when(k == n, t)
+    return _rows(spark, sf_dir).withColumns({"x": F.when(k == 1, 300.0).otherwise(F.col("x")), "text": text_.otherwise(F.col("text"))})
+
+
+@query(f"""WITH {_ROWS}, {_TOC}, c AS (SELECT doc_id, page_index FROM toc WHERE trim(text) <> '' GROUP BY ALL HAVING count(*) FILTER (WHERE regexp_matches(trim(text), '[0-9]$') OR regexp_matches(trim(text), '(^|[ \\t])[ivxlcdmIVXLCDM]{{1,6}}$')) >= 4 AND list_sort(list(length(text)))[count(*) // 2 + 1] < 90),
+f AS (SELECT t.*, CASE line_no % 13 WHEN 1 THEN CASE WHEN y > 90 THEN 'detached-number' END WHEN 3 THEN 'split-appendix' WHEN 5 THEN 'run-on' WHEN 6 THEN CASE WHEN y > 80 THEN 'orphan-char' END WHEN 7 THEN 'latin-stub' WHEN 8 THEN CASE WHEN y > 80 THEN 'orphan-char' END END AS made FROM toc t JOIN c ON c.doc_id = t.doc_id AND c.page_index = t.page_index),
+p AS (SELECT *, regexp_replace(text, '[ \\t\\r\\n\\f\\v]', '', 'g') AS flat, trim(regexp_replace(regexp_replace(trim(text), '^[■•▪ ]+', ''), CASE WHEN regexp_matches(text, '[^ ][ ]+([0-9]{{1,4}}|[ivxlcdmIVXLCDM]{{1,6}})[ ]*$') THEN '[^ ]+[ ]*$' ELSE '[0-9]+$' END, '')) AS rest FROM f)
+SELECT doc_id, page_index, CAST(line_no AS INTEGER) AS row, coalesce(made, CASE WHEN regexp_full_match(flat, '[A-Za-z][0-9]{{2,}}') THEN 'latin-stub' WHEN length(rest) = 1 AND y > 80 THEN 'orphan-char' END) AS reason FROM p WHERE made IS NOT NULL OR (line_no % 13 NOT IN (1, 2, 4, 6, 8) AND (regexp_full_match(flat, '[A-Za-z][0-9]{{2,}}') OR (length(rest) = 1 AND y > 80)))""")
+def toc_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return an.toc_fragments(_toc_rows(spark, sf_dir))
+
+
+@query(f"""WITH {_ROWS}, t AS (SELECT doc_id, page_index, line_no, substr(text, 1, 40) AS text, 306 - 2.5 * length(substr(text, 1, 40)) + line_no % 9 AS x0, 306 + 2.5 * length(substr(text, 1, 40)) + line_no % 9 AS x1, CASE WHEN line_no % 4 = 0 THEN 16.0 ELSE 12.0 END AS size FROM rows_)
+SELECT doc_id, page_index, CAST(line_no AS INTEGER) AS row, CAST(abs((x0 + x1) / 2 - 306) AS DOUBLE) AS delta FROM t WHERE size >= 14 AND length(text) BETWEEN 4 AND 80 AND x0 >= 73.44 AND 612 - x1 >= 73.44 AND x1 - x0 < 489.6 AND abs((x0 + x1) / 2 - 306) > 4""")
+def title_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.substring("text", 1, 40)
+    rows = _rows(spark, sf_dir).withColumns({"text": t, "x0": 306 - 2.5 * F.length(t) + F.col("row") % 9, "x1": 306 + 2.5 * F.length(t) + F.col("row") % 9, "size": F.when(F.col("row") % 4 == 0, 16.0).otherwise(12.0)})
+    return an.title_drift(rows, 612.0)
 
 
 @query(f"""WITH {_ROWS}, e AS (SELECT doc_id, page_index, CASE WHEN line_no % 3 = 0 THEN 310.0 ELSE 72.0 END + line_no % 5 AS x FROM rows_),
@@ -523,32 +601,16 @@ def script_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.clusters(digits.select("doc_id", "page_index", "id", "x", "y"), 5.0).select("doc_id", "cluster", "id")
 
 
-@query(f"""WITH {_LINES}, w AS (SELECT doc_id, line_no, unnest(list_slice(regexp_extract_all(line, '[^ ]+'), 1, 3)) AS t, generate_subscripts(list_slice(regexp_extract_all(line, '[^ ]+'), 1, 3), 1) - 1 AS k FROM lines)
-SELECT a.doc_id, CAST(a.line_no * 3 + a.k AS BIGINT) AS id, coalesce(string_agg(b.t, ' | ' ORDER BY b.k), '') AS row_text FROM w a LEFT JOIN w b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND a.k <> b.k
-GROUP BY a.doc_id, a.line_no, a.k HAVING count(b.k) > 0 OR EXISTS (SELECT 1 FROM w c WHERE c.doc_id = a.doc_id AND c.k = a.k AND c.line_no // 50 = a.line_no // 50 AND c.line_no <> a.line_no AND abs(c.line_no - a.line_no) <= 8)""")
+@query(f"""WITH {_LINES}, w AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '[^ ]+')) AS t, generate_subscripts(regexp_extract_all(line, '[^ ]+'), 1) - 1 AS k FROM lines),
+h AS (SELECT *, 72.0 + 150 * k AS x0, 720.0 - 12 * (line_no % 50) AS y, line_no // 50 AS page FROM w),
+r AS (SELECT a.doc_id, a.line_no, a.k, coalesce(string_agg(b.t, ' | ' ORDER BY b.k), '') AS row_text FROM w a LEFT JOIN w b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND a.k <> b.k AND b.k < CASE WHEN a.k < 8 THEN 9 ELSE 8 END GROUP BY ALL),
+c AS (SELECT a.doc_id, a.line_no, a.k, b.t, row_number() OVER (PARTITION BY a.doc_id, a.line_no, a.k ORDER BY abs(a.line_no - b.line_no), b.line_no) AS place FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.page = b.page AND a.k = b.k AND a.line_no <> b.line_no AND abs(a.line_no - b.line_no) <= 8),
+s AS (SELECT doc_id, line_no, k, string_agg(t, ' | ' ORDER BY place) AS column_text FROM c WHERE place <= 8 GROUP BY ALL)
+SELECT r.doc_id, CAST(r.line_no * 100000 + r.k AS BIGINT) AS id, md5(row_text) AS row_text, md5(coalesce(column_text, '')) AS column_text FROM r LEFT JOIN s ON r.doc_id = s.doc_id AND r.line_no = s.line_no AND r.k = s.k""")
 def cell_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = gl.lines(table(spark, sf_dir, "documents")).select("doc_id", "page_index", "line_no", "row", F.posexplode(F.slice(text.found("line", "[^ ]+"), 1, 3)).alias("k", "text"))
-    cells = words.select("doc_id", "page_index", (F.col("line_no") * 3 + F.col("k")).cast("long").alias("id"), (72.0 + 150 * F.col("k")).alias("x0"), (72.0 + 150 * F.col("k") + 100).alias("x1"), (720.0 - 12 * F.col("row")).alias("y"), F.lit(10.0).alias("size"), "text")
-    return an.cell_context(cells).select("doc_id", "id", "row_text")
-
-
-#: Pairs for the repairs, with what comes out.
-_REPAIRS = [("It is 41.8 wide", "It is 41.0 wide", "It is 41.8 wide"), ("a b", "the the end", "the end"), ("x", "中 文", "中文"), ("End.", "完。。", "完。"), ("The cat", "猫 (the cat)在", "猫在"), ("Pay 5 and 5", "Pay 5 and 6", "Pay 5 and 5"), ("Fine", "Gut", "Gut")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{r}', '{o}')" for s, r, o in _REPAIRS) + ") AS v(source, reply, repaired)")
-def repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(s, r) for s, r, _ in _REPAIRS], "source string, reply string")
-    return rows.select("source", "reply", rep.repair(F.col("source"), F.col("reply")).alias("repaired"))
-
-
-#: Lines that are names, and what kind.
-_NAMES = [("Ada Lovelace", "person"), ("By Ada Lovelace and Alan M. Turing", "byline"), ("Ada Lovelace1, Alan Turing2", "authors"), ("Department of Physics, Example University", "institution"), ("We study names here", None), ("Ludwig van Beethoven", "person")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {repr(k) if k else 'NULL'})" for t, k in _NAMES) + ") AS v(text, kind)")
-def name_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(t,) for t, _ in _NAMES], "text string").select("text", names.name_kind(F.col("text")).alias("kind"))
+    words = gl.lines(table(spark, sf_dir, "documents")).select("doc_id", "page_index", "line_no", "row", F.posexplode(text.found("line", "[^ ]+")).alias("k", "text"))
+    cells = words.select("doc_id", "page_index", (F.col("line_no").cast("long") * 100000 + F.col("k")).alias("id"), (72.0 + 150 * F.col("k")).alias("x0"), (72.0 + 150 * F.col("k") + 100).alias("x1"), (720.0 - 12 * F.col("row")).alias("y"), F.lit(10.0).alias("size"), "text")
+    return an.cell_context(cells).select("doc_id", "id", F.md5("row_text").alias("row_text"), F.md5("column_text").alias("column_text"))
 
 
 @query("""SELECT how, count(*) AS n, md5(string_agg(unicode, '' ORDER BY code)) AS digest FROM (SELECT p_partkey % 400 AS code, CASE WHEN p_partkey % 400 % 7 = 0 THEN 'single' WHEN p_partkey % 400 BETWEEN 100 AND 299 THEN 'range' WHEN p_partkey % 400 BETWEEN 32 AND 126 THEN 'encoding' ELSE 'unmapped' END AS how,

@@ -5,8 +5,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from inkledger.functions import errors as er
+from inkledger.functions import flaws as fl
 from inkledger.functions import measures as m
 from inkledger.functions import text as t
+from inkledger.functions import words as wd
 
 
 def one(spark, column, value, kind="string"):
@@ -65,7 +68,7 @@ def test_sentences(spark):
 def test_classes(spark):
     assert one(spark, t.prompt_score, "You are a judge. You must reply with my_long_name_here.") == 4
     assert one(spark, t.prompt_score, "plain") == 0
-    assert one(spark, t.url_or_email_only, "https://a.b me@x.org") and not one(spark, t.url_or_email_only, "see https://a.b")
+    assert one(spark, wd.addresses_only, "https://a.b me@x.org") and not one(spark, wd.addresses_only, "see https://a.b")
     assert [one(spark, t.prefilled, x) for x in ("  ", "--- *", "www.a.b", "word")] == [True, True, True, False]
     assert one(spark, t.collapse, " a\t\n b ") == "a b" and one(spark, t.squash, " a\t\n b ") == "ab"
     assert one(spark, t.fold_ligatures, "ﬁt oﬃce") == "fit office"
@@ -75,7 +78,7 @@ def test_classes(spark):
 
 def test_flaws_and_saved(spark):
     df = spark.createDataFrame([("It is 41.8 wide", "the the is 41.0"), ("Fine text", "Guter Text")], "s string, r string")
-    flags = t.flaw_flags("s", "r")
+    flags = fl.flaw_flags(F.col("s"), F.col("r"))
     got = df.select(*[c.alias(n) for n, c in flags.items()]).collect()
     assert got[0].duplicated_word and got[0].changed_number and not any(got[1])
     rows = spark.createDataFrame([("x", "x", "s"), ("s", "b", "s"), ("this is a longer text. with more words than six or so", "b", "this is a longer text. with more words than six or so"), ("a", "b", "s")], "a string, b string, s string")
@@ -89,3 +92,49 @@ def test_measures(spark):
     assert (z.a, z.b, z.c) == (0.0, 1.0, 21.0)
     mm = spark.range(1).select(m.multiply(F.array(*map(F.lit, (2.0, 0.0, 0.0, 2.0, 1.0, 1.0))), F.array(*map(F.lit, (0.0, 1.0, -1.0, 0.0, 5.0, 6.0)))).alias("m"), m.sideways(F.array(*map(F.lit, (0.0, 10.0, -10.0, 0.0)))).alias("s")).first()
     assert mm.m == [0.0, 2.0, -2.0, 0.0, 4.0, 7.0] and mm.s
+
+
+@pytest.mark.parametrize("text,person,byline,authors,institution", [
+    ("Ada Lovelace", True, True, True, False),
+    ("Jean-Luc O'Neil", True, True, True, False),
+    ("Émile Zola", True, True, True, False),
+    ("Overall Objective.", False, False, False, False),
+    ("J. R. Smith", True, True, True, False),
+    ("The Model Protocol", False, False, False, False),
+    ("Infinitary Logic", False, True, True, False),
+    ("Jacob Devlin Ming-Wei Chang Kenton Lee Kristina Toutanova", False, True, True, False),
+    ("Ada Lovelace1, Alan Turing2*", False, False, True, False),
+    ("Ada, Go, Rust", True, True, True, False),
+    ("Ada Lovelace, Alan Turing, Grace Hopper, Han", False, True, True, False),
+    ("Prefix-Conditioned Models", False, False, False, False),
+    ("Department of Physics, Example University", False, False, False, True),
+    ("Google AI Language", False, False, False, True),
+    ("Special Sales Department", False, False, False, False),
+    ("we study at the University", False, False, False, False),
+])
+def test_names(spark, text, person, byline, authors, institution):
+    row = spark.createDataFrame([(text,)], "v string").select(wd.is_person(F.col("v")), wd.is_byline(F.col("v")), wd.is_author_list(F.col("v")), wd.is_institution(F.col("v"))).first()
+    assert tuple(row)[:1] + tuple(row)[2:] == (person, authors, institution), row
+    assert row[1] == byline or "," in text
+
+
+@pytest.mark.parametrize("text,kind", [
+    ("SWE-PolyBench", "name"), ("full-history", None), ("def run(x): y = {z[0]};", "code"), ("x = y + z^2", "formula"), ("see arXiv:1234.5", "references"), ("(high)", "formula"), ("from ε", "formula"), ("from the other side", None),
+    ("Shen, X., Chen, Z., Backes, M., & Zhang, Y. (2024).", "references"), ("Plain prose about names.", None), ("", None), (None, None),
+])
+def test_keep_kinds(spark, text, kind):
+    assert one(spark, wd.keep_kind, text) == kind
+
+
+@pytest.mark.parametrize("message,kind", [
+    ("LLM HTTP status 401", "refused"), ("HTTP status 402", "refused"), ("HTTP status 404", "refused"), ("HTTP status 410: gone", "refused"), ("HTTP status 429", "retry"), ("HTTP status 429: quota exceeded", "refused"), ("quota exceeded", "fail"),
+    ("HTTP status 400", "retry"), ("HTTP status 422", "client"), ("HTTP status 408", "fail"), ("HTTP status 503", "retry"), ("timeout: global", "retry"), ("io: Peer disconnected", "retry"), ("bad", "fail"),
+])
+def test_gateway_classes(spark, message, kind):
+    assert one(spark, er.gateway_class, message) == kind
+
+
+def test_verbatim_spans_and_glossary(spark):
+    assert [tuple(r) for r in one(spark, t.verbatim_spans, "a [12] b 3.5")] == [(2, 6), (9, 12)] and one(spark, t.verbatim_spans, "plain") == []
+    row = spark.createDataFrame([("a.b and a.bc, C++ x",)], "v string").select(*t.shield("v", glossary={"a.b": "AB", "C++": "cpp", "": "x"})).first()
+    assert row[0] == "⟦0⟧ and a.bc, ⟦1⟧ x" and row[1] == ["AB", "cpp"]

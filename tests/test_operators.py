@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from inkledger.operators import anomalies as an
 from inkledger.operators import coverage as cov
 from inkledger.operators import layout
 from inkledger.operators import references as refs
@@ -26,7 +27,7 @@ def test_touching_and_nearest_equal_brute_force(spark):
     points = [(1, 0, i, round(rng.uniform(0, 20), 2), round(rng.uniform(0, 20), 2)) for i in range(300)]
     others = [(1, 0, i, round(rng.uniform(0, 20), 2), round(rng.uniform(0, 20), 2)) for i in range(300)]
     cols = "doc_id long, page_index int, id long, x double, y double"
-    got = {r.id: r.other_id for r in sp.nearest(spark.createDataFrame(points, cols), spark.createDataFrame(others, cols)).collect()}
+    got = {r.id: r.near.id for r in sp.nearest(spark.createDataFrame(points, cols), spark.createDataFrame(others, cols)).collect()}
     want = {}
     for p in points:
         near = sorted((((p[3] - o[3]) ** 2 + (p[4] - o[4]) ** 2) ** 0.5, o[2]) for o in others)
@@ -139,3 +140,33 @@ def test_upserts(spark, tmp_path):
     for at, value in ((1, "a"), (2, "b")):
         ev.upsert(spark.createDataFrame([("s", value, at), (f"t{at}", value, at)], "source string, translated string, at long"), uri)
     assert {tuple(r) for r in ev.latest(spark, uri).collect()} == {("s", "b"), ("t1", "a"), ("t2", "b")}
+
+
+def test_contained_by_branch(spark):
+    source = spark.createDataFrame([(1, 0, 100.0, 50.0, 100.0), (1, 0, 100.0, 115.0, 200.0), (1, 0, 110.0, 300.0, 350.0), (1, 0, 300.0, 0.0, 600.0)], "doc_id long, page_index int, y double, x0 double, x1 double")
+    rows = [(50.0, 200.0, False, True), (47.0, 203.0, False, True), (46.0, 204.0, False, True), (30.0, 200.0, False, False), (202.0, 206.0, True, True), (202.0, 206.0, False, False), (210.0, 290.0, False, False), (295.0, 355.0, False, True)]
+    lines = spark.createDataFrame([(1, 0, k, 104.0, a, b, 10.0, m) for k, (a, b, m, _) in enumerate(rows)] + [(1, 0, 99, 500.0, 0.0, 1.0, 10.0, False)], "doc_id long, page_index int, row int, y double, x0 double, x1 double, size double, mark boolean")
+    got = {r.row: r.inside for r in sp.contained(lines, source).collect()}
+    assert got == {**{k: r[3] for k, r in enumerate(rows)}, 99: False}
+
+
+def test_crossings_skip_what_the_source_crosses(spark):
+    line = "doc_id long, page_index int, row int, x0 double, x1 double, y double, size double"
+    source = spark.createDataFrame([(1, 0, 0, 50.0, 150.0, 100.0, 10.0), (1, 0, 1, 50.0, 250.0, 130.0, 10.0)], line)
+    output = spark.createDataFrame([(1, 0, 0, 50.0, 250.0, 103.0, 10.0), (1, 0, 1, 50.0, 260.0, 130.0, 10.0), (1, 0, 2, 50.0, 260.0, 160.0, 10.0)], line)
+    regions = spark.createDataFrame([(1, 0, 200.0, 90.0, 400.0, 170.0), (1, 0, 205.0, 90.0, 209.0, 170.0), (1, 0, 210.0, 90.0, 400.0, 105.0), (1, 0, 0.0, 0.0, 612.0, 792.0)], "doc_id long, page_index int, x0 double, y0 double, x1 double, y1 double")
+    assert [(r.row, r.edge) for r in sp.boundary_crossings(output, source, sp.panel_edges(regions, 612, 792)).collect()] == [(0, 200.0)]
+
+
+def test_orphan_rules_by_branch(spark):
+    rules = [("path", 100.0, 101.0, 130.0, 102.0), ("path", 100.0, 100.0, 130.0, 102.0), ("path", 100.0, 101.0, 101.0, 102.0), ("path", 100.0, 101.0, 145.0, 102.0), ("image", 100.0, 101.0, 130.0, 102.0), ("path", 300.0, 101.0, 330.0, 102.0), ("path", 300.0, 115.0, 330.0, 116.0), ("path", 347.0, 101.0, 360.0, 102.0)]
+    regions = spark.createDataFrame([(1, 0, k, *r) for k, r in enumerate(rules)], "doc_id long, page_index int, key int, kind string, x0 double, y0 double, x1 double, y1 double")
+    boxes = spark.createDataFrame([(1, 0, 310.0, 95.0, 330.0, 108.0)], "doc_id long, page_index int, x0 double, y0 double, x1 double, y1 double")
+    assert sorted(r.key for r in sp.orphan_rules(regions, boxes).collect()) == [0, 6, 7]
+
+
+def test_toc_reasons(spark):
+    rows = [("a 12", 72.0, 500.0, "latin-stub"), ("录 A", 72.0, 500.0, "split-appendix"), ("■ 附录 B 7", 72.0, 500.0, None), ("标题 附录 B 7", 72.0, 500.0, "run-on"), ("中 9", 72.0, 500.0, "orphan-char"), ("中 9", 72.0, 50.0, None), ("xiv", 300.0, 500.0, None), ("12", 300.0, 500.0, "detached-number"), ("12", 72.0, 500.0, None), ("Title 12", 72.0, 500.0, None)]
+    df = spark.createDataFrame([(*r, 10.0) for r in rows], "text string, x double, y double, want string, size double")
+    got = df.select("text", "want", an.toc_reason(F.col("text"), F.col("x"), F.col("y"), F.col("size")).alias("got")).collect()
+    assert [(r.text, r.got) for r in got] == [(r.text, r.want) for r in got]

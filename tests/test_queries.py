@@ -5,7 +5,9 @@ import math
 import duckdb
 import pytest
 
-from inkledger.plans.queries import ORACLES, QUERIES
+import inkledger.plans.queries
+import inkledger.plans.rules  # noqa: F401 -- both register theirs
+from inkledger.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
