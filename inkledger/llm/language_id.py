@@ -8,9 +8,12 @@ A text gets the language whose codeword has the least weighted loss over the
 bits; ``score`` is its share of the likelihood, and ``ambiguous`` marks texts
 whose two nearest codewords are about as near.
 
-The classifiers are fitted on a bounded sample, ``SAMPLE`` documents in all and
-``PER_LANGUAGE`` of a language, picked by a hash among all that may be learned
-from; of those, whole texts count. Every text is read whole.
+The classifiers are fitted on a bounded sample of labelled documents, about
+``PER_LANGUAGE`` of a language and ``SAMPLE`` in all, but for languages of which
+that leaves fewer than ``LEAST``: picked by a hash among all that may be learned
+from; of those, whole texts count. Every language that occurs gets a codeword,
+as one that is as long as their number asks for; the driver holds a row for each.
+Every text is read whole.
 
 Edge cases: a text that is null or has no letter is ``und``, score 0, and so is
 any text if nothing can be learned; with one language learned, that is every
@@ -29,21 +32,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkledger.llm.shared import give_back
+from inkledger.llm.shared import discard, give_back, materialize
 
 NONE = "und"
 #: Documents that the classifiers are fitted on.
 SAMPLE = 4000
 PER_LANGUAGE = 400
-#: Languages learned: the most frequent ones.
-LANGUAGES = 256
+#: Documents of a language, if it has so many, however many languages there are.
+LEAST = 12
 #: Hashed trigrams.
 BUCKETS = 1 << 13
 RIDGE = 0.05
 #: A second codeword that has this share of the first one's likelihood or more makes a text ambiguous.
 AMBIGUOUS = 0.8
-#: Bytes of a text looked at at a time.
+#: Bytes of a text looked at at a time, and texts that are predicted together.
 SLICE = 1 << 20
+TEXTS = 128
 
 _SPACES = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _LATIN = re.compile("[A-Za-z]")
@@ -142,14 +146,16 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fits on the bounded sample of the documents that may be learned from."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    # Written first, so that its size is known: Spark broadcasts it, and no text is shuffled.
+    counts = materialize(rows.groupBy(F.col(lang_col).alias("lang")).count(), "languages")
+    languages = counts.count()
+    if not languages:
         return None
-    most = min(PER_LANGUAGE, SAMPLE // len(counts))
-    pick = None
-    for r in counts:  # a hash picks about ``most`` of each language
-        part = (F.col(lang_col) == r["lang"]) & (F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int(min(1.0, most / r["count"]) * (1 << 30)))
-        pick = part if pick is None else pick | part
+    most = min(PER_LANGUAGE, max(LEAST, SAMPLE // languages))
+    # A hash picks about ``most`` of each language.
+    shares = counts.select("lang", (F.least(F.lit(1.0), most / F.col("count")) * (1 << 30)).cast("long").alias("share"))
+    picked = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)).alias("h"))
+    picked = picked.join(shares, "lang").where(F.col("h") < F.col("share")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +165,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     at = np.flatnonzero(x)
                     yield pa.record_batch({"lang": [lang], "at": [at.astype(np.int32)], "x": [x[at]]}, schema=pa.schema([("lang", pa.string()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float32()))]))
 
-    sample = rows.where(pick).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, "lang string, at array<int>, x array<float>").toArrow()
+    sample = picked.mapInArrow(run, "lang string, at array<int>, x array<float>").toArrow()
+    discard(docs.sparkSession, counts)
     sample = sample.sort_by("lang")
     x = np.zeros((sample.num_rows, BUCKETS), dtype=np.float32)
     for k, (at, v) in enumerate(zip(sample.column("at"), sample.column("x"), strict=True)):
@@ -168,27 +175,28 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def _predict(model: Model | None, texts: pa.Array) -> tuple[list, list, list]:
-    langs, scores, unsure = [], [], []
-    for text in texts:
-        if model is None or not has_letter(text := text.as_py()):
-            langs.append(NONE)
-            scores.append(0.0)
-            unsure.append(False)
-        else:
-            best, top, near = model.predict(features(text)[None])
-            langs.append(model.languages[int(best[0])])
-            scores.append(float(top[0]))
-            unsure.append(bool(near[0]))
+    """Language, share and ambiguity of each text; ``TEXTS`` of them share a product."""
+    n = len(texts)
+    langs, scores, unsure = [NONE] * n, [0.0] * n, [False] * n
+    if model is None:
+        return langs, scores, unsure
+    for start in range(0, n, TEXTS):
+        rows = [(k, t) for k in range(start, min(start + TEXTS, n)) if has_letter(t := texts[k].as_py())]
+        if not rows:
+            continue
+        best, top, near = model.predict(np.stack([features(t) for _, t in rows]))
+        for (k, _), b, s, u in zip(rows, best.tolist(), top.tolist(), near.tolist(), strict=True):
+            langs[k], scores[k], unsure[k] = model.languages[b], s, u
     return langs, scores, unsure
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous of each document."""
-    model = train(docs, id_col, text_col, lang_col)
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores, unsure = _predict(model, batch.column(2))
+            langs, scores, unsure = _predict(model.value, batch.column(2))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
@@ -197,12 +205,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rows whose language can't be told: no letter, or ambiguous."""
-    model = train(docs, id_col, text_col, lang_col)
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col))
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, _, unsure = _predict(model, batch.column(place))
+            langs, _, unsure = _predict(model.value, batch.column(place))
             yield batch.filter(pa.array([lang != NONE and not u for lang, u in zip(langs, unsure, strict=True)], pa.bool_()))
             give_back()
 

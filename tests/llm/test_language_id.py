@@ -49,3 +49,36 @@ def test_long_texts_are_read_whole(monkeypatch):
     whole = li.features(text)
     monkeypatch.setattr(li, "SLICE", 101)
     assert np.allclose(li.features(text), whole)
+
+
+def test_every_language_is_learned(spark):
+    # More languages than any fixed number of them; each has words of its own.
+    word = lambda k, j: "".join(chr(97 + (k * 7 + j * 3 + i * i) % 26) for i in range(5))
+    rows = [(i, " ".join(word(k, (i + j) % 4) for j in range(12)), f"l{k:03}") for k in range(300) for i in [*range(k * 40, k * 40 + 4)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.train(docs)
+    assert len(model.languages) == len({r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5}) > 256 and model.code.shape[0] == len(model.languages)
+
+
+def test_one_language_and_ties(spark):
+    one = spark.createDataFrame([(i, "some words here", "en") for i in range(20)] + [(50, None, "en")], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, r.score) for r in li.identify(one).collect()} == {("en", 1.0), ("und", 0.0)}
+    # Two languages with the same texts can't be told apart: each text is ambiguous, and every run says the same.
+    tied = spark.createDataFrame([(i, "some words here", "en" if i % 2 else "fr") for i in range(40)], "doc_id long, text string, lang string")
+    got = [sorted(map(tuple, li.identify(tied).collect())) for _ in range(2)]
+    assert got[0] == got[1] and all(r[4] for r in got[0]) and li.keep_identified(tied).count() == 0
+
+
+def test_the_query_equals_single_predictions(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = li.train(docs)
+    got = {r.doc_id: (r.lang_pred, r.score, r.ambiguous) for r in QUERIES["op8_language_id"](spark, sf).collect()}
+    for r in docs.collect():
+        x = li.features(r.text or "").astype(np.float64)
+        margins = (x - model.mean) @ model.weights.astype(np.float64) + model.bias
+        loss = [sum(t * np.log1p(np.exp(-2 * m * c)) for t, m, c in zip(model.trust, margins, code, strict=True)) for code in model.code]
+        likely = np.exp(-model.scale * (np.array(loss) - min(loss)))
+        share = likely / likely.sum()
+        want = ("und", 0.0) if not li.has_letter(r.text) else (model.languages[int(share.argmax())], float(share.max()))
+        assert got[r.doc_id][0] == want[0] and abs(got[r.doc_id][1] - want[1]) < 1e-3, (got[r.doc_id], want)
