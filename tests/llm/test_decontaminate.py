@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from inkledger.llm import decontaminate as dc
 from inkledger.llm.queries import QUERIES
 
@@ -59,8 +61,9 @@ def test_random_texts_short_items_and_many_files(spark, monkeypatch):
 def test_longest_match_and_empty_tables(spark):
     d = spark.createDataFrame([(1, "no one two three four five no"), (2, "clean")], "doc_id long, text string")
     b = spark.createDataFrame([(9, "zero one two three four five six"), (8, "two three four")], "item_id long, text string")
-    got = {r.doc_id: r.longest for r in dc.contamination(d, b, window=3).collect()}
-    assert tuple(got[1]) == (5, 1, "9", 1) and got[2] is None
+    rows = {r.doc_id: r for r in dc.contamination(d, b, window=3).collect()}
+    assert tuple(rows[1].longest) == (5, 1, "9", 1) and rows[2].longest is None
+    assert [tuple(m) for m in rows[1].matches] == [(5, 1, "9", 1), (3, 2, "8", 0)] and rows[2].matches == []
     assert dc.contamination(d.limit(0), b).count() == 0
     assert [r.contaminated for r in dc.contamination(d, b.limit(0)).collect()] == [False, False]
 
@@ -74,3 +77,14 @@ def test_small_shards_of_null_and_short_texts(spark):
         got = [tuple(r)[:6] for r in dc.contamination(d, b).collect()]
         assert sorted(got) == sorted(brute(rows, items))
     assert [r.doc_id for r in dc.decontaminate(spark.createDataFrame([(4, "too short")], "doc_id long, text string"), b).collect()] == [4]
+
+
+def test_suffixes_are_in_whole_order():
+    rng = random.Random(8)
+    for n, most in ((0, 2), (1, 1), (40, 1), (200, 1), (400, 2), (400, 4), (60, 9)):
+        for shortest in (1, 2, 3):
+            ids = np.array([rng.randrange(most + 1) if rng.random() < 0.2 else rng.randrange(1, most + 1) for _ in range(n)], dtype=np.uint32)
+            at, keys = dc.suffix_array(ids, shortest, 3)
+            suffix = lambda i, x=ids.tolist(): tuple(x[i : (x + [0]).index(0, i)])
+            assert sorted(at.tolist()) == [i for i in range(n) if len(suffix(i)) >= shortest]
+            assert [suffix(i) for i in at] == sorted(suffix(i) for i in at) and len(keys) == len(at)
