@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,13 +35,17 @@ def longest_first(glossary: DataFrame) -> DataFrame:
 
 
 def checkpoint(spark: SparkSession, path: str) -> DataFrame:
-    """source, translated from JSONL; broken lines are skipped, the last line of a source holds."""
-    rows = spark.read.text(path).select(F.from_json("value", CHECKPOINT).alias("r"), F.monotonically_increasing_id().alias("at")).select("r.*", "at").where("source is not null and translated is not null")
-    return rows.groupBy("source").agg(F.max_by("translated", "at").alias("translated"))
+    """source, translated from JSONL; broken lines are skipped, and of a source the line of the last append holds.
+
+    Files without a sequence number are older than those with one.
+    """
+    rows = spark.read.text(path).select(F.from_json("value", CHECKPOINT + ", seq long").alias("r")).select("r.*").where("source is not null and translated is not null")
+    return rows.groupBy("source").agg(F.max(F.struct(F.coalesce("seq", F.lit(0)), "translated")).alias("m")).select("source", "m.translated")
 
 
 def append_checkpoint(pairs: DataFrame, path: str) -> None:
-    pairs.select("source", "translated").write.mode("append").json(path)
+    """Appends a rendering of each source, with a number that grows with each append: the order of files doesn't matter."""
+    pairs.select("source", "translated", F.lit(time.time_ns()).alias("seq")).write.mode("append").json(path)
 
 
 def replay(spark: SparkSession, path: str) -> DataFrame:

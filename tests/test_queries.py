@@ -5,8 +5,9 @@ import math
 import duckdb
 import pytest
 
+import inkledger.plans.geometry  # noqa: F401 -- these register theirs
 import inkledger.plans.queries
-import inkledger.plans.rules  # noqa: F401 -- both register theirs
+import inkledger.plans.rules
 from inkledger.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
