@@ -1,7 +1,7 @@
 """Files and tables in the folder that the driver and all executors share.
 
-The folder is ``spark.checkpoint.dir`` of the session. Only where that is
-unset (tests on one machine) is a folder of our own made.
+The folder is ``spark.checkpoint.dir`` of the session. Only a local session may
+leave that unset (tests on one machine): it gets a folder of its own.
 """
 
 from __future__ import annotations
@@ -19,11 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Folders that this process has made, by session.
+_made: dict[str, set[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get(SETTING, None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="inkledger-")
         spark.conf.set(SETTING, root)
     return root if re.match(r"\w+:/", root) else f"file://{root}"
@@ -31,7 +35,9 @@ def shared_root(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """The URI of a folder that no other call uses; not made yet."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    uri = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, set()).add(uri)
+    return uri
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -55,10 +61,21 @@ def discard(spark: SparkSession, *frames: DataFrame | str) -> None:
     """Delete tables of ``materialize`` (or folders by URI) that nothing reads any more."""
     for x in frames:
         uri = x if isinstance(x, str) else x.inkledger_dir
+        _made.get(spark.sparkContext.applicationId, set()).discard(uri)
         path = spark._jvm.org.apache.hadoop.fs.Path(uri)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Deletes all folders that this process has made and not discarded, once no result reads them any more; their number.
+
+    Results are often read from such tables, so only the caller knows when: after its own output is written.
+    """
+    uris = sorted(_made.get(spark.sparkContext.applicationId, set()))
+    discard(spark, *uris)
+    return len(uris)
+
+
 def publish(uri: str, write) -> None:
     """Call ``write(stream)`` on a file of this task attempt's own, then move it to ``uri``.
 
