@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -131,3 +134,42 @@ def stalls(attempts: DataFrame, group: str, time: str, least: float) -> DataFram
     w = W.partitionBy(group).orderBy(time)
     us = F.unix_micros(F.col(time).cast("timestamp"))
     return attempts.withColumn("gap_s", (us - F.lag(us).over(w)) / 1000000.0).where(F.col("gap_s") >= least)
+
+
+#: Texts and characters of one packed request, and the mark between two texts.
+PACKED_TEXTS, PACKED_CHARS, PACKED_MARK = 8, 1500, "XPHSEPX"
+
+
+def packed(sizes: list[int], most: int = PACKED_TEXTS, room: int = PACKED_CHARS) -> list[int]:
+    """The request that each text goes in: in order, a new one where it is full or has no room left; a text that is too long goes alone."""
+    out, request, n, used = [], 0, 0, 0
+    for size in sizes:
+        extra = size + len(PACKED_MARK) + 2
+        if n and (n >= most or used + extra > room):
+            request, n, used = request + 1, 0, 0
+        n, used = n + 1, used + extra
+        out.append(request)
+    return out
+
+
+def packed_requests(segments: DataFrame) -> DataFrame:
+    """doc_id, request, ids, payload: the texts (doc_id, id, text) of each document in packed requests, joined by the mark."""
+    docs = segments.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("rows"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("sizes").to_pylist()
+            yield pa.record_batch([batch.column("doc_id"), batch.column("rows"), pa.array([packed(x) for x in sizes], pa.list_(pa.int32()))], names=["doc_id", "rows", "requests"])
+
+    sized = docs.select("doc_id", "rows", F.transform("rows", lambda r: F.length(r["text"])).alias("sizes"))
+    row = docs.schema["rows"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    placed = sized.mapInArrow(fold, f"doc_id {kind}, rows {row}, requests array<int>").select("doc_id", F.inline(F.arrays_zip("rows", "requests")))
+    gathered = placed.groupBy("doc_id", F.col("requests").alias("request")).agg(F.array_sort(F.collect_list("rows")).alias("rows"))
+    return gathered.select("doc_id", "request", F.transform("rows", lambda r: r["id"]).alias("ids"), F.array_join(F.transform("rows", lambda r: r["text"]), f"\n{PACKED_MARK}\n").alias("payload"))
+
+
+def unpacked(reply: Column, n: Column) -> Column:
+    """The texts of a packed reply, the mark in any case; null unless there are ``n``."""
+    parts = F.transform(F.split(reply, f"(?i){PACKED_MARK}", -1), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    return F.when(F.size(parts) == n, parts)

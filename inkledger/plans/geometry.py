@@ -10,9 +10,11 @@ from inkledger.operators import anomalies as an
 from inkledger.operators import fonts, layout
 from inkledger.operators import lines as ln
 from inkledger.operators import quality as q
-from inkledger.plans.queries import _GLYPHS, _ROWS, _glyphs, _rows
+from inkledger.operators import segments as seg
+from inkledger.plans.queries import _GLYPHS, _LINES, _ROWS, _glyphs, _rows
 from inkledger.plans.registry import query
 from inkledger.sources import files
+from inkledger.sources import glyphs as gl
 from inkledger.sources.files import table
 from inkledger.sources.rounds import fresh_uri
 
@@ -143,3 +145,19 @@ def checkpoint_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.append_checkpoint(pairs(docs, "a"), path)
     files.append_checkpoint(pairs(docs.where("doc_id % 3 = 0"), "b"), path)
     return files.checkpoint(spark, path)
+
+
+@query(f"""WITH RECURSIVE {_LINES}, s AS (SELECT doc_id, line_no, line, length(line) + 9 AS extra, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM lines WHERE trim(line) <> ''),
+p AS (SELECT doc_id, k, line_no, line, 0 AS request, 1 AS n, extra AS used FROM s WHERE k = 1
+  UNION ALL SELECT s.doc_id, s.k, s.line_no, s.line, CASE WHEN n >= 8 OR used + extra > 1500 THEN request + 1 ELSE request END, CASE WHEN n >= 8 OR used + extra > 1500 THEN 1 ELSE n + 1 END, CASE WHEN n >= 8 OR used + extra > 1500 THEN extra ELSE used + extra END FROM p JOIN s ON s.doc_id = p.doc_id AND s.k = p.k + 1)
+SELECT doc_id, request, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY k) AS ids, md5(string_agg(line, chr(10) || 'XPHSEPX' || chr(10) ORDER BY k)) AS payload, CAST(count(*) AS INTEGER) AS n_back FROM p GROUP BY doc_id, request""")
+def packed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gl.lines(table(spark, sf_dir, "documents")).where("trim(line) <> ''").select("doc_id", F.col("line_no").alias("id"), F.col("line").alias("text"))
+    back = seg.unpacked(F.lower("payload"), F.size("ids"))
+    return seg.packed_requests(rows).select("doc_id", "request", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"), F.md5("payload").alias("payload"), F.size(back).alias("n_back"))
+
+
+@query(f"""WITH {_ROWS}, w AS (SELECT doc_id, page_index, x AS x0, x + width AS x1 FROM rows_ WHERE width >= 120)
+SELECT doc_id, page_index, CAST(list_sort(list(x0))[count(*) // 2 + 1] AS DOUBLE) AS "left", CAST(list_sort(list(x1))[count(*) // 2 + 1] AS DOUBLE) AS "right" FROM w GROUP BY ALL HAVING count(*) >= 3 AND list_sort(list(x1))[count(*) // 2 + 1] - list_sort(list(x0))[count(*) // 2 + 1] > 80""")
+def column_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return an.column_span(_rows(spark, sf_dir).select("doc_id", "page_index", "size", F.col("x").alias("x0"), (F.col("x") + F.col("width")).alias("x1")))

@@ -18,6 +18,8 @@ from dataclasses import dataclass, field, replace
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from inkledger.sources.cjk import Predefined, predefined
+
 #: Bytes that a stream may grow to, nesting of forms, diagnostics of a page.
 MOST_BYTES, DEPTH, MOST_NOTES = 64 << 20, 12, 200
 DEFAULT_BOX = [0.0, 0.0, 612.0, 792.0]
@@ -286,11 +288,15 @@ class Font:
     single: dict = field(default_factory=dict)
     ranges: list = field(default_factory=list)
     codec: str = "cp1252"
+    predefined: Predefined | None = None
     differences: dict = field(default_factory=dict)
     widths: dict = field(default_factory=dict)
     default: float = 500.0
 
     def codes(self, text: bytes) -> Iterator[bytes]:
+        if self.predefined:
+            yield from self.predefined.codes(text)
+            return
         n = 2 if self.two_bytes else 1
         for i in range(0, len(text), n):
             yield text[i : i + n]
@@ -305,6 +311,8 @@ class Font:
                     return to[k].decode("utf-16-be", "replace") if k < len(to) and isinstance(to[k], bytes) else None
                 text = to.decode("utf-16-be", "replace")
                 return text[:-1] + chr(ord(text[-1]) + k) if text else None
+        if self.predefined:
+            return self.predefined.unicode(code)
         if self.two_bytes:
             return None
         if code[0] in self.differences:
@@ -337,6 +345,7 @@ def load_font(doc: Document, spec) -> Font:
                 at += 1
     if spec.get("Subtype") == "Type0":
         font.two_bytes = True
+        font.predefined = predefined(encoding) if isinstance(encoding, str) else None
         below = doc.get((doc.get(spec.get("DescendantFonts"), [{}]) or [{}])[0], {})
         font.default = float(doc.get(below.get("DW"), 1000))
         values, i = doc.get(below.get("W"), []), 0

@@ -12,7 +12,7 @@ from inkledger.operators import references as refs
 from inkledger.operators import segments as seg
 from inkledger.operators import spatial as sp
 from inkledger.operators import translate as tr
-from inkledger.sources import files, pdf
+from inkledger.sources import cjk, files, pdf
 from inkledger.streaming import events as ev
 
 
@@ -170,3 +170,19 @@ def test_toc_reasons(spark):
     df = spark.createDataFrame([(*r, 10.0) for r in rows], "text string, x double, y double, want string, size double")
     got = df.select("text", "want", an.toc_reason(F.col("text"), F.col("x"), F.col("y"), F.col("size")).alias("got")).collect()
     assert [(r.text, r.got) for r in got] == [(r.text, r.want) for r in got]
+
+
+@pytest.mark.parametrize("name,text,vertical", [("GBK-EUC-H", "中文A字", False), ("90ms-RKSJ-V", "日本ｱA語", True), ("ETen-B5-H", "繁體A中", False), ("KSCms-UHC-H", "한국A어", False), ("UniGB-UCS2-H", "中文A", False), ("UniJIS-UTF32-V", "日本", True), ("EUC-H", "日本A語", False)])
+def test_predefined_maps(name, text, vertical):
+    p = cjk.predefined(name)
+    assert "".join(p.unicode(c) for c in p.codes(text.encode(p.codec))) == text and p.vertical == vertical
+    font = pdf.Font(two_bytes=True, predefined=p)
+    assert [font.unicode(c) for c in font.codes(text.encode(p.codec))] == list(text)
+
+
+def test_odd_codes_of_predefined_maps():
+    p = cjk.predefined("GBK-EUC-H")
+    assert list(p.codes(b"\xd6\xd0A\xd6")) == [b"\xd6\xd0", b"A", b"\xd6"] and p.unicode(b"\xd6") is None
+    assert cjk.predefined("UniGB-UTF16-H").unicode(b"\xd8\x00") is None
+    assert list(cjk.predefined("EUC-V").codes(b"\x8f\xa2\xaf\x8e\xb1")) == [b"\x8f\xa2\xaf", b"\x8e\xb1"]
+    assert cjk.predefined("Identity-H") is None and cjk.predefined(None) is None
