@@ -38,7 +38,7 @@ SHORT = 16
 SLICE = 3 << 20
 #: The same two where nothing else takes a worker's or its executor's memory.
 ROOMY = {"memory": 800_000, "slice_bytes": 8 << 20}
-#: And where other stages have left their traces in both.
+#: And where other stages have left their traces in both; such an encoder is let go after each task.
 LEAN = {"memory": 300_000, "slice_bytes": 2 << 20}
 
 #: Two characters of white space in a row, as str.isspace() has it (or the tokenizers; theirs is the smaller set).
@@ -251,3 +251,10 @@ def encoder(vocabulary: str, memory: int = MEMORY, slice_bytes: int = SLICE) ->
     if key not in _encoders:
         _encoders[key] = Encoder(vocabulary, memory, slice_bytes)
     return _encoders[key]
+
+
+def release(room: dict) -> None:
+    """Lets a lean encoder go, so that a worker's other stages have its memory."""
+    if room == LEAN:
+        _encoders.clear()
+        give_back()

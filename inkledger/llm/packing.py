@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkledger.llm.encode import BYTE_BPE, ROOMY, encoder
+from inkledger.llm.encode import BYTE_BPE, ROOMY, encoder, release
 from inkledger.llm.shared import materialize
 
 END_ID = 2
@@ -139,6 +139,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, room: dict) -> I
                     yield block()
     if rows:
         yield block()
+    del encode
+    release(room)
 
 
 def pack(docs: DataFrame, vocabulary: str = BYTE_BPE, id_col: str = "doc_id", text_col: str = "text", room: dict = ROOMY) -> DataFrame:
