@@ -61,10 +61,15 @@ def is_address(word: Column) -> Column:
     return word.contains("://") | word.startswith("www.") | is_email(word)
 
 
-def addresses_only(text: Column) -> Column:
-    """At least one word, and each a URL or an e-mail address."""
+def bare_address(word: Column) -> Column:
+    """A URL that goes on after its start, or an e-mail address of plain letters with no marks around it."""
+    return word.rlike(r"^(?:(?:https?://|www\.)[^ ]+|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})\z")
+
+
+def addresses_only(text: Column, bare: bool = False) -> Column:
+    """At least one word, and each a URL or an e-mail address; with ``bare``, marks around one aren't set aside."""
     ws = words(text)
-    return (F.size(ws) > 0) & F.forall(ws, lambda w: w.rlike(r"^(?:https?://|www\.)") | is_email(w))
+    return (F.size(ws) > 0) & F.forall(ws, bare_address if bare else lambda w: w.rlike(r"^(?:https?://|www\.)") | is_email(w))
 
 
 def is_acronym(word: Column) -> Column:

@@ -32,3 +32,9 @@ DOCS = "doc_id long, text string"
 def test_saved_texts_of_one_word_copied(rows):
     got, want = rows("saved_texts", documents=(DOCS, [(1, "De."), (3, "De."), (6, "a b"), (9, "a b")]))
     assert got == want
+
+
+def test_url_email_words_with_marks_around(rows):
+    words = "a.1@mail7.example. www. https:// www.a.b (a@b.org) a@b.org ..@b.org http://x"
+    got, want = rows("url_email_words", pages=("page_id long, html string", [(1, f"<p>{words}</p>")]), documents=(DOCS, [(1, words)]))
+    assert got == want
