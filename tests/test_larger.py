@@ -42,7 +42,7 @@ def test_url_email_words_with_marks_around(rows):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["identity_align", "cell_context"])
+@pytest.mark.parametrize("name", ["identity_align", "cell_context", "style_retention"])
 def test_glyphs_are_not_shuffled(spark, name):
     """A text is sent to its task once, and glyphs and cells meet there; only sums of a document may be sent again."""
     before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
