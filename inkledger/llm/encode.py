@@ -39,7 +39,7 @@ SLICE = 3 << 20
 #: The same two where nothing else takes a worker's or its executor's memory.
 ROOMY = {"memory": 800_000, "slice_bytes": 8 << 20}
 #: And where other stages have left their traces in both; such an encoder is let go after each task.
-LEAN = {"memory": 300_000, "slice_bytes": 2 << 20}
+LEAN = {"memory": 150_000, "slice_bytes": 1 << 20}
 
 #: Two characters of white space in a row, as str.isspace() has it (or the tokenizers; theirs is the smaller set).
 _RUN = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]{2}"

@@ -33,7 +33,7 @@ from inkledger.llm.shared import materialize
 END_ID = 2
 CAPACITY = 1024
 #: Pieces numbered at a time in a partition.
-BLOCK = 100_000
+BLOCK = 20_000
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _NUMBERED = "doc_id long, piece int, start long, length long, ids_crc32 long, node int, rank long"
