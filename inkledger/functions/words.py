@@ -104,7 +104,10 @@ def _name_token(token: Column, longest: int) -> Column:
 def _named(text: Column, most: int, longest: int) -> Column:
     # A full word and a stop end a heading; an initial may have one.
     heading = F.trim(text).rlike(r"(?:[A-Za-z][^A-Za-z\s]*){3}\.$")
-    return ~heading & let(words(text), lambda ws: (F.size(ws) >= 2) & (F.size(ws) <= most) & F.forall(ws, lambda w: _name_token(w, longest)))
+    # A text of more words is none, and is not cut up to find that out.
+    longer = text.rlike(rf"^\s*+(?:\S++\s++){{{most}}}\S")
+    named = let(words(text), lambda ws: (F.size(ws) >= 2) & (F.size(ws) <= most) & F.forall(ws, lambda w: _name_token(w, longest)))
+    return F.when(longer, F.lit(False)).otherwise(~heading & named)
 
 
 def is_person(text: Column) -> Column:
@@ -123,10 +126,11 @@ def is_author_list(text: Column) -> Column:
     def listed(parts: Column) -> Column:
         # Each part, and what is left of it without its mark; a person is a short byline.
         forms = lambda p: F.array(F.btrim(p, F.lit(MARKS)), F.regexp_replace(F.btrim(p, F.lit(MARKS)), "[0-9*∗†]+$", ""))
-        named = F.transform(parts, lambda p: F.exists(forms(p), is_byline))
+        named = lambda p: F.exists(forms(p), is_byline)
         last = F.try_element_at(parts, F.lit(-1))
         wrapped = (F.size(parts) >= 4) & ~last.rlike(r"[ \t]") & _name_token(last, 1000)
-        return (F.size(parts) >= 2) & let(named, lambda ok: F.forall(F.slice(ok, F.lit(1), F.size(ok) - 1), lambda x: x) & (F.try_element_at(ok, F.lit(-1)) | wrapped))
+        # The first part that is no name ends it.
+        return F.when(F.size(parts) >= 2, F.forall(F.slice(parts, F.lit(1), F.size(parts) - 1), named) & (named(last) | wrapped))
 
     parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
     return is_byline(text) | F.coalesce(F.when(F.contains(text, F.lit(",")), let(parts, listed)), F.lit(False))
@@ -158,7 +162,7 @@ def is_title_list(text: Column) -> Column:
 def is_code(text: Column) -> Column:
     """Four or more brackets and signs of code, at least one to three letters."""
     marks = F.length(F.regexp_replace(text, r"[^{};`=()\[\]]", ""))
-    return (letters(text) > 0) & (marks >= 4) & (marks * 3 >= letters(text))
+    return F.when(text.rlike(r"^(?:[^{};`=()\[\]]*+[{};`=()\[\]]){4}"), (letters(text) > 0) & (marks * 3 >= letters(text))).otherwise(F.lit(False))
 
 
 def is_reference(text: Column) -> Column:
@@ -169,7 +173,7 @@ def is_reference(text: Column) -> Column:
 
 
 def is_display_math(text: Column) -> Column:
-    return (letters(text) < 12) & (F.length(F.regexp_replace(text, r"[^=+\\^_∑∫]", "")) >= 2) & text.rlike(r"[=\\]")
+    return F.when(text.rlike(r"[=\\]"), (letters(text) < 12) & (F.length(F.regexp_replace(text, r"[^=+\\^_∑∫]", "")) >= 2)).otherwise(F.lit(False))
 
 
 def is_annotation(text: Column) -> Column:
@@ -186,7 +190,7 @@ def is_apa_line(text: Column) -> Column:
     surname = lambda p: p.rlike(r"^\p{Lu}") & (F.size(words(p)) <= 3)
     initials = lambda p: p.rlike(r"^[-. \t]*(?:\p{Lu}(?:[-. \t]+|$))*$")
     fits = F.forall(F.transform(parts, lambda p, i: F.when(i % 2 == 0, surname(p)).otherwise(initials(p))), lambda ok: ok)
-    return t.rlike(r"\([0-9]{4}[a-z]*\)$") & (F.size(parts) >= 2) & (F.size(parts) % 2 == 0) & fits
+    return F.when(t.rlike(r"\([0-9]{4}[a-z]*\)$"), (F.size(parts) >= 2) & (F.size(parts) % 2 == 0) & fits).otherwise(F.lit(False))
 
 
 def author_run(text: Column) -> Column:
@@ -194,10 +198,10 @@ def author_run(text: Column) -> Column:
     return text.rlike(r"\([0-9]{4}[)a-z]") & (F.regexp_count(text, F.lit(r"\p{L}, [A-Z]\.")) >= 2)
 
 
-def keep_kind(text: Column) -> Column:
-    """Why a source text is meant to stay as it is; null if it isn't. The first rule that fits holds."""
+def keep_kind(text: Column, authors: Column | None = None, institution: Column | None = None) -> Column:
+    """Why a source text is meant to stay as it is; null if it isn't. The first rule that fits holds. ``authors`` and ``institution`` are what those rules say, if it is known."""
     t = F.trim(text)
-    name = is_author_list(t) | is_institution(t) | is_title_list(t) | is_product(t)
+    name = (is_author_list(t) if authors is None else authors) | (is_institution(t) if institution is None else institution) | is_title_list(t) | is_product(t)
     return F.when(t == "", F.lit(None)).when(name, "name").when(is_code(t), "code").when(is_reference(t), "references").when(is_display_math(t) | is_annotation(t), "formula").when(is_apa_line(t), "references")
 
 

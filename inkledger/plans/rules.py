@@ -132,7 +132,9 @@ kept AS (SELECT *, CASE WHEN t = '' THEN NULL WHEN authors OR institution OR tit
 @query(f"WITH {_ALL}, {_PARTS} SELECT kind, authors, institution, count(*) AS n, CAST(min(id) AS BIGINT) AS first_id, CAST(sum(strlen(t)) AS BIGINT) AS bytes FROM kept GROUP BY ALL")
 def keep_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.trim("text")
-    rows = _texts(spark, sf_dir).select("id", wd.keep_kind(F.col("text")).alias("kind"), wd.is_author_list(F.col("text")).alias("authors"), wd.is_institution(F.col("text")).alias("institution"), F.octet_length(t).alias("b"))
+    # Each rule once: what is named twice is a column of its own.
+    told = _texts(spark, sf_dir).select("id", t.alias("t"), wd.is_author_list(t).alias("authors"), wd.is_institution(t).alias("institution"))
+    rows = told.select("id", wd.keep_kind(F.col("t"), F.col("authors"), F.col("institution")).alias("kind"), "authors", "institution", F.octet_length("t").alias("b"))
     return rows.groupBy("kind", "authors", "institution").agg(F.count("*").alias("n"), F.min("id").cast("long").alias("first_id"), F.sum("b").alias("bytes"))
 
 

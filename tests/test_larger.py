@@ -50,3 +50,8 @@ def test_glyphs_are_not_shuffled(spark, name):
     sent = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert sent and all(re.search(r"hashpartitioning\(doc_id#\d+L, \d+\)", line) for line in sent)
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before
+
+
+def test_keep_kinds_works_each_rule_out_once(spark):
+    plan = QUERIES["keep_kinds"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("universite") == 3  # a word of institutions; texts are of three tables
