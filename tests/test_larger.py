@@ -42,6 +42,15 @@ def test_url_email_words_with_marks_around(rows):
     assert got == want
 
 
+def test_score_extractions_of_odd_tokens(rows):
+    texts = [
+        "of the.72@mail3.example.com%%% and a.5@b.c. or x.1@y.org, 7", "xhttps://a.b/1 https://a.b/2). a@https://c.d 3", "(Smith 1999) as Smith (1999) and [12, 3]", "1.5x 2.5 a3 4b. {5 6} {7 \u27e68\u27e9",
+        "\n".join(["\u00e9" * 41 + "a" * 39, *["a" * 80] * 63]), "  \n ",
+    ]
+    got, want = rows("score_extractions", documents=(DOCS, list(enumerate(texts))))
+    assert got == want
+
+
 @pytest.mark.parametrize("name", ["identity_align", "cell_context", "style_retention"])
 def test_glyphs_are_not_shuffled(spark, name):
     """A text is sent to its task once, and glyphs and cells meet there; only sums of a document may be sent again."""
