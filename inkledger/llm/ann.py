@@ -9,13 +9,14 @@ ones, and a beam of queries walks it together. A query takes all lists whose
 centroid is at most a certain times as far as the nearest one; that ratio is
 tuned on the sample, the least at which its lists hold the share ``TARGET`` of
 the true neighbours in the sample; where those lists hold too few vectors, the
-next ones are read as well. Lists are scored exactly.
+next ones are read as well. A query that reads more lists than the beam is wide
+has all centroids ranked. Lists are scored exactly.
 
 Inner products become distances by one more component, the root of the
 greatest squared norm less the vector's own (0 for queries).
 
-Neighbouring lists are put in groups of about ``GROUP`` vectors, and a list
-that alone has more, as copies of a vector make it, is cut into pieces of that
+Neighbouring lists are put in groups of about ``GROUP`` vectors (of more, where
+these would be many), and a list that alone has more, as copies of a vector make it, is cut into pieces of that
 size by a hash. A task holds one piece of a group and lets the queries of it
 pass by in batches; many queries are parted as well. Each query gets one row of
 its best few from each piece.
@@ -49,9 +50,14 @@ TUNED_ON = 256
 TARGET = 0.94
 COPIES = 4
 BOUNDARY = 1.05
-#: Vectors to a piece of a group, and queries that may pass one task.
+#: Vectors to a piece of a group; more, if there would be more groups than ``GROUPS``, as a query goes to most of them; ``LARGEST`` at most.
 GROUP = 4096
+GROUPS = 24
+LARGEST = 65536
+#: Queries that may pass one task; scores, and pairs scored exactly, that are in memory at once.
 QUERIES = 1_000_000
+SCORES = 1 << 18
+PAIRS = 1 << 16
 #: Links of a centroid in the graph, entry points, and the least beam.
 LINKS = 16
 ENTRIES = 8
@@ -159,6 +165,13 @@ class Graph:
             at[active], far[active] = _best(np.concatenate([at[active], np.where(fresh, near, -1)], axis=1), np.concatenate([far[active], d], axis=1), beam)
         return at, far
 
+    def ranked(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All centroids for each row, nearest first, and their distances."""
+        norms = (self.centers**2).sum(axis=1)
+        far = np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + norms - 2 * q @ self.centers.T, 0))
+        at = np.argsort(far, axis=1, kind="stable")
+        return at, np.take_along_axis(far, at, axis=1)
+
 
 def _best(at: np.ndarray, far: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(far, axis=1, kind="stable")[:, :beam]
@@ -185,17 +198,16 @@ class Index:
     def lists_for(self, q: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) for the lists that each query reads: all within the ratio, and the nearest till they hold ``least`` rows.
 
-        The beam is widened until it has gone past the last of them.
+        Where these go past the beam, all centroids are ranked: that costs less than a walk with a beam so wide.
         """
         padded = np.concatenate([q, np.zeros((len(q), 1))], axis=1)
-        beam = BEAM
+        at, far = self.graph.search(padded, BEAM)
         while True:
-            at, far = self.graph.search(padded, beam)
             held = np.where(at >= 0, sizes[at], 0)
             wanted = (at >= 0) & ((far <= self.ratio * far[:, :1]) | (np.cumsum(held, axis=1) - held < least))
-            if at.shape[1] < beam or at.shape[1] >= len(self.graph.centers) or not wanted[:, -1].any():
+            if at.shape[1] < BEAM or at.shape[1] >= len(self.graph.centers) or not wanted[:, -1].any():
                 return _pairs(at, wanted)
-            beam *= 4
+            at, far = self.graph.ranked(padded)
 
 
 def _pairs(at: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,19 +241,20 @@ def fit(sample: np.ndarray, total: int, norm2: float, k: int) -> Index:
 
 
 def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, v (array of doubles): the vectors that take part, but for their dimension."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    """vec_id, v (array of doubles, or of floats if they were): the vectors that take part, but for their dimension."""
+    held = vectors.select(F.col(vector_col).alias("v")).schema["v"].dataType
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(FLOATS if held.simpleString() == FLOATS else "array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dimension)
 
 
 def build(rows: DataFrame, k: int) -> Index | None:
     """The index of vectors (vec_id, v)."""
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("norm2")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
         return None
@@ -256,7 +269,8 @@ def build(rows: DataFrame, k: int) -> Index | None:
 
 
 _TOP = "query_id long, vec_ids array<long>, scores array<double>"
-_ROUTED = "group int, piece int, part int, kind int, id long, lists array<int>, v array<double>"
+_ROUTED = "group int, piece int, part int, kind int, id long, lists array<int>, v "
+FLOATS = "array<float>"
 
 
 def _by_row(row: np.ndarray, lists: np.ndarray, n: int) -> pa.ListArray:
@@ -275,13 +289,14 @@ def _plan(centers: np.ndarray, sizes: dict[int, int]) -> tuple[np.ndarray, np.nd
     axis = (centers - centers.mean(axis=0)) @ np.linalg.svd(centers - centers.mean(axis=0), full_matrices=False)[2][0]
     group_of = np.full(len(centers), -1, dtype=np.int64)
     pieces: list[int] = []
-    held = GROUP + 1
+    size = max(GROUP, min(LARGEST, sum(sizes.values()) // GROUPS))
+    held = size + 1
     for x in np.argsort(axis, kind="stable").tolist():
         n = sizes.get(x, 0)
         if not n:
             continue
-        if held + n > GROUP:
-            pieces.append(max(1, -(-n // GROUP)))
+        if held + n > size:
+            pieces.append(max(1, -(-n // size)))
             held = 0
         group_of[x] = len(pieces) - 1
         held += n
@@ -291,41 +306,60 @@ def _plan(centers: np.ndarray, sizes: dict[int, int]) -> tuple[np.ndarray, np.nd
 class _Block:
     """The vectors of one piece of a group, and which lists they are in."""
 
-    def __init__(self, held: list[tuple], lists: int):
+    def __init__(self, held: list[tuple], k: int):
         self.ids = np.concatenate([h[0] for h in held])
-        self.x = np.concatenate([h[1] for h in held])
         own = [x for h in held for x in h[2]]
         self.numbers = {x: i for i, x in enumerate(sorted({y for x in own for y in x}))}
-        self.member = np.zeros((len(self.numbers), len(own)), dtype=bool)
+        # Rows that are in no list fill the last of the classes up.
+        self.classes = max(128, 4 * k)
+        spare = -len(self.ids) % self.classes
+        self.x = np.concatenate([*(h[1] for h in held), np.zeros((spare, held[0][1].shape[1]))])
+        self.member = np.zeros((len(self.numbers), len(self.x)), dtype=np.float32)
         for i, x in enumerate(own):
             for y in x:
-                self.member[self.numbers[y], i] = True
+                self.member[self.numbers[y], i] = 1
+        self.by_id = np.argsort(self.ids, kind="stable")
+        self.sorted = self.ids[self.by_id]
 
     def best(self, queries: pa.RecordBatch, d: int, k: int) -> pa.RecordBatch:
         """Each query's best few among the vectors of the lists that it reads."""
-        q, names, reads = _matrix(queries.column("v"), d), queries.column("id").to_pylist(), queries.column("lists").to_pylist()
+        q, names, reads = _matrix(queries.column("v"), d), queries.column("id").to_numpy(), queries.column("lists").to_pylist()
+        asked = np.zeros((len(names), len(self.numbers)), dtype=np.float32)
+        for j, own in enumerate(reads):
+            asked[j, [self.numbers[y] for y in own if y in self.numbers]] = 1
         rough = q @ self.x.T
-        out: tuple[list, list, list] = ([], [], [])
-        for j, name in enumerate(names):
-            at = [self.numbers[y] for y in reads[j] if y in self.numbers]
-            open_ = self.member[at].any(axis=0) & (self.ids != name)
-            column = np.where(open_, rough[j], -np.inf)
-            n = int(open_.sum())
-            if not n:
-                continue
-            if n > k:
-                bar = np.partition(column, len(column) - k)[len(column) - k]
-                others = np.flatnonzero(open_ & (column >= bar - 1e-9 * max(1.0, abs(bar))))
-            else:
-                others = np.flatnonzero(open_)
-            top, scores = _leading(self.ids[others], _exact(self.x[others], q[j]), k)
-            for a, b in zip(out, (name, top, scores), strict=True):
-                a.append(b)
-        return pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.float64()))], names=["query_id", "vec_ids", "scores"])
+        with np.errstate(divide="ignore"):
+            rough += np.log(np.minimum(asked @ self.member, 1))  # 0, or -inf for vectors of no list that is read
+        start, end = np.searchsorted(self.sorted, names), np.searchsorted(self.sorted, names, "right")
+        for j in np.flatnonzero(end > start).tolist():
+            rough[j, self.by_id[start[j] : end[j]]] = -np.inf
+        # Each class of columns has its greatest; the k-th of these is no more than the k-th of all.
+        tops = rough.reshape(len(q), -1, self.classes).max(axis=1)
+        bar = np.partition(tops, self.classes - k, axis=1)[:, self.classes - k]
+        bar = np.where(np.isfinite(bar), bar - 1e-9 * np.maximum(1.0, np.abs(bar)), np.finfo(np.float64).min)
+        row, at = np.divmod(np.flatnonzero(rough >= bar[:, None]), len(self.x))
+        scores = np.concatenate([np.empty(0), *(_exact(self.x[at[i : i + PAIRS]], q[row[i : i + PAIRS]]) for i in range(0, len(row), PAIRS))])
+        row, ids, scores = _leading_of(row, self.ids[at], scores, k)
+        sizes = np.bincount(row, minlength=len(names))
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes[sizes > 0])]), pa.int32())
+        return pa.record_batch([pa.array(names[sizes > 0]), pa.ListArray.from_arrays(ends, pa.array(ids)), pa.ListArray.from_arrays(ends, pa.array(scores))], names=["query_id", "vec_ids", "scores"])
+
+
+def _leading_of(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_leading``, for each ``row`` by itself."""
+    order = np.lexsort((-scores, ids, row))
+    row, ids, scores = row[order], ids[order], scores[order]
+    once = np.ones(len(row), dtype=bool)
+    once[1:] = (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])
+    row, ids, scores = row[once], ids[once], scores[once]
+    order = np.lexsort((ids, -scores, row))
+    row, ids, scores = row[order], ids[order], scores[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], ids[kept], scores[kept]
 
 
 def _exact(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products, summed in one order for every row, so that equal vectors tie."""
+    """Inner products with ``q`` (a vector, or one to a row), summed in one order for every row, so that equal vectors tie."""
     return (vectors * q).sum(axis=1)
 
 
@@ -338,6 +372,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d = index.dimension
     rows = rows.where(F.size("v") == d)
+    kind = rows.schema["v"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(index)  # bounded by CENTROIDS
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +382,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
                 row, lists = shared.value.lists_of(_matrix(part.column(1), d))
                 yield pa.record_batch([part.column(0), _by_row(row, lists, part.num_rows), part.column(1)], names=["vec_id", "lists", "v"])
 
-    posted = materialize(rows.mapInArrow(place, "vec_id long, lists array<int>, v array<double>"), "posted")
+    posted = materialize(rows.mapInArrow(place, f"vec_id long, lists array<int>, v {kind}"), "posted")
     asked = rows.where(queries).groupBy("vec_id").agg(F.max("v").alias("v"))
     sizes = {r["list"]: r["n"] for r in posted.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row to a centroid
     plan = spark.sparkContext.broadcast((*_plan(index.graph.centers, sizes), np.array([sizes.get(x, 0) for x in range(len(index.graph.centers))])))
@@ -380,7 +415,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
                     rows += [(g, piece, zlib.crc32(b"%d" % ids[j]) % parts, ids[j], x, j) for g, x in by.items() for piece in range(int(pieces[g]))]
                 yield _routed(rows, 1, part.column(1))
 
-    routed = posted.mapInArrow(posting, _ROUTED).unionByName(asked.mapInArrow(probing, _ROUTED))
+    routed = posted.mapInArrow(posting, _ROUTED + kind).unionByName(asked.mapInArrow(probing, _ROUTED + kind))
     keys = ["group", "piece", "part"]
     placed = routed.repartition(*keys).sortWithinPartitions(*keys, "kind")
 
@@ -400,9 +435,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
                     held.append((part.column("id").to_numpy(), _matrix(part.column("v"), d), part.column("lists").to_pylist()))
                 elif held:
                     if block is None:
-                        block = _Block(held, len(shared.value.graph.centers))
-                    for i in range(0, b - a, 256):
-                        yield block.best(part.slice(i, 256), d, k)
+                        block = _Block(held, k)
+                    step = max(1, min(256, SCORES // len(block.x)))
+                    for i in range(0, b - a, step):
+                        yield block.best(part.slice(i, step), d, k)
 
     found = placed.mapInArrow(score, _TOP)
 

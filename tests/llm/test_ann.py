@@ -66,6 +66,20 @@ def test_graph_finds_the_nearest_centroids():
     assert (np.diff(far, axis=1) >= 0).all()
 
 
+def test_many_lists_are_found_without_a_wider_walk(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, q = rng.normal(size=(900, 8)), rng.normal(size=(40, 8))
+    index = ann.Index(None, 8, float((x**2).sum(axis=1).max()), 2.0)
+    index.graph = ann.Graph(index.lifted(x))
+    beams, search = [], ann.Graph.search
+    monkeypatch.setattr(ann.Graph, "search", lambda self, y, beam: beams.append(beam) or search(self, y, beam))
+    rows, lists = index.lists_for(q, np.ones(900, dtype=np.int64), 4)
+    far = np.sqrt(((np.pad(q, ((0, 0), (0, 1)))[:, None] - index.graph.centers[None]) ** 2).sum(axis=2))
+    want = {(i, j) for i, j in zip(*np.nonzero(far <= 2.0 * far.min(axis=1)[:, None]), strict=True)}
+    assert {*zip(rows.tolist(), lists.tolist(), strict=True)} == {(int(i), int(j)) for i, j in want} and len(want) > 40 * 64
+    assert beams == [ann.BEAM]
+
+
 def test_edge_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (20, None), (40, [0.0, 0.0]), (60, [nan, 1.0]), (80, [inf, 1.0]), (100, [None, 1.0]), (120, [1.0]), (None, [1.0, 1.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (140, [-1.0, 0.0])]
