@@ -51,6 +51,12 @@ def test_score_extractions_of_odd_tokens(rows):
     assert got == want
 
 
+def test_score_extractions_of_odd_white_space(rows):
+    texts = ["a\tb 1\r\n2\x0b\x0c", "a\u00a0b\u3000c\u2003\u202f1", "\u00a0\u1680", "\t", "\u2028\u0085\u200b\ufeff x"]
+    got, want = rows("score_extractions", documents=(DOCS, list(enumerate(texts))))
+    assert got == want
+
+
 @pytest.mark.parametrize("name", ["identity_align", "cell_context", "style_retention"])
 def test_glyphs_are_not_shuffled(spark, name):
     """A text is sent to its task once, and glyphs and cells meet there; only sums of a document may be sent again."""
