@@ -4,11 +4,13 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import inkledger.plans.geometry  # noqa: F401 -- these register theirs
 import inkledger.plans.queries
 import inkledger.plans.rules
 from inkledger.plans.registry import ORACLES, QUERIES
+from inkledger.sources import glyphs as gl
 
 
 @pytest.fixture
@@ -57,6 +59,18 @@ def test_score_extractions_of_odd_white_space(rows):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["style_retention", "identity_align", "line_coverage"])
+def test_separators_of_words_are_not_visible(rows, name):
+    got, want = rows(name, documents=(DOCS, [(1, "a\u00a0b\u3000c\u2003\u202f1"), (2, "\u00a0\u1680\n\u205f"), (3, "\t\u200b \u2028")]))
+    assert got == want
+
+
+def test_glyphs_of_a_task_are_few(spark):
+    """What is sorted in a task fits beside the other's of an executor, so it isn't spilled."""
+    own = gl.dealt(spark, "/root/testdata/sf0.1").groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("text")).alias("n"))
+    assert max(r.n for r in own.collect()) < 2_000_000
+
+
 @pytest.mark.parametrize("name", ["identity_align", "cell_context", "style_retention"])
 def test_glyphs_are_not_shuffled(spark, name):
     """A text is sent to its task once, and glyphs and cells meet there; only sums of a document may be sent again."""
