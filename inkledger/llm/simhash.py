@@ -62,11 +62,27 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     n = len(words) - span
     for k in range(0, n, SLICE):
         at = zip(starts[k : min(k + SLICE, n)].tolist(), ends[k + span : min(k + SLICE, n) + span].tolist(), strict=True)
-        bits = np.unpackbits(np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in at]), np.uint8).reshape(-1, 8), axis=1)
-        counts += bits.sum(axis=0, dtype=np.int64)
+        counts += _ones(b"".join([digest(joined[a:b], SEED) for a, b in at]))
+    return _majority(counts, n)
+
+
+def _ones(hashes: bytes) -> np.ndarray:
+    """In how many of the hashes (8 bytes each, the first the highest) each bit is set."""
+    return np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def _majority(counts: np.ndarray, n: int) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The SimHash of the shingles that have these hashes (unsigned), unsigned."""
+    counts = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(hashes), SLICE):
+        counts += _ones(hashes[k : k + SLICE].astype(">u8").tobytes())
+    return _majority(counts, len(hashes))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp: the fingerprint as a signed long."""
 

@@ -3,6 +3,7 @@ import re
 
 import corpus_pipeline as cp
 from inkledger.llm import jaccard
+from inkledger.llm.simhash import fingerprint, fingerprint_of
 
 from .test_simhash import brute_roots
 
@@ -81,3 +82,25 @@ def test_repeated_and_missing_ids(spark):
     rows = [(1, "a b c d"), (2, "A B C D"), (7, "some words here now"), (7, "quite another text"), (9, "some words here now"), (None, "alone"), (4, None), (5, "")]
     got = cp.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, "a b c d"), (7, "some words here now"), (7, "quite another text"), (None, "alone"), (4, None)], key=str)
+
+
+def test_the_stage_links_by_simhash_first(spark, monkeypatch):
+    """What the pigeonring finds within two bits is linked if it is similar, also without the index keys, and only then."""
+    rows = planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: grams(t) for i, t in rows}
+    marks = {i: fingerprint_of(jaccard.shingles((t or "").encode())) for i, t in rows if sets[i]}
+    met = [(a, b) for a in marks for b in marks if a < b and (marks[a] ^ marks[b]).bit_count() <= 2]
+    near_ones = [(a, b) for a, b in met if near(sets[a], sets[b])]
+    assert any(sets[a] != sets[b] for a, b in near_ones) and len(near_ones) < len(met)
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(jaccard, "links", lambda *_: none)
+    blank = [i for i, x in sets.items() if not x]
+    find = brute_roots([*near_ones, *((blank[0], b) for b in blank)])
+    assert {r.doc_id for r in cp.near_copies(spark, docs, SF).collect()} == {i for i in sets if find(i) == i}
+
+
+def test_fingerprint_of_hashes_is_that_of_the_text(monkeypatch):
+    text = " ".join(str(i * 7 % 1000) for i in range(900)).encode()  # no shingle repeats
+    monkeypatch.setattr(jaccard, "SLICE", 64)
+    assert fingerprint_of(jaccard.shingles(text, 5)) == fingerprint(text, 5)
