@@ -59,6 +59,18 @@ def test_score_extractions_of_odd_white_space(rows):
     assert got == want
 
 
+def test_score_extractions_of_odd_ids(rows):
+    twice = "see [12] and 3.5 at a@b.org\nline 2 of 7"
+    values = [(None, twice), (None, "x 4"), (1, None), (2, ""), (-5, "x 1"), (7, twice), (7, twice), *[(8, "ab 12 c" * 40)] * 3]
+    got, want = rows("score_extractions", documents=(DOCS, values))
+    assert got == want
+
+
+def test_score_extractions_of_a_long_citation(rows):
+    got, want = rows("score_extractions", documents=(DOCS, [(1, f"[{', '.join(map(str, range(3000)))}] and [1, 2 x 3]")]))
+    assert got == want
+
+
 @pytest.mark.parametrize("name", ["style_retention", "identity_align", "line_coverage"])
 def test_separators_of_words_are_not_visible(rows, name):
     got, want = rows(name, documents=(DOCS, [(1, "a\u00a0b\u3000c\u2003\u202f1"), (2, "\u00a0\u1680\n\u205f"), (3, "\t\u200b \u2028")]))
