@@ -7,8 +7,9 @@ vector goes to its nearest centroid's list, and boundary vectors to up to
 centroids are searched by a graph in memory: each has links to its nearest
 ones, and a beam of queries walks it together. A query takes all lists whose
 centroid is at most a certain times as far as the nearest one; that ratio is
-tuned on the sample, the least at which its lists hold the share ``TARGET`` of
-the true neighbours in the sample; where those lists hold too few vectors, the
+tuned on ``TUNED_ON`` of the queries, for queries may be unlike the rows: the
+least at which the lists that they read hold the share ``TARGET`` of their true
+neighbours among all rows; where those lists hold too few vectors, the
 next ones are read as well. A query that reads more lists than the beam is wide
 has all centroids ranked. Lists are scored exactly.
 
@@ -36,7 +37,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkledger.llm.shared import materialize
@@ -44,9 +47,9 @@ from inkledger.llm.shared import materialize
 #: Vectors to a centroid, and centroids at most (they are held in memory).
 LIST = 256
 CENTROIDS = 4096
-#: Vectors that centroids and the ratio are fitted on, and queries of these that the ratio is tuned with.
+#: Vectors that centroids are fitted on, and queries that are held against all rows to tune the ratio.
 SAMPLE = 32768
-TUNED_ON = 256
+TUNED_ON = 512
 TARGET = 0.94
 COPIES = 4
 BOUNDARY = 1.05
@@ -60,7 +63,7 @@ SCORES = 1 << 18
 PAIRS = 1 << 16
 #: Links of a centroid in the graph, entry points, and the least beam.
 LINKS = 16
-ENTRIES = 8
+ENTRIES = 32
 BEAM = 32
 
 
@@ -121,7 +124,14 @@ class Graph:
             links = np.concatenate([*near], axis=0)
             links = np.concatenate([links, (np.arange(n)[:, None] + 1) % n, (np.arange(n)[:, None] - 1) % n], axis=1)
         self.links = links
-        self.entries = np.unique(np.linspace(0, n - 1, min(ENTRIES, n)).astype(np.int64))
+        # Entries far from each other, so that each of a few separate clusters has one.
+        entries, gap = [0], np.full(n, np.inf)
+        while len(entries) < min(ENTRIES, n):
+            gap = np.minimum(gap, ((centers - centers[entries[-1]]) ** 2).sum(axis=1))
+            if gap.max() <= 0:
+                break
+            entries.append(int(gap.argmax()))
+        self.entries = np.array(entries, dtype=np.int64)
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``beam`` nearest centroids found for each row (-1: fewer), nearest first, and their distances."""
@@ -215,31 +225,31 @@ def _pairs(at: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, at[rows, k]
 
 
-def fit(sample: np.ndarray, total: int, norm2: float, k: int) -> Index:
-    """Centroids from the sample for ``total`` vectors, and the ratio that finds its true neighbours."""
+def fit(sample: np.ndarray, total: int, norm2: float) -> Index:
+    """Centroids from the sample for ``total`` vectors; the ratio is still to be tuned."""
     index = Index(None, sample.shape[1], norm2, 1.0)
-    lifted = index.lifted(sample)
-    index.graph = Graph(split_centroids(lifted, max(1, min(CENTROIDS, total // LIST, len(sample) // 4))))
-    member = np.zeros((len(sample), len(index.graph.centers)), dtype=bool)
-    for i in range(0, len(sample), 2048):
-        rows, lists = index.lists_of(sample[i : i + 2048])
-        member[rows + i, lists] = True
-    asked = np.random.default_rng(9).choice(len(sample), min(TUNED_ON, len(sample)), replace=False)
-    needed = []
-    for i in asked.tolist():
-        scores = sample @ sample[i]
-        scores[i] = -np.inf
-        top = np.argsort(-scores, kind="stable")[: min(k, len(sample) - 1)]
-        q = np.append(sample[i], 0)
-        far = np.sqrt(((index.graph.centers - q) ** 2).sum(axis=1))
-        ratio = far / max(far.min(), 1e-12)
-        # Least ratio at which a list with the neighbour is read.
-        needed.append(np.where(member[top], ratio[None], np.inf).min(axis=1))
-    needed = np.concatenate(needed) if needed else np.ones(1)
-    index.ratio = float(np.quantile(needed, TARGET)) * (1 + 1e-9) if len(needed) else 1.0
+    index.graph = Graph(split_centroids(index.lifted(sample), max(1, min(CENTROIDS, total // LIST, len(sample) // 4))))
     return index
 
 
+def tune(index: Index, q: np.ndarray, of: np.ndarray, held: list[list[int]], sizes: np.ndarray, least: int) -> None:
+    """Sets the ratio, from the lists (``held``) of the true neighbours of the queries ``q`` (``of``: whose each is)."""
+    if not len(of):
+        return
+    at, far = index.graph.ranked(np.concatenate([q, np.zeros((len(q), 1))], axis=1))
+    ratio = np.empty_like(far)
+    np.put_along_axis(ratio, at, far / np.maximum(far[:, :1], 1e-12), axis=1)
+    # Least ratio at which a list with the neighbour is read.
+    needed = np.array([ratio[i, own].min() for i, own in zip(of.tolist(), held, strict=True)])
+    for share in (TARGET, *(x for x in (0.95, 0.97, 0.99, 1.0) if x > TARGET)):
+        index.ratio = float(np.quantile(needed, share)) * (1 + 1e-9)
+        reads = np.zeros((len(q), len(sizes)), dtype=bool)
+        reads[index.lists_for(q, sizes, least)] = True
+        # Lists are found by the graph: what it misses is made good by a greater ratio.
+        if np.mean([reads[i, own].any() for i, own in zip(of.tolist(), held, strict=True)]) >= TARGET:
+            break
+
+
 def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, v (array of doubles, or of floats if they were): the vectors that take part, but for their dimension."""
     held = vectors.select(F.col(vector_col).alias("v")).schema["v"].dataType
@@ -252,8 +262,8 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dimension)
 
 
-def build(rows: DataFrame, k: int) -> Index | None:
-    """The index of vectors (vec_id, v)."""
+def build(rows: DataFrame) -> Index | None:
+    """The index of vectors (vec_id, v), its ratio not tuned."""
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(norm).alias("norm2")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
@@ -265,7 +275,7 @@ def build(rows: DataFrame, k: int) -> Index | None:
     sample = sample.combine_chunks() if isinstance(sample, pa.ChunkedArray) else sample
     if not picked.num_rows:
         return None
-    return fit(_matrix(sample, d), n, norm2, k)
+    return fit(_matrix(sample, d), n, norm2)
 
 
 _TOP = "query_id long, vec_ids array<long>, scores array<double>"
@@ -363,11 +373,43 @@ def _exact(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (vectors * q).sum(axis=1)
 
 
+def _truth(posted: DataFrame, asked: DataFrame, d: int, k: int) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """Some of the queries (``TUNED_ON`` at most, by a hash), and the lists of their true neighbours among all rows, with whose each is."""
+    some = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TUNED_ON).collect()
+    q = np.array([r["v"] for r in some], dtype=np.float64).reshape(-1, d)
+    given = posted.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in some], dtype=np.int64), q))
+
+    def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = given.value
+        found = None
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                ids = part.column(0).to_numpy()
+                scores = q @ _matrix(part.column(2), d).T
+                scores[names[:, None] == ids] = -np.inf
+                top = np.argpartition(-scores, k - 1, axis=1)[:, :k] if scores.shape[1] > k else np.tile(np.arange(scores.shape[1]), (len(q), 1))
+                row, at = np.divmod(np.arange(top.size), top.shape[1])[0], top.ravel()
+                more = pa.table({"query": pa.array(row, pa.int32()), "vec_id": pa.array(ids[at]), "score": pa.array(np.take_along_axis(scores, top, axis=1).ravel()), "lists": part.column(1).take(pa.array(at))})
+                more = more.filter(pc.is_finite(more.column("score")))
+                found = more if found is None else pa.concat_tables([found, more])
+                order = np.lexsort((found.column("vec_id").to_numpy(), -found.column("score").to_numpy(), of := found.column("query").to_numpy()))
+                of = of[order]
+                found = found.take(pa.array(order[np.arange(len(of)) - np.searchsorted(of, of) < k]))
+        if found is not None:
+            yield from found.combine_chunks().to_batches()
+
+    each = posted.select("vec_id", "lists", "v").mapInArrow(leading, "query int, vec_id long, score double, lists array<int>")
+    ranked = each.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
+    true = ranked.where(F.col("n") <= k).select("query", "lists").collect() if some else []
+    return q, np.array([r["query"] for r in true], dtype=np.int64), [r["lists"] for r in true]
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` greatest inner products found for each vector that ``queries`` marks (a condition on ``vec_id``)."""
     spark = vectors.sparkSession
     rows = _valid(vectors, id_col, vector_col)
-    index = build(rows, k)
+    index = build(rows)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d = index.dimension
@@ -385,7 +427,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
     posted = materialize(rows.mapInArrow(place, f"vec_id long, lists array<int>, v {kind}"), "posted")
     asked = rows.where(queries).groupBy("vec_id").agg(F.max("v").alias("v"))
     sizes = {r["list"]: r["n"] for r in posted.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row to a centroid
-    plan = spark.sparkContext.broadcast((*_plan(index.graph.centers, sizes), np.array([sizes.get(x, 0) for x in range(len(index.graph.centers))])))
+    counts = np.array([sizes.get(x, 0) for x in range(len(index.graph.centers))])
+    tune(index, *_truth(posted, asked, d, k), counts, COPIES * (k + 1))
+    tuned = spark.sparkContext.broadcast(index)
+    plan = spark.sparkContext.broadcast((*_plan(index.graph.centers, sizes), counts))
     parts = 1 + asked.count() // QUERIES
 
     def posting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,7 +449,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                row, lists = shared.value.lists_for(_matrix(part.column(1), d), counts, COPIES * (k + 1))
+                row, lists = tuned.value.lists_for(_matrix(part.column(1), d), counts, COPIES * (k + 1))
                 ids = part.column(0).to_pylist()
                 rows: list[tuple] = []
                 for j, own in enumerate(_by_row(row, lists, part.num_rows).to_pylist()):

@@ -97,3 +97,17 @@ def test_every_query_gets_all_that_there_are(spark):
         df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
         got = ann.nearest(df, F.col("vec_id") % 20 == 0, 20).groupBy("query_id").count().collect()
         assert len(got) == -(-n // 20) and all(r["count"] == min(20, n - 1) for r in got)
+
+
+def test_recall_where_queries_are_unlike_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 64)
+    rng = np.random.default_rng(6)
+    n = 4000
+    x = rng.normal(size=(40, 32))[rng.integers(0, 40, n)] + 0.1 * rng.normal(size=(n, 32))  # clusters, and queries anywhere
+    ids = np.arange(n)
+    x[ids % 20 == 0] = rng.normal(size=(n // 20, 32))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute(ids, x, ids[ids % 20 == 0])
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, 20).collect()
+    hits = sum(r["vec_id"] in {v for v, _ in want[r["query_id"]]} for r in got)
+    assert hits >= 0.9 * 20 * len(want)
