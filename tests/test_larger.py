@@ -1,6 +1,7 @@
 """Queries against DuckDB on small tables of what larger ones hold."""
 
 import re
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -96,3 +97,17 @@ def test_glyphs_are_not_shuffled(spark, name):
 def test_keep_kinds_works_each_rule_out_once(spark):
     plan = QUERIES["keep_kinds"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("universite") == 3  # a word of institutions; texts are of three tables
+
+
+def test_score_extractions_leaves_its_glyphs_where_the_texts_are(spark, tmp_path):
+    texts = [f"Page {i} of 12,345 and [{i}].\n" * 40 for i in range(300)]
+    spark.createDataFrame(list(enumerate(texts)), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    before = {p for p in map(str, spark_made(spark))}
+    plan = QUERIES["score_extractions"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert before == {p for p in map(str, spark_made(spark))}  # nothing is written between
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "REPARTITION_BY" not in line]
+
+
+def spark_made(spark):
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return [p for p in Path(root).glob("source-lines-*")] + [p for p in Path(root).glob("output-lines-*")]
