@@ -59,8 +59,10 @@ GROUPS = 24
 LARGEST = 65536
 #: Queries that may pass one task; scores, and pairs scored exactly, that are in memory at once.
 QUERIES = 1_000_000
-SCORES = 1 << 18
+SCORES = 1 << 20
 PAIRS = 1 << 16
+#: Lengths of vectors whose products are well within single precision.
+PLAIN = (1e-12, 1e12)
 #: Links of a centroid in the graph, entry points, and the least beam.
 LINKS = 16
 ENTRIES = 32
@@ -175,6 +177,13 @@ class Graph:
             at[active], far[active] = _best(np.concatenate([at[active], np.where(fresh, near, -1)], axis=1), np.concatenate([far[active], d], axis=1), beam)
         return at, far
 
+    def leading(self, q: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``count`` nearest centroids for each row, nearest first, and their distances; for many rows one product costs less than a walk."""
+        rest = (self.centers**2).sum(axis=1) - 2 * q @ self.centers.T
+        at = np.argpartition(rest, count - 1, axis=1)[:, :count] if count < len(self.centers) else np.tile(np.arange(len(self.centers)), (len(q), 1))
+        far = np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + np.take_along_axis(rest, at, axis=1), 0))
+        return _best(at, far, count)
+
     def ranked(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All centroids for each row, nearest first, and their distances."""
         norms = (self.centers**2).sum(axis=1)
@@ -201,9 +210,8 @@ class Index:
 
     def lists_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) for the lists that each vector is written to."""
-        at, far = self.graph.search(self.lifted(x), max(BEAM, COPIES))
-        at, far = at[:, :COPIES], far[:, :COPIES]
-        return _pairs(at, (at >= 0) & (far <= BOUNDARY * far[:, :1]))
+        at, far = self.graph.leading(self.lifted(x), COPIES)
+        return _pairs(at, far <= BOUNDARY * far[:, :1])
 
     def lists_for(self, q: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) for the lists that each query reads: all within the ratio, and the nearest till they hold ``least`` rows.
@@ -314,40 +322,59 @@ def _plan(centers: np.ndarray, sizes: dict[int, int]) -> tuple[np.ndarray, np.nd
 
 
 class _Block:
-    """The vectors of one piece of a group, and which lists they are in."""
+    """The vectors of one piece of a group, by the first of their lists, and which others they are in."""
 
     def __init__(self, held: list[tuple], k: int):
-        self.ids = np.concatenate([h[0] for h in held])
         own = [x for h in held for x in h[2]]
-        self.numbers = {x: i for i, x in enumerate(sorted({y for x in own for y in x}))}
-        # Rows that are in no list fill the last of the classes up.
-        self.classes = max(128, 4 * k)
-        spare = -len(self.ids) % self.classes
-        self.x = np.concatenate([*(h[1] for h in held), np.zeros((spare, held[0][1].shape[1]))])
-        self.member = np.zeros((len(self.numbers), len(self.x)), dtype=np.float32)
+        order = np.argsort([x[0] for x in own], kind="stable")
+        own = [own[i] for i in order.tolist()]
+        self.ids = np.concatenate([h[0] for h in held])[order]
+        first = np.array([x[0] for x in own])
+        self.lists = np.array(sorted({y for x in own for y in x}))
+        self.start, self.end = np.searchsorted(first, self.lists), np.searchsorted(first, self.lists, "right")
+        further: dict[int, list[int]] = {}
         for i, x in enumerate(own):
-            for y in x:
-                self.member[self.numbers[y], i] = 1
+            for y in x[1:]:
+                further.setdefault(y, []).append(i)
+        self.further = [np.array(further.get(y, []), dtype=np.int64) for y in self.lists.tolist()]
         self.by_id = np.argsort(self.ids, kind="stable")
         self.sorted = self.ids[self.by_id]
+        # So many rows hold k ids, if some ids repeat.
+        self.rows = k * int(np.unique(self.sorted, return_counts=True)[1].max())
+        # Rows that are in no list fill the last of the classes up.
+        self.classes = max(128, 4 * self.rows)
+        self.width = len(self.ids) + -len(self.ids) % self.classes
+        self.x = np.concatenate([h[1] for h in held])[order]
+        self.norm = np.sqrt((self.x**2).sum(axis=1).max())
+        self.single = self.x.astype(np.float32) if PLAIN[0] < self.norm < PLAIN[1] else None
 
     def best(self, queries: pa.RecordBatch, d: int, k: int) -> pa.RecordBatch:
         """Each query's best few among the vectors of the lists that it reads."""
-        q, names, reads = _matrix(queries.column("v"), d), queries.column("id").to_numpy(), queries.column("lists").to_pylist()
-        asked = np.zeros((len(names), len(self.numbers)), dtype=np.float32)
-        for j, own in enumerate(reads):
-            asked[j, [self.numbers[y] for y in own if y in self.numbers]] = 1
-        rough = q @ self.x.T
-        with np.errstate(divide="ignore"):
-            rough += np.log(np.minimum(asked @ self.member, 1))  # 0, or -inf for vectors of no list that is read
+        q, names, reads = _matrix(queries.column("v"), d), queries.column("id").to_numpy(), queries.column("lists")
+        norms = np.sqrt((q**2).sum(axis=1))
+        # Rough scores in single precision, unless they might leave its range.
+        single = self.single is not None and PLAIN[0] < norms.min() and norms.max() < PLAIN[1]
+        x, y = (self.single, q.astype(np.float32)) if single else (self.x, q)
+        rough = np.full((len(q), self.width), -np.inf, dtype=x.dtype)
+        which = reads.flatten().to_numpy()
+        who = np.repeat(np.arange(len(q)), reads.value_lengths().to_numpy())
+        order = np.argsort(which, kind="stable")
+        which, who = which[order], who[order]
+        for j, (a, b) in enumerate(zip(np.searchsorted(which, self.lists).tolist(), np.searchsorted(which, self.lists, "right").tolist(), strict=True)):
+            if a < b:
+                some = who[a:b]
+                rough[some, self.start[j] : self.end[j]] = y[some] @ x[self.start[j] : self.end[j]].T
+                if len(more := self.further[j]):
+                    rough[some[:, None], more] = y[some] @ x[more].T
         start, end = np.searchsorted(self.sorted, names), np.searchsorted(self.sorted, names, "right")
         for j in np.flatnonzero(end > start).tolist():
             rough[j, self.by_id[start[j] : end[j]]] = -np.inf
         # Each class of columns has its greatest; the k-th of these is no more than the k-th of all.
         tops = rough.reshape(len(q), -1, self.classes).max(axis=1)
-        bar = np.partition(tops, self.classes - k, axis=1)[:, self.classes - k]
-        bar = np.where(np.isfinite(bar), bar - 1e-9 * np.maximum(1.0, np.abs(bar)), np.finfo(np.float64).min)
-        row, at = np.divmod(np.flatnonzero(rough >= bar[:, None]), len(self.x))
+        bar = np.partition(tops, self.classes - self.rows, axis=1)[:, self.classes - self.rows].astype(np.float64)
+        slack = 4 * (d + 8) * np.finfo(x.dtype).eps * norms * self.norm
+        bar = np.maximum(bar - slack, np.finfo(x.dtype).min).astype(x.dtype)
+        row, at = np.divmod(np.flatnonzero(rough >= bar[:, None]), self.width)
         scores = np.concatenate([np.empty(0), *(_exact(self.x[at[i : i + PAIRS]], q[row[i : i + PAIRS]]) for i in range(0, len(row), PAIRS))])
         row, ids, scores = _leading_of(row, self.ids[at], scores, k)
         sizes = np.bincount(row, minlength=len(names))
@@ -481,7 +508,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec
                 elif held:
                     if block is None:
                         block = _Block(held, k)
-                    step = max(1, min(256, SCORES // len(block.x)))
+                    step = max(1, min(256, SCORES // block.width))
                     for i in range(0, b - a, step):
                         yield block.best(part.slice(i, step), d, k)
 

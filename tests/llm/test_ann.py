@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from inkledger.llm import ann
@@ -111,3 +112,31 @@ def test_recall_where_queries_are_unlike_the_rows(spark, monkeypatch):
     got = ann.nearest(df, F.col("vec_id") % 20 == 0, 20).collect()
     hits = sum(r["vec_id"] in {v for v, _ in want[r["query_id"]]} for r in got)
     assert hits >= 0.9 * 20 * len(want)
+
+
+def test_ids_that_repeat_take_no_place_of_others(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 8)) + 3
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(7, [9.0 + 0.001 * j] * 8) for j in range(60)]
+    got = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = ann.nearest(got, F.col("vec_id") % 20 == 0, 20).groupBy("query_id").count().collect()
+    assert {r["count"] for r in got} == {20} and len(got) == 20
+
+
+def test_rows_are_placed_by_one_product_and_lists_scored_apart(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 8))
+    index = ann.fit(x, 6000, float((x**2).sum(axis=1).max()))
+    monkeypatch.setattr(ann.Graph, "search", None)
+    row, lists = index.lists_of(x)
+    far = ((index.lifted(x)[:, None] - index.graph.centers[None]) ** 2).sum(axis=2)
+    assert {*zip(row.tolist(), lists.tolist(), strict=True)} >= {*enumerate(far.argmin(axis=1).tolist())}
+    own = [[int(v) for v in lists[row == i]] for i in range(600)]
+    block = ann._Block([(np.arange(600), x, own)], 5)
+    asked = [[0, 3, 999], [int(v) for v in range(len(index.graph.centers))], [1]]
+    for scale in (1.0, 1e200):  # beyond single precision
+        q = rng.normal(size=(3, 8)) * scale
+        batch = pa.record_batch([pa.array([-1, -2, -3]), pa.array(asked, pa.list_(pa.int32())), pa.array(q.tolist())], names=["id", "lists", "v"])
+        for j, r in enumerate(block.best(batch, 8, 5).to_pylist()):
+            allowed = [i for i in range(600) if {*own[i]} & {*asked[j]}]
+            assert r["vec_ids"] == sorted(allowed, key=lambda i: -(x[i] * q[j]).sum())[:5]
