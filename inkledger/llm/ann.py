@@ -82,7 +82,8 @@ def split_centroids(x: np.ndarray, count: int, rounds: int = 8, seed: int = 5) -
         n = np.bincount(near, minlength=len(centers))
         centers = sums[n > 0] / n[n > 0, None]
     limit = max(2, 2 * len(x) // count)
-    done, work = [], [x[(near := _nearest(x, centers)) == k] for k in range(len(centers))]
+    near = _nearest(x, centers)  # once: it costs vectors times centroids
+    done, work = [], [x[near == k] for k in range(len(centers))]
     while work:
         part = work.pop()
         if len(part) <= limit:

@@ -140,3 +140,10 @@ def test_rows_are_placed_by_one_product_and_lists_scored_apart(monkeypatch):
         for j, r in enumerate(block.best(batch, 8, 5).to_pylist()):
             allowed = [i for i in range(600) if {*own[i]} & {*asked[j]}]
             assert r["vec_ids"] == sorted(allowed, key=lambda i: -(x[i] * q[j]).sum())[:5]
+
+
+def test_vectors_are_assigned_once_a_round(monkeypatch):
+    calls, own = [], ann._nearest
+    monkeypatch.setattr(ann, "_nearest", lambda x, c: calls.append(len(x)) or own(x, c))
+    ann.split_centroids(np.random.default_rng(3).normal(size=(500, 4)), 40)
+    assert len(calls) == 9
